@@ -33,7 +33,7 @@ FORMATS_TODAY_POLICY = ["%Y-%m-%d %H:%M:%S", "%Y.%m.%d %H:%M:%S", "%Y-%m-%d", "%
                         "%Y년%m월%d일", "%Y년 %m월 %d일"]
 FORMATS_RELATIVE_POLICY = ["%Y%m%d", "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y년%m월%d일",
                            "%Y년 %m월 %d일", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S"]
-FORMATS_TREND = ["%Y%m%d", "%Y-%m-%d", "%Y.%m.%d", "%Y/%m/%d", "%Y년%m월%d일"]
+FORMATS_TREND = ["%Y%m%d", "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y년%m월%d일"]
 
 
 def _c(c) -> Column:
@@ -73,7 +73,7 @@ def strptime_date(c, fmt: str) -> Column:
     s = _c(c)
     part = {f: F.trim(F.regexp_extract(s, rx, k + 1)) for k, f in enumerate(order)}
     iso = F.concat_ws("-", part["Y"], F.lpad(part["m"], 2, "0"), F.lpad(part["d"], 2, "0"))
-    return F.when(s.rlike(rx), F.try_to_date(iso, F.lit("yyyy-MM-dd")))
+    return F.when(s.rlike(rx), F.try_to_date(iso, "yyyy-MM-dd"))
 
 
 def first_format(c, fmts) -> Column:
@@ -119,15 +119,15 @@ def parse_date_relative(c, as_of=C.AS_OF) -> Column:
     all digits joined) -> as_of - N; else as_of.  Returns 'yyyyMMdd' text."""
     s = _c(c)
     today = ymd(_lit_date(as_of))
-    dd = F.substring(s, 1, 2).cast("int")
-    yy = F.substring(s, 3, 4).cast("int")
-    mm = F.substring(s, 7, 1).cast("int")
+    dd = F.substring(s, 1, 2).try_cast("int")
+    yy = F.substring(s, 3, 4).try_cast("int")
+    mm = F.substring(s, 7, 1).try_cast("int")
     ddyyyym = F.when(s.rlike("^[0-9]{7,}$") & dd.between(1, 31) & yy.between(2000, 2100)
                      & mm.between(1, 9),
                      F.concat(yy.cast("string"), F.lpad(mm.cast("string"), 2, "0"),
                               F.lpad(dd.cast("string"), 2, "0")))
     digits = _digits(s)
-    n = F.when(F.length(digits).between(1, 9), digits.cast("int"))
+    n = F.when(F.length(digits).between(1, 9), digits.try_cast("int"))
     relative = F.when((F.contains(s, F.lit("전")) | F.contains(s, F.lit("일")))
                       & n.isNotNull() & (n <= F.datediff(_lit_date(as_of), _lit_date("0001-01-01"))),
                       ymd(F.date_sub(_lit_date(as_of), n)))
@@ -171,7 +171,7 @@ def parse_date_clean(c) -> Column:
     k = F.regexp_replace(F.regexp_replace(s, "[년월]\\s*", "-"), "일.*$", "")
     k = F.regexp_replace(k, "[./]", "-")
     return F.coalesce(
-        F.when(s.rlike("^[0-9]{8}$"), F.try_to_date(s, F.lit("yyyyMMdd"))),
+        F.when(s.rlike("^[0-9]{8}$"), F.try_to_date(s, "yyyyMMdd")),
         strptime_date(k, "%Y-%m-%d"),
         F.to_date(F.try_to_timestamp(k)),
     )

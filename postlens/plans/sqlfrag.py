@@ -231,3 +231,68 @@ def video_id(e: str) -> str:
     found = [f"nullif(regexp_extract({e}, {q(p)}, 1), '')" for p in S.VIDEO_ID_PATTERNS]
     return (f"CASE WHEN {e} IS NULL OR {e} = '' THEN '' ELSE coalesce({', '.join(found)}, "
             f"'video_' || left(sha256({e}), 8)) END")
+
+
+def _starts(e: str) -> str:
+    return f"(starts_with({e}, '12') OR starts_with({e}, '13') OR starts_with({e}, '14'))"
+
+
+def parse_date_null(e: str, platform: str | None = None) -> str:
+    cut = f"(regexp_full_match({e}, '^\\d{{8}}$') AND {_starts(e)})"
+    if platform:
+        cut = f"({cut} OR ({platform} = 'naver_news_api' AND {_starts(e)}))"
+    s1 = f"(CASE WHEN {cut} THEN '20' || left({e}, 6) ELSE {e} END)"
+    d = first_format(s1, D.FORMATS_NULL_POLICY)
+    return (f"(SELECT CASE WHEN year(d) >= 2000 AND year(d) <= {C.AS_OF.year} THEN d END "
+            f"FROM (SELECT {d} AS d))")
+
+
+def _digits(e: str) -> str:
+    return rx_replace(e, "[^0-9]", "")
+
+
+def parse_date_today(e: str) -> str:
+    s = strip_blank(e)
+    today = ymd(as_of())
+    return (f"(SELECT CASE WHEN r IS NULL OR r = '' THEN {today} "
+            f"WHEN regexp_full_match(s, '^[0-9]{{8}}$') THEN s "
+            f"ELSE coalesce({ymd(first_format('s', D.FORMATS_TODAY_POLICY))}, "
+            f"CASE WHEN length({_digits('s')}) >= 8 THEN left({_digits('s')}, 8) END, {today}) END "
+            f"FROM (SELECT {e} AS r, {s} AS s))")
+
+
+def parse_date_relative(e: str) -> str:
+    today = ymd(as_of())
+    dd, yy, mm = "TRY_CAST(substr(s, 1, 2) AS INTEGER)", "TRY_CAST(substr(s, 3, 4) AS INTEGER)", \
+        "TRY_CAST(substr(s, 7, 1) AS INTEGER)"
+    ddyyyym = (f"CASE WHEN regexp_full_match(s, '^[0-9]{{7,}}$') AND {dd} BETWEEN 1 AND 31 "
+               f"AND {yy} BETWEEN 2000 AND 2100 AND {mm} BETWEEN 1 AND 9 "
+               f"THEN CAST({yy} AS VARCHAR) || lpad(CAST({mm} AS VARCHAR), 2, '0') || lpad(CAST({dd} AS VARCHAR), 2, '0') END")
+    digits = _digits("s")
+    n = f"(CASE WHEN length({digits}) BETWEEN 1 AND 9 THEN TRY_CAST({digits} AS INTEGER) END)"
+    rel = (f"CASE WHEN (contains(s, '전') OR contains(s, '일')) AND {n} IS NOT NULL "
+           f"AND {n} <= ({as_of()} - DATE '0001-01-01') THEN {ymd(f'({as_of()} - {n})')} END")
+    return (f"(SELECT CASE WHEN s IS NULL OR s = '' THEN {today} WHEN regexp_full_match(s, '^[0-9]{{8}}$') THEN s "
+            f"ELSE coalesce({ddyyyym}, {ymd(first_format('s', D.FORMATS_RELATIVE_POLICY))}, {rel}, {today}) END "
+            f"FROM (SELECT {e} AS s))")
+
+
+def parse_date_split(e: str) -> str:
+    today = ymd(as_of())
+
+    def z(p):
+        return f"CASE WHEN length({p}) < 2 THEN lpad({p}, 2, '0') ELSE {p} END"
+
+    def by(sep):
+        parts = f"string_split(s, '{sep}')"
+        p = [strip_blank(f"{parts}[{i}]") for i in (1, 2, 3)]
+        return f"CASE WHEN len({parts}) >= 3 THEN {p[0]} || {z(p[1])} || {z(p[2])} END"
+
+    return (f"(SELECT coalesce(CASE WHEN contains(s, '.') THEN coalesce({by('.')}, {today}) "
+            f"WHEN contains(s, '-') THEN coalesce({by('-')}, {today}) "
+            f"WHEN contains(s, '/') THEN coalesce({by('/')}, {today}) END, {today}) "
+            f"FROM (SELECT {strip_blank(e)} AS s))")
+
+
+def parse_date_trend(e: str) -> str:
+    return first_format(e, D.FORMATS_TREND)
