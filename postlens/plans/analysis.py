@@ -10,7 +10,7 @@ from postlens.functions import predicates as P
 from postlens.functions import shape as S
 from postlens.functions import text as T
 from postlens.operators import scoring
-from postlens.operators.rowops import where_computed
+from postlens.operators.rowops import barrier, where_computed
 
 
 def analyze_dataset(posts: DataFrame) -> DataFrame:
@@ -23,10 +23,10 @@ def analyze_dataset(posts: DataFrame) -> DataFrame:
     cleaned = where_computed(T.with_preprocessed(kept, "content", "content"),
                              lambda r: F.length(r["content"]) > 0)
     scored = scoring.with_rule_score(cleaned, "content", "_s")
-    return scored.select("doc_id", "title", "content", "platform",
-                         F.col("date_text").alias("published_date"), "url",
-                         F.col("_s.label").alias("sentiment"),
-                         F.round(F.col("_s.confidence"), 6).alias("confidence"))
+    return barrier(scored.select("doc_id", "title", "content", "platform",
+                                 F.col("date_text").alias("published_date"), "url",
+                                 F.col("_s.label").alias("sentiment"),
+                                 F.round(F.col("_s.confidence"), 6).alias("confidence")))
 
 
 def label_share_by_platform(analysed: DataFrame) -> DataFrame:
@@ -51,4 +51,4 @@ def process_data(posts: DataFrame, min_conf: float = C.MIN_CONFIDENCE) -> DataFr
                    S.label_name(F.col("_s.label")).alias("sentiment"),
                    S.label_color(F.col("_s.label")).alias("sentiment_color"),
                    F.round(F.col("_s.confidence"), 6).alias("confidence"))
-    return out.where(F.col("confidence") >= min_conf)
+    return where_computed(out, lambda r: r["confidence"] >= min_conf)
