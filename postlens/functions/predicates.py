@@ -69,15 +69,14 @@ def keyword_match_loose(text, spec=C.KEYWORD_SPEC) -> Column:
 
 
 def contains_all(text, words) -> Column:
-    """every word is a case-insensitive substring."""
-    return F.forall(F.array(*[F.lit(w.lower()) for w in words]),
-                    lambda w: F.contains(F.lower(_c(text)), w))
+    """every word is a case-insensitive substring (unrolled, so ``lower(text)`` is a common
+    subexpression computed once)."""
+    return _all(T.contains_ci(_c(text), w) for w in words)
 
 
 def contains_any(text, words) -> Column:
     """some word is a case-insensitive substring."""
-    return F.exists(F.array(*[F.lit(w.lower()) for w in words]),
-                    lambda w: F.contains(F.lower(_c(text)), w))
+    return _any(T.contains_ci(_c(text), w) for w in words)
 
 
 def postprocess_keep(title, content, required=C.REQUIRED_KEYWORDS,
@@ -120,10 +119,9 @@ def script_char_ok(c, min_chars: int = 50, char_class: str = "[가-힣]") -> Col
 
 def not_blank(c) -> Column:
     """content present and not blank."""
-    return F.coalesce(F.length(T.strip_blank(_c(c))) > 0, F.lit(False))
+    return F.coalesce(~T.is_blank(_c(c)), F.lit(False))
 
 
 def region_flag(c, keywords=C.REGION_KEYWORDS) -> Column:
     """any region keyword occurs (case-sensitive)."""
-    return F.coalesce(F.exists(F.array(*[F.lit(k) for k in keywords]),
-                               lambda k: F.contains(_c(c), k)), F.lit(False))
+    return F.coalesce(_any(F.contains(_c(c), F.lit(k)) for k in keywords), F.lit(False))

@@ -66,7 +66,7 @@ def softmax_argmax(logits) -> Column:
 def apply_fallbacks(score: Column, text: Column, min_conf: float | None = C.LOW_CONFIDENCE_FALLBACK
                     ) -> Column:
     """M4: blank text -> (1, 0.0); confidence below ``min_conf`` -> (1, 0.0)."""
-    blank = text.isNull() | (F.length(T.strip_blank(text)) == 0)
+    blank = text.isNull() | T.is_blank(text)
     out = F.when(blank, neutral_score())
     if min_conf is not None:
         out = out.when(score["confidence"] < min_conf, neutral_score())

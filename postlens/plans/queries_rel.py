@@ -383,17 +383,20 @@ oracle("time_unit", POSTS + f"""SELECT platform, strftime(lo, '%Y-%m-%d') AS min
 @register("sentiment_trend")
 def q_sentiment_trend(spark, sf):
     """Parse dates (D7, unparsed rows left out), unit from the global span (T12), bins labelled
-    with the period end, label counts per bin.  The span and first month are scalar subqueries
-    (one-row aggregates), not a join."""
+    with the period end, label counts per bin.
+
+    Rows are first reduced to label counts per day (partial + final aggregate: at most one row per
+    day); the span, the first month and the re-binning then run over that daily table, and the
+    span is a scalar subquery over it, not a join or a driver round trip."""
     a = _analyzed(spark, sf).select("sentiment", D.parse_date_trend("published_date").alias("d"))
-    dated = a.where(F.col("d").isNotNull())
-    lo = dated.select(F.min("d")).scalar()
-    hi = dated.select(F.max("d")).scalar()
+    daily = stats.label_counts(a.where(F.col("d").isNotNull()), by=["d"])
+    lo = daily.select(F.min("d")).scalar()
+    hi = daily.select(F.max("d")).scalar()
     unit = stats.period_unit(F.datediff(hi, lo))
-    binned = dated.select("sentiment", F.date_format(stats.period_end(F.col("d"), unit, F.trunc(lo, "MM")),
-                                                     "yyyy-MM-dd").alias("period"), unit.alias("unit"))
-    return binned.groupBy("period", "unit").agg(
-        *[F.count_if(F.col("sentiment") == k).alias(n) for k, n in C.LABEL_NAMES.items()])
+    binned = daily.select(F.date_format(stats.period_end(F.col("d"), unit, F.trunc(lo, "MM")),
+                                        "yyyy-MM-dd").alias("period"), unit.alias("unit"),
+                          *C.LABEL_NAMES.values())
+    return binned.groupBy("period", "unit").agg(*[F.sum(n).alias(n) for n in C.LABEL_NAMES.values()])
 
 
 def _period_end_sql(d, unit, m0):
