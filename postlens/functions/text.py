@@ -166,3 +166,19 @@ def contains_ci(text: Column, word: str) -> Column:
 def tokens(c) -> Column:
     """lower-cased word tokens of >= 1 character"""
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(f"{WORD}+"), 0)
+
+
+def query_variations(region, ands, ors) -> Column:
+    """Search-query variants from a region keyword, AND keywords and OR keywords (arrays).
+
+    With AND keywords: base = region + all ANDs; base alone when there is no OR keyword, else base
+    + each OR, plus base + all ORs when there is more than one.  Without AND keywords: region, and
+    region + each OR.  Duplicates removed (U2)."""
+    region, ands, ors = _c(region), _c(ands), _c(ors)
+    base = F.concat_ws(" ", region, F.array_join(ands, " "))
+    with_and = F.when(F.size(ors) == 0, F.array(base)).otherwise(F.concat(
+        F.transform(ors, lambda o: F.concat_ws(" ", base, o)),
+        F.when(F.size(ors) > 1, F.array(F.concat_ws(" ", base, F.array_join(ors, " "))))
+        .otherwise(F.array().cast("array<string>"))))
+    without_and = F.concat(F.array(region), F.transform(ors, lambda o: F.concat_ws(" ", region, o)))
+    return F.array_distinct(F.when(F.size(ands) > 0, with_and).otherwise(without_and))

@@ -74,3 +74,16 @@ def period_unit(span_days: Column) -> Column:
     for limit, unit in C.PERIOD_UNIT_STEPS:
         out = F.when(span_days > limit, F.lit(unit)) if out is None else out.when(span_days > limit, F.lit(unit))
     return out.otherwise(F.lit("D"))
+
+
+def comment_override(sentiment: Column, negative: Column, neutral: Column, positive: Column) -> Column:
+    """The comments' majority label replaces the post label when there are more than
+    COMMENT_MIN_COUNT labelled comments, the post has a truthy label (not null, not 0), and the
+    majority differs and holds more than COMMENT_MIN_SHARE.  Majority ties: positive, neutral,
+    negative (the fixed order of the count table)."""
+    total = F.coalesce(negative + neutral + positive, F.lit(0))
+    top = F.greatest(positive, neutral, negative)
+    major = F.when(positive == top, 2).when(neutral == top, 1).otherwise(0)
+    override = (total > C.COMMENT_MIN_COUNT) & sentiment.isNotNull() & (sentiment != 0) \
+        & (major != sentiment) & (top > total * C.COMMENT_MIN_SHARE)
+    return F.when(F.coalesce(override, F.lit(False)), major).otherwise(sentiment).cast("int")

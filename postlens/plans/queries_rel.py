@@ -465,12 +465,8 @@ def q_overall_sentiment(spark, sf):
     cnt = stats.label_counts(TB.comments(spark, sf), "label", by=["video_key"])
     j = vids.join(cnt, vids.doc_id == cnt.video_key, "left")
     total = F.coalesce(F.col("negative") + F.col("neutral") + F.col("positive"), F.lit(0))
-    top = F.greatest("positive", "neutral", "negative")
-    major = F.when(F.col("positive") == top, 2).when(F.col("neutral") == top, 1).otherwise(0)
-    override = (total > C.COMMENT_MIN_COUNT) & F.col("sentiment").isNotNull() & (F.col("sentiment") != 0) \
-        & (major != F.col("sentiment")) & (top > total * C.COMMENT_MIN_SHARE)
-    return j.select("doc_id", "sentiment", total.alias("n_comments"),
-                    F.when(override, major).otherwise(F.col("sentiment")).cast("int").alias("overall"))
+    overall = stats.comment_override(F.col("sentiment"), F.col("negative"), F.col("neutral"), F.col("positive"))
+    return j.select("doc_id", "sentiment", total.alias("n_comments"), overall.alias("overall"))
 
 
 oracle("overall_sentiment", Q.with_ctes(Q.posts_cte(), Q.comments_cte()) + f"""SELECT doc_id, sentiment, n_comments,

@@ -110,18 +110,8 @@ def q_keyword_variations(spark, sf):
     region word first; words 3-5 OR) -> distinct query variants.  Row-local, no shuffle."""
     words = F.slice(F.filter(F.split(F.col("title"), " "), lambda w: w != ""), 1, 5)
     p = TB.posts(spark, sf).select("doc_id", words.alias("w"))
-    region = F.element_at("w", 1)
-    ands = F.slice("w", 2, 1)
-    ors = F.slice("w", 3, 3)
-    base = F.concat_ws(" ", region, F.array_join(ands, " "))
-    with_and = F.when(F.size(ors) == 0, F.array(base)).otherwise(F.concat(
-        F.transform(ors, lambda o: F.concat_ws(" ", base, o)),
-        F.when(F.size(ors) > 1, F.array(F.concat_ws(" ", base, F.array_join(ors, " "))))
-        .otherwise(F.array().cast("array<string>"))))
-    without_and = F.concat(F.array(region), F.transform(ors, lambda o: F.concat_ws(" ", region, o)))
-    var = F.when(F.size(ands) > 0, with_and).otherwise(without_and)
-    return (p.where(F.size("w") > 0)
-            .select("doc_id", F.explode(F.array_distinct(var)).alias("variation")))
+    var = T.query_variations(F.element_at("w", 1), F.slice("w", 2, 1), F.slice("w", 3, 3))
+    return p.where(F.size("w") > 0).select("doc_id", F.explode(var).alias("variation"))
 
 
 oracle("keyword_variations", POSTS + """SELECT DISTINCT doc_id, variation FROM (
