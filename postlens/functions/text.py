@@ -26,9 +26,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# the characters of BLANK, listed (ASCII controls, NEL, and the Unicode space separators Zs/Zl/Zp)
+BLANK_SET = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\x20\xa0\u1680"
+             + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_blank(c) -> Column:
-    """Python ``str.strip()``: removes Unicode blanks at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(_c(c), f"^{BLANK}+|{BLANK}+$", "")
+    """Python ``str.strip()``: removes Unicode blanks at both ends.  ``trim`` with an explicit
+    character set touches only the ends (a ``^blank+|blank+$`` regex scans the whole text)."""
+    return F.trim(_c(c), F.lit(BLANK_SET))
 
 
 def collapse_blank(c) -> Column:

@@ -262,12 +262,16 @@ def q_stream_daily(spark, sf):
                        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     lab = F.when(F.col("event_type").isin("purchase", "signup"), 2) \
         .when(F.col("event_type").isin("view", "click"), 1).when(F.col("event_type") == "error", 0)
-    x = e.select(F.col("ts").cast("timestamp").alias("ts"), lab.cast("int").alias("label"))
+    # the wall-clock (zone-less) event time is read as UTC, so day windows are calendar days
+    # whatever the session time zone is
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    x = e.select(F.to_utc_timestamp(F.col("ts").cast("timestamp"), tz).alias("ts"),
+                 lab.cast("int").alias("label"))
     agg = ST.windowed_counts(x, "ts", "label").select(F.col("w.start").alias("start"), "label", "n")
     out = ST.run_available_now(agg, "daily", output_mode="update", foreach_batch=ST.append_batches)
     r = spark.read.parquet(out)
     last = dedup.keep_last(r.select("start", "label", "n", "batch_id"), ["start", "label"], order="batch_id")
-    return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "label", "n")
+    return last.select(F.date_format(F.from_utc_timestamp("start", tz), "yyyy-MM-dd").alias("day"), "label", "n")
 
 
 oracle("stream_daily_counts", """SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(CASE WHEN event_type IN ('purchase','signup') THEN 2

@@ -3,6 +3,7 @@ ranking (W5-W10) and validation (V*)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postlens import config as C
@@ -385,15 +386,16 @@ def q_sentiment_trend(spark, sf):
     """Parse dates (D7, unparsed rows left out), unit from the global span (T12), bins labelled
     with the period end, label counts per bin.
 
-    Rows are first reduced to label counts per day (partial + final aggregate: at most one row per
-    day); the span, the first month and the re-binning then run over that daily table, and the
-    span is a scalar subquery over it, not a join or a driver round trip."""
+    Rows are first reduced to label counts per day (partial + final aggregate).  The daily table
+    holds at most one row per calendar day, so the span (min / max day) is a window over that
+    small table; everything after the first aggregate touches only it.  One scan of the posts."""
     a = _analyzed(spark, sf).select("sentiment", D.parse_date_trend("published_date").alias("d"))
     daily = stats.label_counts(a.where(F.col("d").isNotNull()), by=["d"])
-    lo = daily.select(F.min("d")).scalar()
-    hi = daily.select(F.max("d")).scalar()
-    unit = stats.period_unit(F.datediff(hi, lo))
-    binned = daily.select(F.date_format(stats.period_end(F.col("d"), unit, F.trunc(lo, "MM")),
+    everything = Window.partitionBy()
+    daily = (daily.withColumn("lo", F.min("d").over(everything))
+             .withColumn("hi", F.max("d").over(everything)))
+    unit = stats.period_unit(F.datediff("hi", "lo"))
+    binned = daily.select(F.date_format(stats.period_end(F.col("d"), unit, F.trunc("lo", "MM")),
                                         "yyyy-MM-dd").alias("period"), unit.alias("unit"),
                           *C.LABEL_NAMES.values())
     return binned.groupBy("period", "unit").agg(*[F.sum(n).alias(n) for n in C.LABEL_NAMES.values()])
@@ -606,7 +608,7 @@ def q_validate_report(spark, sf):
     missing = {k: ",".join(sorted(set(v) - have)) for k, v in C.REQUIRED_BY_PLATFORM.items()}
     mmap = F.create_map(*[x for k, v in missing.items() for x in (F.lit(k), F.lit(v))])
     parent = S.platform_parent("platform")
-    blank = lambda c: F.col(c).isNull() | (T.strip_blank(c) == "")
+    blank = lambda c: F.col(c).isNull() | T.is_blank(c)
     g = p.groupBy(parent.alias("platform")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(blank("title")).alias("missing_title"),
@@ -638,7 +640,7 @@ def q_invalid_rows(spark, sf):
     """V3/V4: rows with a non-8-digit date (with its repaired value), blank content or a non-http URL."""
     p = TB.posts(spark, sf)
     bad_date = ~F.col("date_text").rlike("^\\d{8}$")
-    blank = T.strip_blank("content") == ""
+    blank = T.is_blank("content")
     bad_url = ~F.col("url").rlike("^https?://")
     return p.where(bad_date | blank | bad_url).select(
         "doc_id", bad_date.alias("bad_date"), blank.alias("blank_content"), bad_url.alias("bad_url"),
@@ -703,7 +705,7 @@ def q_quality_metrics(spark, sf):
     """V9: per platform, required-field missing rate, optional-field fill rate, URL validity and
     date-format uniformity, in percent, one aggregate."""
     p = TB.posts(spark, sf)
-    blank = lambda c: F.col(c).isNull() | (T.strip_blank(c) == "")
+    blank = lambda c: F.col(c).isNull() | T.is_blank(c)
 
     def pct(c):
         return F.round(F.avg(c.cast("double")) * 100.0, 6)
