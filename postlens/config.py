@@ -100,6 +100,9 @@ AS_OF = _dt.date(2024, 6, 1)
 # region keywords; frequent latin words of the test corpus stand in for place names
 REGION_KEYWORDS = ["the", "der", "que", "les"]
 
+# web-search API quota per day; variants are capped at max(1, quota // 10) (10 results a page)
+SEARCH_DAILY_QUOTA = 100
+
 # keyword objects {text, condition}; element 0 is the region keyword
 KEYWORD_SPEC = [("the", "AND"), ("and", "AND"), ("of", "OR"), ("with", "OR"), ("der", "OR")]
 

@@ -174,12 +174,13 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(f"{WORD}+"), 0)
 
 
-def query_variations(region, ands, ors) -> Column:
+def query_variations(region, ands, ors, max_n: int | None = None) -> Column:
     """Search-query variants from a region keyword, AND keywords and OR keywords (arrays).
 
     With AND keywords: base = region + all ANDs; base alone when there is no OR keyword, else base
     + each OR, plus base + all ORs when there is more than one.  Without AND keywords: region, and
-    region + each OR.  Duplicates removed (U2)."""
+    region + each OR.  With ``max_n`` (W11: an API quota) only the first ``max_n`` variants are
+    kept, before duplicates are removed (U2)."""
     region, ands, ors = _c(region), _c(ands), _c(ors)
     base = F.concat_ws(" ", region, F.array_join(ands, " "))
     with_and = F.when(F.size(ors) == 0, F.array(base)).otherwise(F.concat(
@@ -187,4 +188,14 @@ def query_variations(region, ands, ors) -> Column:
         F.when(F.size(ors) > 1, F.array(F.concat_ws(" ", base, F.array_join(ors, " "))))
         .otherwise(F.array().cast("array<string>"))))
     without_and = F.concat(F.array(region), F.transform(ors, lambda o: F.concat_ws(" ", region, o)))
-    return F.array_distinct(F.when(F.size(ands) > 0, with_and).otherwise(without_and))
+    v = F.when(F.size(ands) > 0, with_and).otherwise(without_and)
+    if max_n is not None:
+        v = F.slice(v, 1, max(1, max_n))
+    return F.array_distinct(v)
+
+
+def keywords_string(words) -> Column:
+    """Keywords as one command-line string; blank ones dropped, ones holding a space quoted."""
+    kept = F.filter(F.transform(_c(words), strip_blank), lambda k: k != "")
+    return F.array_join(F.transform(kept, lambda k: F.when(F.contains(k, F.lit(" ")),
+                                                           F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)), " ")

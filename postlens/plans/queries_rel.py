@@ -458,6 +458,18 @@ oracle("comment_sentiments", Q.with_ctes(Q.comments_cte()) + "SELECT video_key,
     f"count(*) FILTER (WHERE label = {k}) AS {n}" for k, n in C.LABEL_NAMES.items()) + " FROM comments GROUP BY video_key")
 
 
+@register("comment_scores")
+def q_comment_scores(spark, sf):
+    """M8: every comment scored with the native scorer (blank text -> (1, 0.0))."""
+    c = scoring.with_rule_score(TB.comments(spark, sf), "text", "s")
+    return c.select("video_key", "turn", F.col("s.label").alias("sentiment"),
+                    F.round("s.confidence", 6).alias("confidence"))
+
+
+oracle("comment_scores", Q.with_ctes(Q.comments_cte()) + f"""SELECT video_key, turn, s.label AS sentiment, round(s.confidence, 6) AS confidence
+FROM (SELECT video_key, turn, {Q.rule_score('text')} AS s FROM comments)""")
+
+
 @register("overall_sentiment")
 def q_overall_sentiment(spark, sf):
     """A video's label is replaced by its comments' majority label when it has more than 5

@@ -110,16 +110,17 @@ def q_keyword_variations(spark, sf):
     region word first; words 3-5 OR) -> distinct query variants.  Row-local, no shuffle."""
     words = F.slice(F.filter(F.split(F.col("title"), " "), lambda w: w != ""), 1, 5)
     p = TB.posts(spark, sf).select("doc_id", words.alias("w"))
-    var = T.query_variations(F.element_at("w", 1), F.slice("w", 2, 1), F.slice("w", 3, 3))
+    var = T.query_variations(F.element_at("w", 1), F.slice("w", 2, 1), F.slice("w", 3, 3),
+                             max_n=max(1, C.SEARCH_DAILY_QUOTA // 10))
     return p.where(F.size("w") > 0).select("doc_id", F.explode(var).alias("variation"))
 
 
 oracle("keyword_variations", POSTS + """SELECT DISTINCT doc_id, variation FROM (
-  SELECT doc_id, unnest(CASE WHEN len(ands) > 0 THEN
+  SELECT doc_id, unnest(list_slice(CASE WHEN len(ands) > 0 THEN
       CASE WHEN len(ors) = 0 THEN [base]
            ELSE list_concat(list_transform(ors, lambda o: base || ' ' || o),
                             CASE WHEN len(ors) > 1 THEN [base || ' ' || array_to_string(ors, ' ')] ELSE [] END) END
-    ELSE list_concat([region], list_transform(ors, lambda o: region || ' ' || o)) END) AS variation
+    ELSE list_concat([region], list_transform(ors, lambda o: region || ' ' || o)) END, 1, """ + str(max(1, C.SEARCH_DAILY_QUOTA // 10)) + """)) AS variation
   FROM (SELECT doc_id, w[1] AS region, w[2:2] AS ands, w[3:5] AS ors,
                w[1] || ' ' || array_to_string(w[2:2], ' ') AS base
         FROM (SELECT doc_id, list_filter(string_split(title, ' '), lambda x: x <> '')[1:5] AS w FROM posts)
@@ -479,3 +480,59 @@ def q_content_fallback(spark, sf):
 
 oracle("content_fallback", POSTS + f"""SELECT doc_id, content FROM (
   SELECT doc_id, coalesce(nullif({Q.strip_blank('content')}, ''), title) AS content FROM posts) WHERE content IS NOT NULL""")
+
+
+@register("keyword_string")
+def q_keyword_string(spark, sf):
+    """Comma-joined original keywords and the quoted command-line keyword string."""
+    p = TB.posts(spark, sf)
+    words = F.array(F.col("keyword"), F.col("keywords"))
+    return p.select("doc_id", F.array_join(words, ",").alias("original_keywords"),
+                    T.keywords_string(words).alias("keywords_string"))
+
+
+oracle("keyword_string", POSTS + f"""SELECT doc_id, array_to_string([keyword, keywords], ',') AS original_keywords,
+  array_to_string(list_transform(list_filter(list_transform([keyword, keywords], lambda k: {Q.strip_blank('k')}), lambda k: k <> ''),
+    lambda k: CASE WHEN contains(k, ' ') THEN '"' || k || '"' ELSE k END), ' ') AS keywords_string FROM posts""")
+
+
+@register("flatten_video")
+def q_flatten_video(spark, sf):
+    """P10 (+D8, P7): video API answers (nested JSON built from the youtube posts) parsed with a
+    fixed schema and flattened; missing statistics default to 0, a missing publish time to as_of."""
+    yt = TB.posts(spark, sf).where(F.col("platform") == "youtube")
+    n = F.col("doc_id")
+    answer = F.to_json(F.struct(
+        F.concat(F.lit("v"), n.cast("string")).alias("id"),
+        F.struct(F.col("title").alias("title"), F.substring("content", 1, 200).alias("description"),
+                 F.when(n % 5 != 0, F.concat(F.date_format("base_date", "yyyy-MM-dd"), F.lit("T08:00:00Z")))
+                 .alias("publishedAt"), F.col("source").alias("channelTitle")).alias("snippet"),
+        F.struct(F.when(n % 4 != 0, (n * 3).cast("string")).alias("viewCount"),
+                 F.when(n % 6 != 0, (n % 97).cast("string")).alias("likeCount"),
+                 (n % 13).cast("string").alias("commentCount")).alias("statistics"),
+        F.struct(F.concat(F.lit("PT"), (n % 60).cast("string"), F.lit("M")).alias("duration")).alias("contentDetails")))
+    raw = yt.select(answer.alias("raw"))
+    schema = ("id string, snippet struct<title:string,description:string,publishedAt:string,channelTitle:string>, "
+              "statistics struct<viewCount:string,likeCount:string,commentCount:string>, "
+              "contentDetails struct<duration:string>")
+    v = raw.select(F.from_json("raw", schema).alias("v")).select("v.*")
+
+    def stat(name):
+        return F.coalesce(F.coalesce(F.col(f"statistics.{name}"), F.lit("0")).try_cast("long"), F.lit(0))
+
+    return v.select(
+        F.sha2(F.concat(F.lit("youtube_"), F.col("id")), 256).alias("doc_key"),
+        F.col("snippet.title").alias("title"), F.col("snippet.description").alias("content"),
+        F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("id")).alias("url"),
+        D.iso_to_ymd(F.col("snippet.publishedAt")).alias("published_date"),
+        F.col("snippet.channelTitle").alias("channel_title"),
+        stat("viewCount").alias("view_count"), stat("likeCount").alias("like_count"),
+        stat("commentCount").alias("comment_count"), F.col("contentDetails.duration").alias("duration"))
+
+
+oracle("flatten_video", POSTS + f"""SELECT sha256('youtube_v' || doc_id) AS doc_key, title, left(content, 200) AS content,
+  'https://www.youtube.com/watch?v=v' || doc_id AS url,
+  CASE WHEN doc_id % 5 <> 0 THEN strftime(base_date, '%Y%m%d') ELSE {Q.ymd(Q.as_of())} END AS published_date,
+  source AS channel_title, CASE WHEN doc_id % 4 <> 0 THEN doc_id * 3 ELSE 0 END AS view_count,
+  CASE WHEN doc_id % 6 <> 0 THEN doc_id % 97 ELSE 0 END AS like_count, doc_id % 13 AS comment_count,
+  'PT' || (doc_id % 60) || 'M' AS duration FROM posts WHERE platform = 'youtube'""")
