@@ -1,7 +1,7 @@
 """Order-dependent de-duplication (W1-W4) and incremental anti joins.
 
-"First wins" / "last wins" are aggregates, not window ranks: ``groupBy(key).agg(min_by(row,
-seq))`` runs a partial aggregate on every map task before the shuffle, so a key that holds a
+"First wins" / "last wins" are aggregates, not window ranks: ``groupBy(key).agg(min_by(col,
+seq), ...)`` runs a partial aggregate on every map task before the shuffle, so a key that holds a
 third of all rows reaches the reducer as one row per map task instead of as a third of the data
 (a ``row_number`` window would sort the whole hot group in one task).
 """
@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, keys, order: str = "ingest_seq") -> DataFrame:
-    """One row per ``keys``: the row with the smallest ``order``."""
+    """One row per ``keys``: the row with the smallest ``order``.
+
+    ``order`` must be unique (a sequence number), so picking every column with ``min_by`` on it
+    picks one row.  Per-column ``min_by`` keeps fixed-width aggregation buffers when the carried
+    columns are numeric, which lets Spark use a hash aggregate instead of a sort aggregate.
+    """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest])
-    return (df.groupBy(*keys).agg(F.min_by(row, F.col(order)).alias("_r"))
-            .select(*keys, "_r.*"))
+    return df.groupBy(*keys).agg(*[F.min_by(c, F.col(order)).alias(c) for c in rest])
 
 
 def keep_last(df: DataFrame, keys, order: str = "ingest_seq") -> DataFrame:
@@ -26,10 +29,8 @@ def keep_last(df: DataFrame, keys, order: str = "ingest_seq") -> DataFrame:
     where the key was first seen (dict-overwrite order)."""
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest])
-    return (df.groupBy(*keys).agg(F.max_by(row, F.col(order)).alias("_r"),
-                                  F.min(order).alias("first_seq"))
-            .select(*keys, "_r.*", "first_seq"))
+    return df.groupBy(*keys).agg(*[F.max_by(c, F.col(order)).alias(c) for c in rest],
+                                 F.min(order).alias("first_seq"))
 
 
 def new_only(df: DataFrame, seen: DataFrame, key: str = "doc_id") -> DataFrame:
