@@ -64,3 +64,17 @@ def test_iso_and_extract(spark):
     assert one(spark, D.iso_to_ymd(F.col("s"), as_of=AS_OF), "garbage") == "20261201"
     assert one(spark, D.extract_date(F.col("s")), "posted on 2024.3.5 by x") == "2024.3.5"
     assert one(spark, D.extract_date(F.col("s")), "none") == ""
+
+
+def test_clean_policy_and_ymd_timestamp(spark):
+    # 8 digits, Korean marks, separators, timestamps; else null
+    f = lambda s: one(spark, D.parse_date_clean(F.col("s")), s)
+    assert f("20240305") == dt.date(2024, 3, 5)
+    assert f("2024년 3월 5일") == dt.date(2024, 3, 5)
+    assert f("2024.03.05") == dt.date(2024, 3, 5)
+    assert f("2024-03-05 10:11:12") == dt.date(2024, 3, 5)
+    assert f("not a date") is None
+    # yyyyMMdd -> timestamp, failure -> as_of midnight
+    g = lambda s: one(spark, D.ymd_to_timestamp(F.col("s"), as_of=AS_OF), s)
+    assert g("20240305").date() == dt.date(2024, 3, 5)
+    assert g("bad").date() == AS_OF
