@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -46,18 +47,37 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables, streaming checkpoints and sinks.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a folder of our own is created and registered.
+    Uses the folder the cluster names in ``spark.checkpoint.dir``.  Only a ``local`` master, whose
+    tasks run on this machine, gets a folder of our own when none is named; on a cluster every
+    executor would write to its own disk, so there a missing setting is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postlens-ckpt-"))
-        d = spark.sparkContext.getCheckpointDir()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="postlens-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared folder."""
-    return os.path.join(shared_dir(spark), "postlens", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_dir(spark).rstrip('/')}/postlens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for functions that run there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_postlens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="postlens-zip-"), "postlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.join("postlens", os.path.relpath(path, here)))
+    sc.addPyFile(archive)
+    sc._postlens_shipped = True
