@@ -43,9 +43,9 @@ PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i modulo 2**64 for i < n; kept and grown as longer pieces come."""
     if len(_powers["up"]) < n:
-        n = max(n, 2 * len(_powers["up"]))
+        size = max(n, 2 * len(_powers["up"]))
         for k, b in (("up", _B), ("down", _B_INV)):
-            a = np.full(n, b, U)
+            a = np.full(size, b, U)
             a[0] = 1
             _powers[k] = np.cumprod(a)
     return _powers["up"][:n], _powers["down"][:n]
