@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import substring_dedup
+from postlens.llm import mixing, ngram_join, substring_dedup
 from postlens.llm.jobs import table
 
 
@@ -14,6 +14,16 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup,)}
+def op3_source_mixing(spark, sf_dir):
+    return mixing.mix(_documents(spark, sf_dir))
 
-ORACLE = {"op2_substring_dedup": substring_dedup.ORACLE}
+
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.link_components(_documents(spark, sf_dir)).drop("th")
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_source_mixing, op7_ngram_jaccard_join)}
+
+ORACLE = {"op2_substring_dedup": substring_dedup.ORACLE,
+          "op3_source_mixing": mixing.ORACLE,
+          "op7_ngram_jaccard_join": ngram_join.ORACLE}
