@@ -59,3 +59,26 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         raise RuntimeError("components did not settle")
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
             .union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct())
+
+
+def held_out(doc_id) -> F.Column:
+    """Rows that no classifier learns from: crc32 of the doc_id as text leaves 2 modulo 4."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """((label, text) of at most ``per_class`` rows of each label, counts of each label).
+
+    The rows are those with the smallest hash of doc_id; held-out rows and rows without a label or
+    a doc_id are left out, several labels of a document count as their largest.  At most
+    2 * per_class ids are broadcast.
+    """
+    known = (labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out("doc_id"))
+             .groupBy("doc_id").agg(F.max(column).cast("int").alias("label")))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    picked = None
+    for label in (0, 1):
+        some = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        picked = some if picked is None else picked.union(some)
+    texts = docs.select("doc_id", "text").where("text is not null")
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text"), counts

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import mixing, ngram_join, substring_dedup
+from postlens.llm import mixing, ngram_join, substring_dedup, toxicity_crf
 from postlens.llm.jobs import table
 
 
@@ -22,7 +22,11 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link_components(_documents(spark, sf_dir)).drop("th")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_source_mixing, op7_ngram_jaccard_join)}
+def op9_toxicity_crf(spark, sf_dir):
+    return toxicity_crf.toxicity(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_source_mixing, op7_ngram_jaccard_join, op9_toxicity_crf)}
 
 ORACLE = {"op2_substring_dedup": substring_dedup.ORACLE,
           "op3_source_mixing": mixing.ORACLE,

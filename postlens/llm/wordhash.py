@@ -53,10 +53,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each values[start:end], from prefix sums of a polynomial modulo 2**64."""
+    return range_hashes(values, start, [end])[0]
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """The same for several ends of each start."""
     up, down = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, U)
     np.cumsum(values * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    low, scale = sums[start], down[start]
+    return [mix((sums[e] - low) * scale + (e - start).astype(U) * U(0xD6E8FEB86659FD93)) for e in ends]
 
 
 @dataclass
@@ -85,7 +91,21 @@ class Piece:
         idx = range(words.start, words.stop) if isinstance(words, slice) else words
         return b" ".join([raw[self.start[i]:self.end[i]] for i in idx])
 
+    def prefix_hashes(self, sizes: list[int]) -> list[np.ndarray]:
+        """Hash of the first bytes of each word, for each number of bytes."""
+        return range_hashes(_BYTE[self.data], self.start, [np.minimum(self.end, self.start + k) for k in sizes])
+
+    def char_offsets(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and one past the last character of these words within their document's text."""
+        before = np.concatenate([[0], np.cumsum((self.source & 0xC0) != 0x80)])
+        doc = np.searchsorted(self.bounds, words, "right") - 1
+        base = before[self.offsets[doc]]
+        return before[self.origin[self.start[words]]] - base, before[self.origin[self.end[words] - 1] + 1] - base
+
     _raw: bytes | None = None
+    source: np.ndarray | None = None      # the bytes before stripping
+    origin: np.ndarray | None = None      # place in source of each byte of data
+    offsets: np.ndarray | None = None     # documents in source
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +136,12 @@ def raw_pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 def word_pieces(column: pa.Array, lower: bool = False, strip: bool = False) -> Iterator[Piece]:
     """``lower``: A-Z count as a-z.  ``strip``: ASCII punctuation is left out of the words."""
     for row, off, data in raw_pieces(column):
+        source, offsets, origin = data, off, None
         if lower:
             data = LOWER[data]
         if strip:
             keep = ~PUNCT[data]
+            origin = np.flatnonzero(keep)
             off = np.concatenate([[0], np.cumsum(keep)])[off]
             data = data[keep]
         n = len(data)
@@ -129,7 +151,8 @@ def word_pieces(column: pa.Array, lower: bool = False, strip: bool = False) -> I
         first[off] = True
         start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
         end = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
-        yield Piece(row, np.searchsorted(start, off), start, end, range_hash(_BYTE[data], start, end), data)
+        yield Piece(row, np.searchsorted(start, off), start, end, range_hash(_BYTE[data], start, end), data,
+                    source=source, origin=np.arange(n) if origin is None else origin, offsets=offsets)
 
 
 def windows(values: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
