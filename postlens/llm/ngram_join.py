@@ -9,13 +9,14 @@ many documents last.  What is frequent is read off a count sketch of fixed size
 4 MB) over all shingles of all documents; any order gives the same links, the sketch only keeps
 columns thin.
 
-Overlap counts are accumulated over the cells and a pair goes on only if its count reaches what the
-two sizes demand: a link needs ceil(0.75 (x + y) / 1.75) common shingles, of which at most
-max(ceil(0.75 x), ceil(0.75 y)) - 1 can lie behind the kept cells.  Two rounds keep groups of
+A link of sizes x and y needs ceil(0.75 (x + y) / 1.75) common shingles.  Two rounds keep groups of
 copies from growing into all their pairs.  Round 1 pairs each class with the earliest class of each
-column, takes the one with the highest count and verifies it.  Round 2 takes every pair of cells
-whose classes are not yet in one component; pairs within a component can't change the result.
-Verification compares the whole sets, computed again from the texts.
+column, accumulates the overlap counts over the cells, drops pairs whose count plus what can lie
+behind the kept cells, max(ceil(0.75 x), ceil(0.75 y)) - 1, falls short of that number, takes the
+pair with the highest count and verifies it.  Round 2 takes the pairs of cells whose classes are not
+yet in one component (pairs within one can't change the result): the two sets must meet within the
+first x - needed + 1 and y - needed + 1 places of the order, so a cell's place bounds the sizes it
+can pair with.  Verification compares the whole sets, computed again from the texts.
 
 Defined cases: a text without words (null, empty) has an empty set, is linked with nothing and is
 its own component; fewer than five words make one shingle of the whole sequence; a row with a null
@@ -128,15 +129,16 @@ def _cells(levels):
     def run(batches):
         table = levels.value
         for batch in batches:
-            grams, ids = [], []
+            grams, ids, place = [], [], []
             for _, s in shingle_sets(batch.column("text")):
                 if len(s):
                     order = np.argsort(table[(s >> U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     grams.append(s[order[:kept_cells(len(s))]])
                     ids.append(np.full(len(grams[-1]), set_id(s), U))
+                    place.append(np.arange(len(grams[-1]), dtype=np.int32))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(grams))),
-                                                  pa.array(as_long(np.concatenate(ids)))], ["g", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(grams))), pa.array(as_long(np.concatenate(ids))),
+                                                  pa.array(np.concatenate(place))], ["g", "sid", "place"])
     return run
 
 
@@ -181,11 +183,11 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     keyed = docs.select("doc_id", "text").where("text is not null")
     levels = spark.sparkContext.broadcast(column_levels(keyed.select("text")))
-    cells = arrow_job(keyed.select("text"), _cells(levels), "g long, sid long")
+    cells = arrow_job(keyed.select("text"), _cells(levels), "g long, sid long, place int")
     shared = written(cells.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "columns")
     cells = written(cells.join(shared, "g", "left_semi").distinct(), "cells_all")
     busy = cells.groupBy("g").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x < y").select("g")
-    cells = written(cells.join(busy, "g", "left_semi").join(reps, "sid").select("g", "sid", "n", "doc_id"), "cells")
+    cells = written(cells.join(busy, "g", "left_semi").join(reps, "sid").select("g", "sid", "place", "n", "doc_id"), "cells")
 
     # the texts of all classes that share a column with another class
     wanted = cells.select("sid").distinct().join(reps, "sid").select("sid", "doc_id", "th")
@@ -206,21 +208,24 @@ def link_components(docs: DataFrame) -> DataFrame:
     links = written(_link(best, texts), "links1")
     comp = written(components(links), "comp1")
 
-    # round 2: all other pairs of cells, between components only
+    # round 2: all other pairs of cells that can be the first to meet, between components only
     cc = cells.join(comp.withColumnRenamed("node", "sid"), "sid", "left") \
-        .select("g", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
+        .select("g", "sid", "n", F.coalesce("comp", "sid").alias("comp"),
+                F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}").alias("least"),
+                F.expr(f"({DEN} * n - {NUM + DEN} * place) div {NUM}").alias("most"))
     cc = written(cc, "cells2")
-    per = cc.select("g", "comp").distinct()
+    per = cc.groupBy("g", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"),
+                                      F.min("least").alias("least"), F.max("most").alias("most"))
     many = per.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
     per = written(per.join(many, "g", "left_semi"), "columns2")
-    across = (per.select("g", F.col("comp").alias("c1")).join(per.select("g", F.col("comp").alias("c2")), "g")
-              .where("c1 < c2"))
-    left = cc.select("g", F.col("comp").alias("c1"), F.col("sid").alias("u"), F.col("n").alias("nu"))
-    right = cc.select("g", F.col("comp").alias("c2"), F.col("sid").alias("v"), F.col("n").alias("nv"))
-    pairs = (across.join(left, ["g", "c1"]).join(right, ["g", "c2"])
-             .where(f"{DEN} * least(nu, nv) >= {NUM} * greatest(nu, nv)")
-             .groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("c"))
-             .where(_could_link("nu", "nv", "c")).select("u", "v"))
+    across = (per.alias("a").join(per.alias("b"), F.expr(
+        "a.g = b.g and a.comp < b.comp and a.n1 >= b.least and a.n0 <= b.most and b.n1 >= a.least and b.n0 <= a.most"))
+        .select("a.g", F.col("a.comp").alias("c1"), F.col("b.comp").alias("c2")))
+    pairs = (across.join(cc.alias("x").withColumnRenamed("comp", "c1"), ["g", "c1"])
+             .select("g", "c2", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("least").alias("lu"), F.col("most").alias("mu"))
+             .join(cc.withColumnRenamed("comp", "c2"), ["g", "c2"])
+             .where("n between lu and mu and nu between least and most")
+             .select("u", F.col("sid").alias("v")).distinct())
     pairs = pairs.join(best, ["u", "v"], "left_anti") \
         .join(best.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
     more = written(_link(written(pairs, "pairs2"), texts), "links2")
