@@ -16,7 +16,7 @@ behind the kept cells, max(ceil(0.75 x), ceil(0.75 y)) - 1, falls short of that
 pair with the highest count and verifies it.  Round 2 takes the pairs of cells whose classes are not
 yet in one component (pairs within one can't change the result): the two sets must meet within the
 first x - needed + 1 and y - needed + 1 places of the order, so a cell's place bounds the sizes it
-can pair with.  Verification compares the whole sets, computed again from the texts.
+can pair with; their overlap counts are then accumulated and bounded as before.  Verification compares the whole sets, computed again from the texts.
 
 Defined cases: a text without words (null, empty) has an empty set, is linked with nothing and is
 its own component; fewer than five words make one shingle of the whole sequence; a row with a null
@@ -101,7 +101,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def column_levels(texts: DataFrame) -> np.ndarray:
-    """For each sketch cell, 0 where its count is usual, else the rounded log2 of the count."""
+    """For each sketch cell, 0 where its count is usual, else how far above (log scale)."""
     schema = "block int, salt int, counts binary"
     merged = (arrow_job(texts, _counters, schema)
               .groupBy("block", "salt").applyInPandas(_merge, schema)
@@ -110,8 +110,8 @@ def column_levels(texts: DataFrame) -> np.ndarray:
     for r in merged.collect():                    # SKETCH_BLOCKS rows, 4 MB in all
         counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     counts = counts.reshape(-1).astype(float)
-    usual = np.median(counts)
-    return np.where(counts > usual + 4 * np.sqrt(usual + 1), np.ceil(2 * np.log2(counts + 1)), 0).astype(np.uint8)
+    above = (counts - np.median(counts)) / np.sqrt(np.median(counts) + 1)
+    return np.where(above >= 1, 1 + np.floor(6 * np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
 
 
 # --- jobs over the texts --------------------------------------------------------------------------
@@ -226,6 +226,13 @@ def link_components(docs: DataFrame) -> DataFrame:
              .join(cc.withColumnRenamed("comp", "c2"), ["g", "c2"])
              .where("n between lu and mu and nu between least and most")
              .select("u", F.col("sid").alias("v")).distinct())
+    # a pair's whole count over the kept cells, of which a class has no more than its text has words
+    own = written(cells.groupBy("sid", "n").agg(F.collect_list("g").alias("own")), "own_cells")
+    pairs = (written(pairs, "meetings")
+             .join(own.select(F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("own").alias("a")), "u")
+             .join(own.select(F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("own").alias("b")), "v")
+             .withColumn("c", F.size(F.array_intersect("a", "b")))
+             .where(_could_link("nu", "nv", "c")).select("u", "v"))
     pairs = pairs.join(best, ["u", "v"], "left_anti") \
         .join(best.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
     more = written(_link(written(pairs, "pairs2"), texts), "links2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlens.llm import mixing, ngram_join, substring_dedup, toxicity_crf
+from postlens.llm import decontam, mixing, ngram_join, quality_bt, substring_dedup, toxicity_crf
 from postlens.llm.jobs import table
 
 
@@ -10,6 +10,14 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def op1_simhash_decontamination(spark, sf_dir):
+    return decontam.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("th")
+
+
+def op4_bradley_terry_quality(spark, sf_dir):
+    return quality_bt.quality(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(_documents(spark, sf_dir))
 
@@ -26,7 +34,7 @@ def op9_toxicity_crf(spark, sf_dir):
     return toxicity_crf.toxicity(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_source_mixing, op7_ngram_jaccard_join, op9_toxicity_crf)}
+QUERIES = {f.__name__: f for f in (op1_simhash_decontamination, op2_substring_dedup, op3_source_mixing, op4_bradley_terry_quality, op7_ngram_jaccard_join, op9_toxicity_crf)}
 
 ORACLE = {"op2_substring_dedup": substring_dedup.ORACLE,
           "op3_source_mixing": mixing.ORACLE,
