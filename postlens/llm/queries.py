@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from postlens.llm import decontam, mixing, ngram_join, quality_bt, substring_dedup, toxicity_crf
+from postlens.llm import (decontam, html_lstm, mixing, ngram_join, pii_feistel, quality_bt, quality_llr,
+                          substring_dedup, token_counts, toxicity_crf)
 from postlens.llm.jobs import table
 
 
@@ -26,15 +27,33 @@ def op3_source_mixing(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op5_feistel_pseudonyms(spark, sf_dir):
+    return pii_feistel.find_and_replace(_documents(spark, sf_dir))
+
+
+def op6_lstm_html_extraction(spark, sf_dir):
+    return html_lstm.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link_components(_documents(spark, sf_dir)).drop("th")
 
 
+def op8_ngram_likelihood_quality(spark, sf_dir):
+    return quality_llr.judge(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity_crf(spark, sf_dir):
     return toxicity_crf.toxicity(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_decontamination, op2_substring_dedup, op3_source_mixing, op4_bradley_terry_quality, op7_ngram_jaccard_join, op9_toxicity_crf)}
+def op10_edit_aware_token_counts(spark, sf_dir):
+    return token_counts.edited_counts(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_decontamination, op2_substring_dedup, op3_source_mixing, op4_bradley_terry_quality, op5_feistel_pseudonyms,
+    op6_lstm_html_extraction, op7_ngram_jaccard_join, op8_ngram_likelihood_quality, op9_toxicity_crf, op10_edit_aware_token_counts)}
 
 ORACLE = {"op2_substring_dedup": substring_dedup.ORACLE,
           "op3_source_mixing": mixing.ORACLE,
