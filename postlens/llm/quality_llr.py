@@ -1,11 +1,13 @@
 """Quality rules with a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
-Words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets.  Two multinomials with
-add-``SMOOTH`` smoothing are counted: the target over trusted documents (labelled quality 1; at most
-``TRUSTED`` of them, those with the smallest hash of doc_id, held-out rows left out) and the raw one
-over all documents.  A document's verdict is the mean, over its words and pairs, of log target - log
-raw: at or above the cut it is kept.  The cut is the ``CUT`` quantile of the trusted documents' own
-ratios, so that nearly all that is like the target stays.
+Words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets.  Two multinomials are
+counted: the target over trusted documents (labelled quality 1; at most ``TRUSTED`` of them, those
+with the smallest hash of doc_id, held-out rows left out) and the raw one over all documents, scaled
+to the target's total; both get ``SMOOTH`` added to each bucket, so a bucket that the target could
+hardly have hit weighs nothing.  A document's verdict is the mean, over its words and pairs, of log
+target - log raw: at or above the cut it is kept.  Every third trusted document is left out of the
+target; the cut is the ``CUT`` quantile of the ratios of these, so that nearly all that is like the
+target stays.
 
 The base rules are exact per-document counts.  Repeated three-word windows are found by their
 64-bit hashes within one document; sorting is needed only where a document has a repeated one.
@@ -15,8 +17,7 @@ BUCKETS rows per task before its shuffle, the second looks the bounded weight ta
 broadcast of BUCKETS rows and sums per document before its shuffle.
 
 Defined cases: a text without words (null, empty) has zero counts, fails the base rules and isn't
-kept; without trusted documents the target equals the raw counts, every ratio is 0 and the base
-rules decide; rows that repeat count each and get a row each; an empty table gives an empty result;
+kept; without trusted documents every ratio is 0 and the base rules decide; rows that repeat count each and get a row each; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -32,8 +33,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 16
 TRUSTED = 5000
-SMOOTH = 0.5
-CUT = 0.002
+SMOOTH = 2.0
+CUT = 0.001
 MIN_WORDS = 50
 MAX_REPEAT = 50                    # per cent of words in repeated three-word windows
 
@@ -41,7 +42,8 @@ MAX_REPEAT = 50                    # per cent of words in repeated three-word wi
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
     good = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
             .groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1"))
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("_id"), F.lit(1).alias("trusted"))
+    few = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return few.select(F.col("doc_id").alias("_id"), F.when(F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(3)) == 0, 2).otherwise(1).alias("trusted"))
 
 
 def _words(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -84,16 +86,14 @@ def base_counts(words: DataFrame) -> DataFrame:
 
 
 def weights(words: DataFrame) -> DataFrame:
-    """(bucket, weight): log target - log raw, for every bucket that occurs."""
+    """(bucket, weight): log target - log raw, for every bucket that occurs (both have the target's total)."""
     counted = (words.select("trusted", F.explode(_buckets()).alias("bucket"))
-               .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")))
+               .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum((F.col("trusted") == 1).cast("long")).alias("target")))
     counted = written(counted, "buckets")
     total = counted.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
     raw, target = float(total["r"] or 0), float(total["t"] or 0)
-    t = F.col("target") if target else F.col("raw")
-    target = target or raw
-    return counted.select("bucket", (F.log((t + SMOOTH) / F.lit(target + SMOOTH * BUCKETS))
-                                     - F.log((F.col("raw") + SMOOTH) / F.lit(raw + SMOOTH * BUCKETS))).alias("weight"))
+    usual = F.col("raw") * F.lit(target / max(raw, 1.0))
+    return counted.select("bucket", (F.log(F.col("target") + SMOOTH) - F.log(usual + SMOOTH)).alias("weight"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
               .groupBy("_row", *own).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("ratio"))
               .withColumn("base_failed", (F.col("n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n"))))
     scored = written(scored, "scored")
-    cut = scored.where("trusted = 1 and not base_failed").agg(F.percentile("ratio", CUT).alias("cut")).first()["cut"]
+    cut = scored.where("trusted = 2 and not base_failed").agg(F.percentile("ratio", CUT).alias("cut")).first()["cut"]
     verdict = F.lit(True) if cut is None else F.col("ratio") >= F.lit(cut) - 1e-12
     return scored.select("doc_id", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), "ratio")
