@@ -259,9 +259,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = parts.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r")) \
         .select("r.doc_id", "r.th")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("d"),
-                         F.xxhash64(docs["text"]).alias("t"))
-    blank = F.coalesce(~docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    packed = packed.withColumn("blank", blank)
+                         F.xxhash64(docs["text"]).alias("t"),
+                         F.coalesce(~docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(True)).alias("blank"))
     one = packed.where("not blank").join(rows, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")), "left_semi")
     one = one.groupBy("d", "t").agg(F.first("row").alias("row"))
     return one.select("row.*").unionByName(packed.where("blank").select("row.*"))

@@ -17,8 +17,8 @@ BUCKETS rows per task before its shuffle, the second looks the bounded weight ta
 broadcast of BUCKETS rows and sums per document before its shuffle.
 
 Defined cases: a text without words (null, empty) has zero counts, fails the base rules and isn't
-kept; without trusted documents every ratio is 0 and the base rules decide; rows that repeat count each and get a row each; an empty table gives an empty result;
-other columns are ignored.
+kept; without trusted documents every ratio is 0 and the base rules decide; rows that repeat count
+each and get a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
