@@ -35,7 +35,7 @@ from postlens.llm.jobs import arrow_job, held_out, labelled_sample
 from postlens.llm.wordhash import U, Piece, word_pieces
 from postlens.session import ship
 
-SAMPLE = 2500                      # labelled documents of each label that the model learns from
+SAMPLE = 1800                      # labelled documents of each label that the model learns from
 BITS = 20                          # weights
 PREFIXES = [4, 5, 6]
 THRESHOLD = 0.3
@@ -169,9 +169,36 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
         if len(r["f"]) and (key := hash(bytes(r["f"]))) not in seen:
             seen.add(key)
             data.append((r["label"], np.frombuffer(r["f"], np.int32).reshape(-1, 1 + len(PREFIXES))))
+    del rows
     return fit(data, counts)
 
 
+def _groups(data: list, words: int = 100_000):
+    """Runs of documents of about so many words: what training holds in memory at once."""
+    group, n = [], 0
+    for d in data:
+        group.append(d)
+        n += len(d[1])
+        if n >= words:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
+def _piece(group: list, marked: np.ndarray) -> tuple:
+    """Features, first words, truth, and the counts of pairs, first words and toxic words in it."""
+    f = np.concatenate([x for _, x in group])
+    sizes = np.array([len(x) for _, x in group])
+    first = np.zeros(len(f), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    truth = (marked[f].any(1) & np.repeat(np.array([d[0] for d in group]) == 1, sizes)).astype(float)
+    same = ~first[1:]
+    pairs = np.zeros((2, 2))
+    np.add.at(pairs, (truth[:-1][same].astype(int), truth[1:][same].astype(int)), 1)
+    return f, first, truth, pairs, np.array([(1 - truth[first]).sum(), truth[first].sum()]), truth.sum()
+
+
 def fit(data: list[tuple[int, np.ndarray]], counts: dict[int, int]) -> Model:
     """data: (label, features of the words) of distinct texts; counts: documents of each label."""
     model = Model()
@@ -185,43 +212,40 @@ def fit(data: list[tuple[int, np.ndarray]], counts: dict[int, int]) -> Model:
     marked = (df[1] >= min(MIN_DOCS, max(1, (y == 1).sum() // 20))) & (ratio >= MIN_RATIO)
 
     part = np.arange(len(data)) % 3
-    learn = [d for d, k in zip(data, part, strict=True) if k]
-    f = np.concatenate([x for _, x in learn])
-    sizes = np.array([len(x) for _, x in learn])
-    first = np.zeros(len(f), bool)
-    first[np.cumsum(sizes)[:-1]] = True
-    first[0] = True
-    truth = (marked[f].any(1) & np.repeat(np.array([d[0] for d in learn]) == 1, sizes)).astype(float)
-
+    pieces = [_piece(group, marked) for group in _groups([d for d, k in zip(data, part, strict=True) if k])]
+    pair_truth, start_truth, words_truth = (sum(p[k] for p in pieces) for k in (3, 4, 5))
     w = np.zeros(1 << BITS)
     speed = np.full(1 << BITS, 1e-8)
     logt, logs, bias = np.log(model.trans), np.log(model.start), model.bias
-    same = ~first[1:]
-    pair_truth = np.zeros((2, 2))
-    np.add.at(pair_truth, (truth[:-1][same].astype(int), truth[1:][same].astype(int)), 1)
-    start_truth = np.array([(1 - truth[first]).sum(), truth[first].sum()])
     for _ in range(STEPS):
-        alpha, beta, step = chain(w[f].sum(1) + bias, first, np.exp(logt), np.exp(logs))
-        both = alpha * beta
-        m = both[:, 1] / both.sum(1)
-        grad = np.bincount(f.ravel(), np.repeat(truth - m, f.shape[1]), minlength=1 << BITS) - 0.02 * w
+        grad, pair, first_words, words = -0.02 * w, np.zeros((2, 2)), np.zeros(2), 0.0
+        for f, first, truth, *_ in pieces:
+            alpha, beta, step = chain(w[f].sum(1) + bias, first, np.exp(logt), np.exp(logs))
+            both = alpha * beta
+            m = both[:, 1] / both.sum(1)
+            grad += np.bincount(f.ravel(), np.repeat(truth - m, f.shape[1]), minlength=1 << BITS)
+            two = alpha[:-1, :, None] * step[1:] * beta[1:, None, :]
+            pair += (two / two.sum((1, 2), keepdims=True))[~first[1:]].sum(0)
+            first_words += [(1 - m[first]).sum(), m[first].sum()]
+            words += m.sum()
         speed += grad * grad
         w += 0.7 * grad / np.sqrt(speed)
-        pair = alpha[:-1, :, None] * step[1:] * beta[1:, None, :]
-        pair = (pair / pair.sum((1, 2), keepdims=True))[same].sum(0)
         logt += 0.3 * np.clip((pair_truth - pair) / np.maximum(pair_truth + pair, 10), -1, 1)
-        s = np.array([(1 - m[first]).sum(), m[first].sum()])
-        logs += 0.3 * np.clip((start_truth - s) / np.maximum(start_truth + s, 10), -1, 1)
-        bias += 0.3 * np.clip((truth.sum() - m.sum()) / max(truth.sum() + m.sum(), 10), -1, 1)
+        logs += 0.3 * np.clip((start_truth - first_words) / np.maximum(start_truth + first_words, 10), -1, 1)
+        bias += 0.3 * np.clip((words_truth - words) / max(words_truth + words, 10), -1, 1)
     model.weights, model.bias = w.astype(np.float32), float(bias)
     model.trans, model.start = np.exp(logt), np.exp(logs)
 
-    rest = [d for d, k in zip(data, part, strict=True) if not k] or learn
-    f = np.concatenate([x for _, x in rest])
-    bounds = np.concatenate([[0], np.cumsum([len(x) for _, x in rest])])
-    first = np.zeros(len(f), bool)
-    first[bounds[:-1]] = True
-    x = model.summary(marginals(model.weights[f].sum(1, dtype=np.float64) + model.bias, first, model.trans, model.start), bounds)
+    rest = [d for d, k in zip(data, part, strict=True) if not k] or data
+    x = []
+    for group in _groups(rest):
+        f = np.concatenate([x for _, x in group])
+        bounds = np.concatenate([[0], np.cumsum([len(x) for _, x in group])])
+        first = np.zeros(len(f), bool)
+        first[bounds[:-1]] = True
+        e = model.weights[f].sum(1, dtype=np.float64) + model.bias
+        x.append(model.summary(marginals(e, first, model.trans, model.start), bounds))
+    x = np.concatenate(x)
     t = np.array([d[0] for d in rest])
     share = np.array([counts.get(k, 1) / max((t == k).sum(), 1) for k in (0, 1)])
     model.calibration = _logistic(x, t, share[t])
