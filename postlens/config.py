@@ -52,31 +52,21 @@ MODEL_SETS = {
 }
 DEFAULT_FALLBACK_MODELS = ["kobert", "kcelectra-base-v2022", "kcelectra"]
 
-# platform aliases rolled up to their parent platform
-PLATFORM_PARENTS = ["naver", "youtube", "google", "dcinside", "fmkorea", "buan"]
+# platforms and the names that roll up to them; other naver_ names roll up to naver, the rest is rejected
+PLATFORM_PARENTS = ["naver", "youtube", "google", "buan_gov", "community"]
 PLATFORM_ALIASES = {
-    "naver_blog_api": "naver",
-    "naver_news_api": "naver",
-    "naver_cafearticle_api": "naver",
-    "naver_direct_crawl": "naver",
+    "naver_blog": "naver", "naver_blog_api": "naver", "naver_cafe": "naver", "naver_cafearticle": "naver",
+    "naver_cafearticle_api": "naver", "naver_news": "naver", "naver_community": "naver",
     "youtube_api": "youtube",
-    "google_search": "google",
-    "google_api": "google",
-    "buan_gov": "buan",
-    "dcinside_community": "dcinside",
-    "fmkorea_community": "fmkorea",
+    "google_search": "google", "google_news": "google",
+    "buan_gov_news": "buan_gov", "buan_gov_notice": "buan_gov",
+    "local_community": "community", "tour_community": "community",
 }
 
-# required columns per platform (schema check)
-REQUIRED_COMMON = ["title", "content", "url", "platform", "published_date"]
-REQUIRED_BY_PLATFORM = {
-    "youtube": REQUIRED_COMMON + ["video_id", "channel_title"],
-    "naver": REQUIRED_COMMON + ["blog_name"],
-    "dcinside": REQUIRED_COMMON + ["author"],
-    "buan": REQUIRED_COMMON + ["author", "board"],
-    "google": REQUIRED_COMMON,
-    "fmkorea": REQUIRED_COMMON,
-}
+# platform names that validation accepts, and the columns it requires
+REQUIRED_COMMON = ["title", "content", "published_date", "platform", "url"]
+VALID_PLATFORMS = PLATFORM_PARENTS + list(PLATFORM_ALIASES)
+VIDEO_PLATFORMS = ["youtube", "youtube_api"]            # these also require video_id
 
 # period units chosen from the span of dates (days): > 3650 Y, > 1825 3M, > 180 M, > 30 W, else D
 PERIOD_UNIT_STEPS = [(3650, "Y"), (1825, "3M"), (180, "M"), (30, "W")]
@@ -114,6 +104,3 @@ EXCLUDED_KEYWORDS = ["sponsored", "nicht"]
 POSITIVE_WORDS = ["and", "und", "et", "y", "with", "mit", "avec", "con", "good", "best"]
 NEGATIVE_WORDS = ["not", "nicht", "pas", "no", "ne", "sin", "sans", "ohne", "bad", "error"]
 RULE_SCORE_SCALE = 30.0
-
-# words kept in a word-frequency report (a top-k report)
-WORD_FREQ_TOP = 200

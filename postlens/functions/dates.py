@@ -204,3 +204,9 @@ def clamp_future(d, as_of=C.AS_OF) -> Column:
 
 def lit_date(d) -> Column:
     return _lit_date(d)
+
+
+def in_window(d: Column, first: str = "2000-01-01", last=C.AS_OF) -> Column:
+    """F11 as a generator: the date where it lies in the window, no row otherwise.  A filter on a
+    parsed date would be pushed below the projection and parse it a second time."""
+    return F.explode(F.filter(F.array(d), lambda x: x.between(F.lit(first).cast("date"), lit_date(last))))

@@ -62,19 +62,11 @@ def label_bucket(c) -> Column:
 
 
 def platform_parent(c) -> Column:
-    """Alias -> parent platform; prefixes naver_/google_/buan_gov_ and suffix _community roll
-    up; an unknown platform -> null (rejected)."""
+    """Name -> its platform; any other naver_ name -> naver; unknown -> null (rejected)."""
     p = F.lower(_c(c))
     alias = F.create_map(*[x for k, v in C.PLATFORM_ALIASES.items() for x in (F.lit(k), F.lit(v))])
     return (F.when(p.isin(*C.PLATFORM_PARENTS), p)
-            .otherwise(F.coalesce(
-                F.element_at(alias, p),
-                F.when(p.startswith("naver_"), F.lit("naver"))
-                .when(p.startswith("google_"), F.lit("google"))
-                .when(p.startswith("buan_gov_"), F.lit("buan"))
-                .when(p.endswith("_community"),
-                      F.when(F.regexp_replace(p, "_community$", "").isin(*C.PLATFORM_PARENTS),
-                             F.regexp_replace(p, "_community$", ""))))))
+            .otherwise(F.coalesce(F.element_at(alias, p), F.when(p.startswith("naver_"), F.lit("naver")))))
 
 
 def normalize_url(url) -> Column:

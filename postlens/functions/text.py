@@ -15,6 +15,7 @@ WORD = "[\\p{L}\\p{N}_]"
 BLANK_CHARS = "\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}"
 BLANK = f"[{BLANK_CHARS}]"
 
+# fixed values: patterns of what cleaning removes
 TAG_RE = "<[^>]+>"
 URL_RE = "http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\\\(\\\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 EMAIL_RE = "[\\p{L}\\p{N}_.-]+@[\\p{L}\\p{N}_.-]+\\.[\\p{L}\\p{N}_]+"
@@ -116,8 +117,14 @@ def preprocess(c, max_len: int = C.MAX_TEXT_LENGTH) -> Column:
     return chunk_long(basic_clean(c), max_len)
 
 
-def with_preprocessed(df, src: str, dst: str, max_len: int = C.MAX_TEXT_LENGTH):
-    """T1 + T2 as two projections, so the cleaning regexes run once per row."""
+def with_preprocessed(df, src: str, dst: str, mode: str = "whole", max_len: int = C.MAX_TEXT_LENGTH):
+    """T1, then T2 by ``mode``: "whole" keeps all of the cleaned text (a score over word counts is the
+    same as over all of its chunks together), "first_chunk" keeps T2's first chunk of long texts.
+    Two projections, so the cleaning regexes run once per row."""
+    if mode == "whole":
+        return df.withColumn(dst, basic_clean(src))
+    if mode != "first_chunk":
+        raise ValueError(f"no such mode: {mode}")
     return (df.withColumn("_clean", basic_clean(src))
             .withColumn(dst, chunk_long("_clean", max_len)).drop("_clean"))
 

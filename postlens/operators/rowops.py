@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, key: str | None = None, min_factor: int = 2) -> DataFrame:
-    """Hash-partition ``df`` on ``key`` when the scan yields fewer splits than cores.
+PARTITIONS = "postlens.scan.partitions"
 
-    Text cleaning and scoring are CPU-bound; a small table stored as one row group would otherwise
-    run in one task.  On a cluster the scan already yields thousands of splits and this is a no-op
-    (no extra shuffle).  Partitioning on the document key also lets a later join or aggregate on
-    that key reuse the partitioning.
+
+def spread(df: DataFrame, key: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` into ``partitions``, if asked for.
+
+    Off unless the caller or the session (``postlens.scan.partitions``) names a number: a table's
+    splits are the deployment's business, and a shuffle of whole texts only pays for small tables that
+    are stored as one row group.  The data's size never switches it on.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    n = partitions or int(df.sparkSession.conf.get(PARTITIONS, "0"))
+    if not n:
         return df
-    n = cores * min_factor
     return df.repartition(n, key) if key else df.repartition(n)
 
 

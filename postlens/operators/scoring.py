@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Iterator, Protocol
 
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from postlens import config as C
 from postlens.functions import predicates as P
 from postlens.functions import text as T
+from postlens.session import ship
 
 
 def _c(c) -> Column:
@@ -53,16 +55,6 @@ def with_argmax_head(df: DataFrame, logits: str, out: str) -> DataFrame:
     return x.drop("_l", "_m", "_e", "_p")
 
 
-def softmax_argmax(logits) -> Column:
-    """M3 for logits arrays of any length (one expression; fine for short literal-free arrays)."""
-    lg = _c(logits)
-    e = F.transform(lg, lambda x: F.exp(x - F.array_max(lg)))
-    p = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
-    top = F.array_max(p)
-    return F.struct((F.array_position(p, top) - 1).cast("int").alias("label"),
-                    top.cast("double").alias("confidence"))
-
-
 def apply_fallbacks(score: Column, text: Column, min_conf: float | None = C.LOW_CONFIDENCE_FALLBACK
                     ) -> Column:
     """M4: blank text -> (1, 0.0); confidence below ``min_conf`` -> (1, 0.0)."""
@@ -97,11 +89,38 @@ def with_rule_score(df: DataFrame, text_col: str, out: str = "score") -> DataFra
 # ---------------------------------------------------------------- M2 plug-in scorer protocol
 
 class Scorer(Protocol):
+    """Either form will do: a batch of texts, or one text at a time."""
+
     name: str
 
     def score(self, texts: pd.Series) -> pd.DataFrame:  # columns label, confidence
         ...
 
+    def analyze_text(self, text: str) -> tuple[int, float]:  # label, confidence
+        ...
+
+
+def score_texts(scorer, texts: pd.Series) -> tuple[pd.DataFrame, int]:
+    """Scores of a batch and the number of texts that failed.  A scorer that fails on a batch gets
+    it again text by text; a text that fails alone scores (1, 0.0)."""
+    if hasattr(scorer, "score"):
+        try:
+            return scorer.score(texts)[["label", "confidence"]].reset_index(drop=True), 0
+        except Exception:  # one text may have failed: find out which
+            pass
+    rows, failed = [], 0
+    for t in texts:
+        try:
+            if hasattr(scorer, "analyze_text"):
+                label, confidence = scorer.analyze_text(t)
+            else:
+                label, confidence = scorer.score(pd.Series([t]))[["label", "confidence"]].iloc[0]
+            rows.append((int(label), float(confidence)))
+        except Exception:
+            rows.append((C.NEUTRAL, 0.0))
+            failed += 1
+    return pd.DataFrame(rows, columns=["label", "confidence"]), failed
+
 
 class PandasRuleScorer:
     """The rule scorer as a plug-in (same lexicon), for the ``mapInPandas`` path."""
@@ -109,10 +128,11 @@ class PandasRuleScorer:
     name = "rule"
 
     def __init__(self, pos=C.POSITIVE_WORDS, neg=C.NEGATIVE_WORDS, scale=C.RULE_SCORE_SCALE):
+        import re
+
         import numpy as np
-        import regex
         self._np = np
-        self._tok = regex.compile(r"[\p{L}\p{N}_]+")
+        self._tok = re.compile(r"\w+")             # letters, numbers, _
         self.pos, self.neg, self.scale = set(pos), set(neg), scale
 
     def score(self, texts: pd.Series) -> pd.DataFrame:
@@ -132,14 +152,17 @@ class PandasRuleScorer:
 
 
 def batch_score(df: DataFrame, text_col: str, scorer_factory=PandasRuleScorer,
-                key_cols=("doc_id",)) -> DataFrame:
+                key_cols=("doc_id",), failures=None) -> DataFrame:
     """M2: score ``text_col`` with a plug-in scorer built once per task.
 
-    Ineligible text (F6) and scorer errors give (1, 0.0); the score stays on its row.
+    Ineligible text (F6) and texts that the scorer fails on give (1, 0.0); the score stays on its
+    row, and one failing text changes no other.  ``failures``: an accumulator that counts them.
     """
     keys = list(key_cols)
     src = df.select(*keys, F.col(text_col).alias("_text"),
                     P.sentiment_eligibility(text_col)["valid"].alias("_valid"))
+    ship(df.sparkSession)
+    failures = failures if failures is not None else df.sparkSession.sparkContext.accumulator(0)
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                            for f in src.schema.fields if f.name in keys)
     schema = f"{key_schema}, sentiment int, confidence double"
@@ -152,12 +175,11 @@ def batch_score(df: DataFrame, text_col: str, scorer_factory=PandasRuleScorer,
             out["confidence"] = 0.0
             ok = b["_valid"].fillna(False).astype(bool).to_numpy()
             if ok.any():
-                try:
-                    s = scorer.score(b.loc[ok, "_text"].reset_index(drop=True))
-                    out.loc[ok, "sentiment"] = s["label"].to_numpy()
-                    out.loc[ok, "confidence"] = s["confidence"].to_numpy()
-                except Exception:  # scorer failure -> neutral, as the batch contract says
-                    pass
+                s, bad = score_texts(scorer, b.loc[ok, "_text"].reset_index(drop=True))
+                out.loc[ok, "sentiment"] = s["label"].to_numpy()
+                out.loc[ok, "confidence"] = s["confidence"].to_numpy()
+                if bad:
+                    failures.add(bad)
             out["sentiment"] = out["sentiment"].astype("int32")
             yield out
 
@@ -214,22 +236,24 @@ def vote_array(votes) -> Column:
 # ---------------------------------------------------------------- M1 naive Bayes
 
 def naive_bayes(train: DataFrame, apply: DataFrame, text_col: str = "text",
-                label_col: str = "label", vocab_size: int = 1 << 16):
-    """M1: RegexTokenizer -> CountVectorizer -> multinomial NaiveBayes (pyspark.ml).
+                label_col: str = "label", key: str = "doc_id"):
+    """M1: multinomial naive Bayes (labels 0/1, add-one smoothing) over all words.
 
-    Returns (model, predictions of ``apply``).  Fitting is distributed (one pass for the vocabulary,
-    one aggregate for the class-conditional counts).
+    Returns (weights, predictions of ``apply``).  The model is a table of one row per word with the
+    difference of its log likelihoods, so the vocabulary is as large as it is and never leaves the
+    executors.  Words are counted per document before they meet the table, and frequent words are
+    combined before the shuffle.  Words that training has not seen say nothing.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
-
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="[\\p{L}\\p{N}_]+",
-                       gaps=False, toLowercase=True),
-        CountVectorizer(inputCol="_tokens", outputCol="_features", vocabSize=vocab_size, minDF=1.0),
-        NaiveBayes(featuresCol="_features", labelCol=label_col, modelType="multinomial",
-                   smoothing=1.0),
-    ])
-    model = pipe.fit(train)
-    return model, model.transform(apply)
+    t = train.select(key, F.col(label_col).cast("int").alias("label"), F.explode(T.tokens(text_col)).alias("word"))
+    counts = t.groupBy("word").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    total = counts.agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), F.count(F.lit(1)).alias("v")).first()
+    docs = train.agg(F.count_if(F.col(label_col) == 0).alias("d0"), F.count_if(F.col(label_col) == 1).alias("d1")).first()
+    s0, s1, v = (float(total[k] or 0) for k in ("s0", "s1", "v"))
+    weights = counts.select("word", (F.log(F.col("n1") + 1.0) - F.log(F.col("n0") + 1.0)
+                                     - F.lit(math.log(s1 + v) - math.log(s0 + v) if v else 0.0)).alias("weight"))
+    prior = math.log(max(docs["d1"], 0.5)) - math.log(max(docs["d0"], 0.5))
+    words = apply.select(key, F.explode(T.tokens(text_col)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    odds = words.join(weights, "word").groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias("odds"))
+    pred = (apply.select(key).join(odds, key, "left")
+            .select(key, (F.coalesce("odds", F.lit(0.0)) + F.lit(prior) > 0).cast("int").alias("prediction")))
+    return weights, pred

@@ -38,16 +38,17 @@ def pivot_labels(df: DataFrame, by: str, label: str = "sentiment") -> DataFrame:
     return p
 
 
-def word_freq(df: DataFrame, text_col: str, top: int = C.WORD_FREQ_TOP) -> DataFrame:
-    """Lower-cased word tokens of >= 2 characters, counted, top ``top`` (count desc, word).
+def word_freq(df: DataFrame, text_col: str, top: int | None = None) -> DataFrame:
+    """Lower-cased word tokens of >= 2 characters, counted; with ``top`` only the ``top`` most
+    frequent (count desc, word).
 
     ``explode`` + ``groupBy`` runs a partial count per map task, so very frequent words (the
     skewed keys of any text corpus) are combined before the shuffle.
     """
     toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"{T.WORD}{{2,}}"), 0)
     words = df.select(F.explode(toks).alias("word"))
-    return (words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.col("n").desc(), F.col("word")).limit(top))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts if top is None else counts.orderBy(F.col("n").desc(), F.col("word")).limit(top)
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

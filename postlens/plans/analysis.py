@@ -38,10 +38,10 @@ def label_share_by_platform(analysed: DataFrame) -> DataFrame:
 
 
 def process_data(posts: DataFrame, min_conf: float = C.MIN_CONFIDENCE) -> DataFrame:
-    """M7: title fallback -> clean title and content -> F6 gate -> score -> decode -> confidence
+    """M7: title fallback -> clean title and content (T1 both) -> F6 gate -> score -> decode -> confidence
     filter.  Ineligible text scores (1, 0.0) and is then removed by the confidence filter."""
     content = F.coalesce(F.nullif(T.strip_blank("content"), F.lit("")), F.col("title"))
-    x = posts.select("doc_id", "platform", T.clean_title("title").alias("title"),
+    x = posts.select("doc_id", "platform", T.basic_clean("title").alias("title"),
                      content.alias("content"))
     x = T.with_preprocessed(x, "content", "content")
     x = scoring.with_rule_score(x, "content", "_r")

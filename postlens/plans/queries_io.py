@@ -205,7 +205,12 @@ def q_page_items(spark, sf):
 def q_batch_score(spark, sf):
     """M2: plug-in scorer (Arrow batches, one scorer per task) on cleaned text, F6-gated."""
     x = T.with_preprocessed(TB.posts(spark, sf).select("doc_id", "content"), "content", "text")
-    return scoring.batch_score(x, "text")
+    return scoring.batch_score(x, "text").withColumn("confidence", F.round("confidence", 6))
+
+
+oracle("batch_score", POSTS + f"""SELECT doc_id, s.label AS sentiment, round(s.confidence, 6) AS confidence FROM (
+  SELECT doc_id, CASE WHEN {Q.eligibility_reason('c')} = 'ok' THEN {Q.plain_rule_score('c')} ELSE {{'label': 1, 'confidence': 0.0::DOUBLE}} END AS s
+  FROM (SELECT doc_id, {Q.basic_clean('content')} AS c FROM posts))""")
 
 
 @register("nb_train_predict")
@@ -216,7 +221,18 @@ def q_nb(spark, sf):
     lab = TB.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
     train = docs.join(lab, "doc_id")
     _, pred = scoring.naive_bayes(train, docs)
-    return pred.select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+    return pred
+
+
+_WORDS = f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD}+')) AS word FROM documents"
+oracle("nb_train_predict", f"""WITH w AS ({_WORDS}), t AS (SELECT w.word, l.quality AS y FROM w JOIN labels l USING (doc_id)),
+c AS (SELECT word, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM t GROUP BY word),
+s AS (SELECT sum(n0) AS s0, sum(n1) AS s1, count(*) AS v FROM c),
+p AS (SELECT ln(greatest(count(*) FILTER (WHERE quality = 1), 0.5)) - ln(greatest(count(*) FILTER (WHERE quality = 0), 0.5)) AS prior
+      FROM labels JOIN documents USING (doc_id)),
+o AS (SELECT w.doc_id, sum(ln(n1 + 1.0::DOUBLE) - ln(n0 + 1.0::DOUBLE) - ln((s1 + v)::DOUBLE) + ln((s0 + v)::DOUBLE)) AS odds
+      FROM w JOIN c USING (word), s GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(coalesce(o.odds, 0) + p.prior > 0 AS INTEGER) AS prediction FROM documents d LEFT JOIN o USING (doc_id), p""")
 
 
 # ------------------------------------------------------------------ streams

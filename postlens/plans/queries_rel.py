@@ -111,18 +111,24 @@ UNION ALL BY NAME SELECT doc_id, platform, lang AS board FROM posts WHERE platfo
 UNION ALL BY NAME SELECT doc_id, platform, source AS blog_name FROM posts WHERE platform NOT IN ('youtube', 'buan_gov')""")
 
 REQUESTED_MODELS = C.MODEL_SETS["heavy"] + ["koalpaca"]
+AVAILABLE_FROM = 0.9
 
 
 @register("missing_models")
 def q_missing_models(spark, sf):
-    """Requested minus available model names (available = models present in the vote log)."""
-    req = spark.createDataFrame([(m,) for m in REQUESTED_MODELS], "model string")
-    have = TB.votes(spark, sf).select("model")
-    return req.subtract(have)
+    """For each source, the requested models minus those that gave one of its posts a vote of at
+    least AVAILABLE_FROM; both sides come from the documents."""
+    d = TB.table(spark, sf, "documents").select("doc_id", "source")
+    req = d.select("source").distinct().select("source", F.explode(F.array(*[F.lit(m) for m in REQUESTED_MODELS])).alias("model"))
+    ks = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(m).alias("model")) for i, m in enumerate(C.MODEL_NAMES)])
+    v = d.select("source", "doc_id", F.inline(ks))
+    have = v.where((F.col("doc_id") * F.col("k") * 13 % 97) / 100.0 >= AVAILABLE_FROM).select("source", "model").distinct()
+    return req.join(have, ["source", "model"], "left_anti")
 
 
-oracle("missing_models", Q.with_ctes(Q.votes_cte()) +
-       "SELECT model FROM (SELECT unnest(" + Q.arr(REQUESTED_MODELS) + ") AS model) EXCEPT SELECT model FROM votes")
+oracle("missing_models", Q.with_ctes(Q.votes_cte()) + f"""SELECT source, model FROM (
+  SELECT DISTINCT source, unnest({Q.arr(REQUESTED_MODELS)}) AS model FROM documents)
+EXCEPT SELECT d.source, v.model FROM votes v JOIN documents d USING (doc_id) WHERE v.confidence >= {AVAILABLE_FROM}""")
 
 
 @register("distinct_platforms")
@@ -165,7 +171,8 @@ def q_analyzed_semi(spark, sf):
         .otherwise(F.array(*[F.lit(m) for m in C.MODEL_SETS["balanced"]]))
     history = seen.select(_dataset_path(seen).alias("file_path"), models.alias("models"))
     same = F.array_sort(F.array_distinct("models")) == F.array_sort(F.array(*[F.lit(m) for m in REQUESTED_SET]))
-    return datasets.join(history.where(same), "file_path", "left_semi")
+    done = history.where(same).select("file_path").distinct()      # partial aggregate before the join
+    return datasets.join(done, "file_path", "left_semi")
 
 
 oracle("analyzed_semi", POSTS + f"""SELECT DISTINCT platform || '_' || lang || '.json' AS file_path FROM posts
@@ -217,10 +224,18 @@ oracle("comment_cap", Q.with_ctes(Q.comments_cte()) + f"""SELECT video_key, turn
 
 @register("flatten_comments")
 def q_flatten_comments(spark, sf):
-    """Comment threads nested per video (array<struct>), then flattened back with inline."""
+    """Thread answers (one JSON page per comment) parsed with a fixed schema and flattened; no
+    list of a video's comments is ever built."""
     c = TB.comments(spark, sf)
-    nested = c.groupBy("video_key").agg(F.collect_list(F.struct("turn", "author", "text", "label")).alias("comments"))
-    return nested.select("video_key", F.inline("comments")).select("video_key", "turn", "author", "label")
+    snippet = F.struct(F.struct(F.col("author").alias("authorDisplayName"), F.col("text").alias("textDisplay"),
+                                F.col("turn").cast("string").alias("position")).alias("snippet"))
+    answer = F.to_json(F.struct(F.array(F.struct(F.struct(snippet.alias("topLevelComment")).alias("snippet"))).alias("items")))
+    raw = c.select("video_key", "label", answer.alias("raw"))
+    schema = ("items array<struct<snippet:struct<topLevelComment:struct<snippet:"
+              "struct<authorDisplayName:string,textDisplay:string,position:string>>>>>")
+    item = raw.select("video_key", "label", F.explode(F.from_json("raw", schema)["items"]).alias("i"))
+    s = F.col("i.snippet.topLevelComment.snippet")
+    return item.select("video_key", s["position"].cast("long").alias("turn"), s["authorDisplayName"].alias("author"), "label")
 
 
 oracle("flatten_comments", Q.with_ctes(Q.comments_cte()) + "SELECT video_key, turn, author, label FROM comments")
@@ -250,6 +265,7 @@ FROM posts l JOIN (SELECT url, {_clean_title_sql('title')} AS d_title, {Q.parse_
                    FROM posts WHERE platform IN ('buan_gov', 'dcinside')) d ON l.url = d.url""")
 
 RESULTS_PER_PAGE = 10
+PAGES_PER_RUN = 1000
 
 
 @register("collection_grid")
@@ -257,8 +273,13 @@ def q_collection_grid(spark, sf):
     """J7 re-aimed: the (keyword x target x page) work grid, derived by grouping the collected posts
     (pages of RESULTS_PER_PAGE needed per keyword and platform) instead of a cross join."""
     g = TB.posts(spark, sf).groupBy("keyword", "platform").agg(F.count(F.lit(1)).alias("n"))
-    pages = F.sequence(F.lit(1), F.ceil(F.col("n") / RESULTS_PER_PAGE).cast("int"))
-    return g.select("keyword", "platform", F.explode(pages).alias("page"))
+    last = F.ceil(F.col("n") / RESULTS_PER_PAGE).cast("int")
+    # two levels, so that no row ever holds more than PAGES_PER_RUN pages and big groups spread
+    runs = g.select("keyword", "platform", last.alias("last"),
+                    F.explode(F.sequence(F.lit(0), F.floor((last - 1) / PAGES_PER_RUN).cast("int"))).alias("run"))
+    first = F.col("run") * PAGES_PER_RUN + 1
+    return runs.select("keyword", "platform", F.explode(F.sequence(
+        first, F.least(F.col("last"), first + PAGES_PER_RUN - 1))).alias("page"))
 
 
 oracle("collection_grid", POSTS + f"""SELECT keyword, platform, CAST(page AS INTEGER) AS page FROM (
@@ -362,8 +383,8 @@ oracle("platform_sentiment_pivot", ANALYZED + _pivot_sql("analyzed", "platform")
 @register("time_unit")
 def q_time_unit(spark, sf):
     """T12 per platform: span of parsed dates -> period unit."""
-    d = TB.posts(spark, sf).select("platform", D.parse_date_trend("date_text").alias("d")).where(F.col("d").isNotNull())
-    g = d.groupBy("platform").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    d = TB.posts(spark, sf).select("platform", D.parse_date_trend("date_text").alias("d"))
+    g = d.groupBy("platform").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where(F.col("lo").isNotNull())
     span = F.datediff("hi", "lo")
     return g.select("platform", F.date_format("lo", "yyyy-MM-dd").alias("min_date"),
                     F.date_format("hi", "yyyy-MM-dd").alias("max_date"), span.alias("span_days"),
@@ -425,14 +446,14 @@ def _region_top(spark, sf):
 
 @register("region_sentiment")
 def q_region_sentiment(spark, sf):
-    """Label counts among the TOP_CONFIDENCE_ROWS most confident region posts."""
-    return stats.label_counts(_region_top(spark, sf))
+    """Label counts of all region posts (``_region_top`` has the most confident ones only)."""
+    return stats.label_counts(_analyzed(spark, sf).where(P.region_flag("content")))
 
 
 _region_sql = " OR ".join(f"contains(content, {Q.q(k)})" for k in C.REGION_KEYWORDS)
 _REGION_TOP = f"(SELECT * FROM analyzed WHERE {_region_sql} ORDER BY confidence DESC, doc_id LIMIT {C.TOP_CONFIDENCE_ROWS})"
 oracle("region_sentiment", ANALYZED + "SELECT " + ", ".join(
-    f"count(*) FILTER (WHERE sentiment = {k}) AS {n}" for k, n in C.LABEL_NAMES.items()) + f" FROM {_REGION_TOP}")
+    f"count(*) FILTER (WHERE sentiment = {k}) AS {n}" for k, n in C.LABEL_NAMES.items()) + f" FROM analyzed WHERE {_region_sql}")
 
 
 @register("region_topk")
@@ -564,7 +585,7 @@ oracle("run_summary", POSTS + "SELECT platform, count(*) AS n_posts FROM posts G
 def _word_freq_sql(where=""):
     return ANALYZED + f"""SELECT word, count(*) AS n FROM (
   SELECT unnest(regexp_extract_all(lower(content), '{T.WORD}{{2,}}')) AS word FROM analyzed {where})
-GROUP BY word ORDER BY n DESC, word LIMIT {C.WORD_FREQ_TOP}"""
+GROUP BY word"""
 
 
 @register("word_freq")
@@ -613,38 +634,65 @@ oracle("report_sample", ANALYZED + f"""SELECT left(content, {C.EXCERPT_LENGTH})
 
 @register("validate_report")
 def q_validate_report(spark, sf):
-    """V1/V2: per parent platform, the schema check (required columns absent from the frame,
-    decided from the schema at plan time) and one-pass row counts of offending values."""
-    p = TB.posts(spark, sf)
-    have = set(p.columns)
-    missing = {k: ",".join(sorted(set(v) - have)) for k, v in C.REQUIRED_BY_PLATFORM.items()}
-    mmap = F.create_map(*[x for k, v in missing.items() for x in (F.lit(k), F.lit(v))])
-    parent = S.platform_parent("platform")
+    """V1 per platform name: unknown names and missing columns are errors (decided from the schema),
+    a derived video_id, dates that don't parse (D6) and blank contents are warnings with counts."""
+    p = TB.posts(spark, sf).withColumnRenamed("date_text", "published_date")
+    missing = [c for c in C.REQUIRED_COMMON if c not in p.columns]
     blank = lambda c: F.col(c).isNull() | T.is_blank(c)
-    g = p.groupBy(parent.alias("platform")).agg(
+    name, plat = F.lower("platform"), F.col("platform")
+    has_id = "video_id" in p.columns
+    no_id = F.lit(not has_id) & (name == "youtube_api")          # only plain youtube gets one derived
+    errors = F.concat_ws("; ", F.when(~name.isin(*C.VALID_PLATFORMS), F.concat(F.lit("unsupported platform: "), plat)),
+                         F.when(name.isin(*C.VALID_PLATFORMS) & (F.lit(bool(missing)) | no_id),
+                                F.concat(F.lit("missing columns: "), F.concat_ws(", ", *[F.lit(c) for c in missing], F.when(no_id, F.lit("video_id"))))))
+    d = D.parse_date_clean("published_date")
+    ids = S.video_id("url")
+    return p.groupBy("platform").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(blank("title")).alias("missing_title"),
-        F.count_if(blank("url")).alias("missing_url"),
+        F.count_if(d.isNull()).alias("bad_date"),
         F.count_if(blank("content")).alias("blank_content"),
-        F.count_if(D.parse_date_null(F.col("date_text")).isNull()).alias("bad_date"))
-    return g.withColumn("missing_columns", F.element_at(mmap, F.col("platform")))
+        F.count_if(blank("content") & blank("title")).alias("dropped"),
+        F.count_if((name == "youtube") & F.lit(not has_id) & ids.isNotNull()).alias("derived_video_id"),
+    ).select("*", errors.alias("errors"), (errors == "").alias("is_valid"))
 
 
-def _missing_cols_sql():
-    have = {"doc_id", "ingest_seq", "platform", "title", "content", "url", "date_text", "base_date", "crawled_at",
-            "keyword", "keywords", "lang", "source", "sentiment", "confidence"}
-    return "CASE platform " + " ".join(
-        f"WHEN {Q.q(k)} THEN {Q.q(','.join(sorted(set(v) - have)))}" for k, v in C.REQUIRED_BY_PLATFORM.items()) + " END"
+def _parse_clean_sql(e):
+    s = Q.strip_blank(e)
+    k = Q.rx_replace(Q.rx_replace(Q.rx_replace(s, "[년월]\\s*", "-"), "일.*$", ""), "[./]", "-")
+    return (f"coalesce(CASE WHEN regexp_full_match({s}, '^[0-9]{{8}}$') THEN TRY_CAST(strptime({s}, '%Y%m%d') AS DATE) END, "
+            f"{Q.strptime_date(k, '%Y-%m-%d')}, CAST(TRY_CAST({k} AS TIMESTAMP) AS DATE))")
 
 
-oracle("validate_report", POSTS + f"""SELECT platform, n_rows, missing_title, missing_url, blank_content, bad_date,
-  {_missing_cols_sql()} AS missing_columns FROM (
-  SELECT {_parent_sql('platform')} AS platform, count(*) AS n_rows,
-    count(*) FILTER (WHERE title IS NULL OR {Q.strip_blank('title')} = '') AS missing_title,
-    count(*) FILTER (WHERE url IS NULL OR {Q.strip_blank('url')} = '') AS missing_url,
+oracle("validate_report", POSTS + f"""SELECT *, CASE WHEN lower(platform) IN ('naver', 'naver_blog', 'naver_blog_api', 'naver_cafe',
+    'naver_cafearticle', 'naver_cafearticle_api', 'naver_news', 'naver_community', 'youtube', 'google', 'google_search', 'google_news',
+    'buan_gov', 'buan_gov_news', 'buan_gov_notice', 'community', 'local_community', 'tour_community') THEN ''
+    WHEN lower(platform) = 'youtube_api' THEN 'missing columns: video_id' ELSE 'unsupported platform: ' || platform END AS errors,
+  errors = '' AS is_valid FROM (
+  SELECT platform, count(*) AS n_rows, count(*) FILTER (WHERE {_parse_clean_sql('date_text')} IS NULL) AS bad_date,
     count(*) FILTER (WHERE content IS NULL OR {Q.strip_blank('content')} = '') AS blank_content,
-    count(*) FILTER (WHERE {Q.parse_date_null('date_text')} IS NULL) AS bad_date
-  FROM posts GROUP BY 1)""")
+    count(*) FILTER (WHERE (content IS NULL OR {Q.strip_blank('content')} = '') AND (title IS NULL OR {Q.strip_blank('title')} = '')) AS dropped,
+    count(*) FILTER (WHERE lower(platform) = 'youtube') AS derived_video_id
+  FROM posts GROUP BY platform)""")
+
+
+@register("validate_dataset")
+def q_validate_dataset(spark, sf):
+    """V2 per dataset (all posts of a source, and all posts of a source and platform): one platform is
+    rolled up or rejected; mixed ones count as youtube if any row is, and are rejected otherwise."""
+    p = TB.posts(spark, sf).select("source", "platform")
+    sets = p.select(F.explode(F.array(F.col("source"), F.concat_ws("/", "source", "platform"))).alias("dataset"), F.lower("platform").alias("name"))
+    g = sets.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.min("name").alias("lo"), F.max("name").alias("hi"),
+                                    F.max(F.col("name") == "youtube").alias("video"))
+    resolved = F.when(F.col("lo") == F.col("hi"), S.platform_parent("lo")).when(F.col("video"), F.lit("youtube"))
+    return g.select("dataset", "n_rows", (F.col("lo") != F.col("hi")).alias("mixed"), resolved.alias("platform"),
+                    resolved.isNotNull().alias("is_valid"))
+
+
+oracle("validate_dataset", POSTS + f"""SELECT dataset, n_rows, n > 1 AS mixed, p AS platform, p IS NOT NULL AS is_valid FROM (
+  SELECT dataset, count(*) AS n_rows, count(DISTINCT name) AS n,
+    CASE WHEN count(DISTINCT name) = 1 THEN {_parent_sql('min(name)')} WHEN bool_or(name = 'youtube') THEN 'youtube' END AS p
+  FROM (SELECT source AS dataset, lower(platform) AS name FROM posts UNION ALL
+        SELECT source || '/' || platform, lower(platform) FROM posts) GROUP BY dataset)""")
 
 
 @register("invalid_rows")
@@ -673,19 +721,11 @@ def q_clean_posts(spark, sf):
     d = D.parse_date_clean("date_text")
     x = p.select("doc_id", "ingest_seq", F.coalesce("title", F.lit("")).alias("title"),
                  F.coalesce(F.nullif(T.strip_blank("content"), F.lit("")), F.col("title"), F.lit("")).alias("content"),
-                 d.alias("d"))
-    x = x.where(F.col("d").between(F.lit("2000-01-01").cast("date"), D.lit_date(C.AS_OF)))
+                 D.in_window(d).alias("d"))
     x = x.withColumn("published_date", D.ymd("d")).drop("d")
     return dedup.keep_first(x, ["title", "content", "published_date"]).select("doc_id", "published_date")
 
 
-def _parse_clean_sql(e):
-    s = Q.strip_blank(e)
-    k = Q.rx_replace(Q.rx_replace(Q.rx_replace(s, "[년월]\\s*", "-"), "일.*$", ""), "[./]", "-")
-    return (f"coalesce(CASE WHEN regexp_full_match({s}, '^[0-9]{{8}}$') THEN TRY_CAST(strptime({s}, '%Y%m%d') AS DATE) END, "
-            f"{Q.strptime_date(k, '%Y-%m-%d')}, CAST(TRY_CAST({k} AS TIMESTAMP) AS DATE))")
-
-
 oracle("clean_posts", POSTS + f"""SELECT arg_min(doc_id, ingest_seq) AS doc_id, published_date FROM (
   SELECT doc_id, ingest_seq, coalesce(title, '') AS title,
          coalesce(nullif({Q.strip_blank('content')}, ''), title, '') AS content, strftime(d, '%Y%m%d') AS published_date
@@ -756,7 +796,7 @@ def _process_sql():
   SELECT doc_id, platform, title, s.label AS label, round(s.confidence, 6) AS confidence FROM (
     SELECT doc_id, platform, title,
       CASE WHEN {Q.eligibility_reason('c')} = 'ok' THEN {Q.rule_score('c')} ELSE {{'label': 1, 'confidence': 0.0::DOUBLE}} END AS s
-    FROM (SELECT doc_id, platform, {_clean_title_sql('title')} AS title, {Q.preprocess(content)} AS c FROM posts)))
+    FROM (SELECT doc_id, platform, {Q.basic_clean('title')} AS title, {Q.basic_clean(content)} AS c FROM posts)))
 WHERE confidence >= {C.MIN_CONFIDENCE}"""
 
 

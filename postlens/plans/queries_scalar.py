@@ -35,7 +35,7 @@ oracle("clean_text", POSTS + f"SELECT doc_id, {Q.basic_clean('content')} AS clea
 
 @register("chunk_text")
 def q_chunk_text(spark, sf):
-    x = T.with_preprocessed(TB.posts(spark, sf).select("doc_id", "content"), "content", "chunk")
+    x = T.with_preprocessed(TB.posts(spark, sf).select("doc_id", "content"), "content", "chunk", mode="first_chunk")
     return x.select("doc_id", "chunk", F.length("chunk").alias("chunk_len"))
 
 
@@ -106,24 +106,24 @@ WHERE length(content) > 0""")
 
 @register("keyword_variations")
 def q_keyword_variations(spark, sf):
-    """T10/T11/U2 per post: keyword objects from the first five title words (words 1-2 AND, the
-    region word first; words 3-5 OR) -> distinct query variants.  Row-local, no shuffle."""
-    words = F.slice(F.filter(F.split(F.col("title"), " "), lambda w: w != ""), 1, 5)
+    """T10/T11/U2 per post: keyword objects from the title's words (words 1-2 AND, the region word
+    first; all others OR) -> distinct query variants.  Row-local, no shuffle; W11's quota cut is off."""
+    words = F.filter(F.split(F.col("title"), " "), lambda w: w != "")
     p = TB.posts(spark, sf).select("doc_id", words.alias("w"))
-    var = T.query_variations(F.element_at("w", 1), F.slice("w", 2, 1), F.slice("w", 3, 3),
-                             max_n=max(1, C.SEARCH_DAILY_QUOTA // 10))
+    var = T.query_variations(F.element_at("w", 1), F.slice("w", F.lit(2), F.lit(1)),
+                             F.slice("w", F.lit(3), F.greatest(F.size("w"), F.lit(1))))
     return p.where(F.size("w") > 0).select("doc_id", F.explode(var).alias("variation"))
 
 
 oracle("keyword_variations", POSTS + """SELECT DISTINCT doc_id, variation FROM (
-  SELECT doc_id, unnest(list_slice(CASE WHEN len(ands) > 0 THEN
+  SELECT doc_id, unnest(CASE WHEN len(ands) > 0 THEN
       CASE WHEN len(ors) = 0 THEN [base]
            ELSE list_concat(list_transform(ors, lambda o: base || ' ' || o),
                             CASE WHEN len(ors) > 1 THEN [base || ' ' || array_to_string(ors, ' ')] ELSE [] END) END
-    ELSE list_concat([region], list_transform(ors, lambda o: region || ' ' || o)) END, 1, """ + str(max(1, C.SEARCH_DAILY_QUOTA // 10)) + """)) AS variation
-  FROM (SELECT doc_id, w[1] AS region, w[2:2] AS ands, w[3:5] AS ors,
+    ELSE list_concat([region], list_transform(ors, lambda o: region || ' ' || o)) END) AS variation
+  FROM (SELECT doc_id, w[1] AS region, w[2:2] AS ands, w[3:] AS ors,
                w[1] || ' ' || array_to_string(w[2:2], ' ') AS base
-        FROM (SELECT doc_id, list_filter(string_split(title, ' '), lambda x: x <> '')[1:5] AS w FROM posts)
+        FROM (SELECT doc_id, list_filter(string_split(title, ' '), lambda x: x <> '') AS w FROM posts)
         WHERE len(w) > 0))""")
 
 
@@ -183,9 +183,8 @@ oracle("clamp_future", POSTS + f"SELECT doc_id, strftime(least(base_date, {Q.as_
 @register("date_window")
 def q_date_window(spark, sf):
     """parsed date, not after as_of, year >= 2000."""
-    p = TB.posts(spark, sf).select("doc_id", D.parse_date_trend("date_text").alias("d"))
-    ok = p.where(F.col("d").between(F.lit("2000-01-01").cast("date"), D.lit_date(C.AS_OF)))
-    return ok.select("doc_id", F.date_format("d", "yyyy-MM-dd").alias("date"))
+    return TB.posts(spark, sf).select("doc_id", D.in_window(D.parse_date_trend("date_text")).alias("d")) \
+        .select("doc_id", F.date_format("d", "yyyy-MM-dd").alias("date"))
 
 
 oracle("date_window", POSTS + f"""SELECT doc_id, strftime(d, '%Y-%m-%d') AS date
@@ -264,11 +263,13 @@ def q_platform_rollup(spark, sf):
 
 
 def _parent_sql(e):
-    alias = " ".join(f"WHEN {Q.q(k)} THEN {Q.q(v)}" for k, v in C.PLATFORM_ALIASES.items())
-    parents = ", ".join(Q.q(x) for x in C.PLATFORM_PARENTS)
-    return (f"CASE WHEN lower({e}) IN ({parents}) THEN lower({e}) ELSE coalesce(CASE lower({e}) {alias} END, "
-            f"CASE WHEN starts_with(lower({e}), 'naver_') THEN 'naver' WHEN starts_with(lower({e}), 'google_') THEN 'google' "
-            f"WHEN starts_with(lower({e}), 'buan_gov_') THEN 'buan' END) END")
+    """the roll-up spelled out, not read from the library's lists"""
+    return (f"CASE WHEN lower({e}) IN ('naver', 'naver_blog', 'naver_blog_api', 'naver_cafe', 'naver_cafearticle', "
+            f"'naver_cafearticle_api', 'naver_news', 'naver_community') OR starts_with(lower({e}), 'naver_') THEN 'naver' "
+            f"WHEN lower({e}) IN ('youtube', 'youtube_api') THEN 'youtube' "
+            f"WHEN lower({e}) IN ('google', 'google_search', 'google_news') THEN 'google' "
+            f"WHEN lower({e}) IN ('buan_gov', 'buan_gov_news', 'buan_gov_notice') THEN 'buan_gov' "
+            f"WHEN lower({e}) IN ('community', 'local_community', 'tour_community') THEN 'community' END")
 
 
 oracle("platform_rollup", POSTS + f"""SELECT platform, {_parent_sql('platform')} AS parent, count(*) AS n_posts
@@ -425,7 +426,7 @@ def q_eligibility(spark, sf):
 
 oracle("sentiment_eligibility", POSTS + f"""SELECT doc_id, {Q.eligibility_reason('text')} = 'ok' AS valid,
   {Q.eligibility_reason('text')} AS reason, CAST(length(text) // 4 AS INTEGER) AS est_tokens
-FROM (SELECT doc_id, {Q.preprocess('content')} AS text FROM posts)""")
+FROM (SELECT doc_id, {Q.basic_clean('content')} AS text FROM posts)""")
 
 
 @register("content_valid")
@@ -438,7 +439,7 @@ def q_content_valid(spark, sf):
 
 oracle("content_valid", POSTS + f"""SELECT doc_id, coalesce(length(p) >= {C.MIN_TEXT_LENGTH} AND {Q.word_count('p')} >= {C.MIN_CONTENT_WORDS}
   AND NOT {Q.contains_any('p', C.EXCLUDE_KEYWORDS)}, false) AS valid
-FROM (SELECT doc_id, {Q.preprocess('content')} AS p FROM posts)""")
+FROM (SELECT doc_id, {Q.basic_clean('content')} AS p FROM posts)""")
 
 SCRIPT_CLASS = "[a-zA-Z]"
 
@@ -504,7 +505,7 @@ def q_flatten_video(spark, sf):
     n = F.col("doc_id")
     answer = F.to_json(F.struct(
         F.concat(F.lit("v"), n.cast("string")).alias("id"),
-        F.struct(F.col("title").alias("title"), F.substring("content", 1, 200).alias("description"),
+        F.struct(F.col("title").alias("title"), F.col("content").alias("description"),
                  F.when(n % 5 != 0, F.concat(F.date_format("base_date", "yyyy-MM-dd"), F.lit("T08:00:00Z")))
                  .alias("publishedAt"), F.col("source").alias("channelTitle")).alias("snippet"),
         F.struct(F.when(n % 4 != 0, (n * 3).cast("string")).alias("viewCount"),
@@ -530,7 +531,7 @@ def q_flatten_video(spark, sf):
         stat("commentCount").alias("comment_count"), F.col("contentDetails.duration").alias("duration"))
 
 
-oracle("flatten_video", POSTS + f"""SELECT sha256('youtube_v' || doc_id) AS doc_key, title, left(content, 200) AS content,
+oracle("flatten_video", POSTS + f"""SELECT sha256('youtube_v' || doc_id) AS doc_key, title, content,
   'https://www.youtube.com/watch?v=v' || doc_id AS url,
   CASE WHEN doc_id % 5 <> 0 THEN strftime(base_date, '%Y%m%d') ELSE {Q.ymd(Q.as_of())} END AS published_date,
   source AS channel_title, CASE WHEN doc_id % 4 <> 0 THEN doc_id * 3 ELSE 0 END AS view_count,

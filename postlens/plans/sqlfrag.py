@@ -110,6 +110,16 @@ def rule_score(e: str) -> str:
             f"ELSE h END FROM (SELECT {head} AS h))")
 
 
+def plain_rule_score(e: str) -> str:
+    """struct(label, confidence) of the rule scorer itself, as a plug-in gives it"""
+    toks = tokens(e)
+    n = f"greatest(len({toks}), 1)::DOUBLE"
+    npos = f"len(list_filter({toks}, lambda x: list_contains({arr(C.POSITIVE_WORDS)}, x)))::DOUBLE"
+    nneg = f"len(list_filter({toks}, lambda x: list_contains({arr(C.NEGATIVE_WORDS)}, x)))::DOUBLE"
+    sc = C.RULE_SCORE_SCALE
+    return argmax_head(f"[{nneg} * {sc} / {n}, 1.0::DOUBLE, {npos} * {sc} / {n}]")
+
+
 def argmax_head(lg: str) -> str:
     return (f"(SELECT {{'label': (list_position(p, list_max(p)) - 1)::INTEGER, 'confidence': list_max(p)}} "
             f"FROM (SELECT list_transform(e, lambda x: x / list_sum(e)) AS p FROM "
@@ -157,14 +167,14 @@ def posts_cte() -> str:
          b.base_date, b.crawled_at, b.keyword, b.keywords, b.lang, b.source, b.sentiment, b.confidence
   FROM (
     SELECT d.doc_id, d.doc_id AS ingest_seq, ({plats})[d.doc_id % 7 + 1] AS platform,
-      left({first_line}, 80) AS title,
+      {first_line} AS title,
       CASE WHEN d.doc_id % 10 = 0 THEN {noisy} ELSE d.text END AS content,
       CASE WHEN d.doc_id % 7 = 3 THEN 'https://www.youtube.com/watch?v=v' || d.doc_id
            ELSE 'https://' || d.source || '.example.com/' || d.doc_id END AS url,
       {base} AS base_date,
       CAST({base} AS TIMESTAMP) + to_hours(CAST(d.doc_id % 24 AS INTEGER)) AS crawled_at,
       d.lang AS keyword,
-      array_to_string(list_slice(string_split({first_line}, ' '), 1, 3), ' ') AS keywords,
+      d.text AS keywords,
       d.lang, d.source,
       CAST(CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 WHEN l.quality IS NOT NULL THEN 1 END AS INTEGER) AS sentiment,
       (d.doc_id * 37 % 101) / 100.0::DOUBLE AS confidence
@@ -189,18 +199,9 @@ def comments_cte() -> str:
 )"""
 
 
-def events_cte() -> str:
-    return """ev AS (
-  SELECT event_id, ts, user_id, event_type, value, props,
-         CAST(CASE WHEN event_type IN ('purchase','signup') THEN 2 WHEN event_type IN ('view','click') THEN 1
-                   WHEN event_type = 'error' THEN 0 END AS INTEGER) AS label
-  FROM events
-)"""
-
-
 def analyzed_cte() -> str:
     """M6 output over posts (needs posts)."""
-    pre = preprocess("content")
+    pre = basic_clean("content")
     return f"""analyzed AS (
   SELECT doc_id, title, c AS content, platform, date_text AS published_date, url,
          s.label AS sentiment, round(s.confidence, 6) AS confidence

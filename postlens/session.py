@@ -18,17 +18,20 @@ DEFAULT_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "postlens") -> SparkSession:
+              app: str = "postlens", scan_partitions: int | None = None) -> SparkSession:
     """Session with AQE (skew join, partition coalescing) and UTC time; UI off.
 
     ``shuffle_partitions`` defaults to 2x the local cores for ``local[*]``; on a cluster leave it to
-    the deployment (AQE coalesces small partitions at run time).
+    the deployment (AQE coalesces small partitions at run time).  ``scan_partitions`` spreads tables
+    that are stored as one row group (small test tables); leave it out on a cluster.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -37,6 +40,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if scan_partitions:
+        builder = builder.config("postlens.scan.partitions", str(scan_partitions))
     if master and master.startswith("local"):
         builder = builder.config("spark.driver.memory", "16g")
     spark = builder.getOrCreate()

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from postlens.session import scratch_path
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    """ST2: file-drop source; new files are picked up ``max_files`` per micro-batch."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(path))
+def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """ST2: file-drop source.  Without ``max_files`` a micro-batch takes all that has landed, so a
+    backlog is read before any watermark moves, in whatever order its files lie."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
@@ -42,8 +45,12 @@ def dedup_within_watermark(df: DataFrame, key: str, event_time: str, delay: str)
 
 
 def windowed_counts(df: DataFrame, ts: str, label: str, window: str = "1 day",
-                    delay: str = "1 day") -> DataFrame:
-    """ST3: counts per (window, label); rows later than the watermark are dropped."""
+                    delay: str = "36500 days") -> DataFrame:
+    """ST3: counts per (window, label).  Rows later than ``delay`` behind the newest are dropped, so
+    the delay must cover the disorder of all files that will ever land.  The state is one row per
+    window and label; for days the default of a century is 36,500 rows a label, and no row is late.
+    Pass a shorter delay only where files land in time order.
+    """
     return (df.withWatermark(ts, delay)
             .groupBy(F.window(ts, window).alias("w"), label).agg(F.count(F.lit(1)).alias("n")))
 

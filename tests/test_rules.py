@@ -118,3 +118,48 @@ def test_softmax_head(spark):
     out = scoring.with_argmax_head(df, "lg", "h").collect()
     assert out[0]["h"]["label"] == 2 and abs(out[0]["h"]["confidence"] - 0.5761168847658291) < 1e-12
     assert out[1]["h"]["label"] == 0  # first on ties
+
+
+def test_platform_roll_up(spark):
+    f = lambda s: one(spark, S.platform_parent(F.col("s")), s)
+    assert [f(x) for x in ("naver_blog_api", "naver_other", "youtube_api", "google_news", "buan_gov", "buan_gov_notice")] \
+        == ["naver", "naver", "youtube", "google", "buan_gov", "buan_gov"]
+    assert [f(x) for x in ("community", "local_community", "tour_community", "dcinside", "fmkorea", "x")] \
+        == ["community"] * 3 + [None] * 3
+
+
+def test_one_failing_text_changes_one_row(spark):
+    class OneBadText:
+        name = "fragile"
+
+        def score(self, texts):
+            import pandas as pd
+            if any("boom" in t for t in texts):
+                raise ValueError("boom")
+            return pd.DataFrame({"label": [2] * len(texts), "confidence": [0.9] * len(texts)})
+
+    class OneByOne:
+        name = "single"
+
+        def analyze_text(self, text):
+            if "boom" in text:
+                raise ValueError("boom")
+            return 0, 0.8
+
+    rows = [(k, f"a text that is long enough to be scored, number {k}" + " boom" * (k == 3)) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for scorer, good in ((OneBadText, (2, 0.9)), (OneByOne, (0, 0.8))):
+        failed = spark.sparkContext.accumulator(0)
+        got = {r["doc_id"]: (r["sentiment"], r["confidence"]) for r in scoring.batch_score(df, "text", scorer, failures=failed).collect()}
+        assert got == {k: (1, 0.0) if k == 3 else good for k in range(6)}
+        assert failed.value == 1
+
+
+def test_the_end_of_a_long_text_counts(spark):
+    from postlens.plans import analysis
+    text = "filler " * 20000 + "zebra " + "good " * 9000
+    df = spark.createDataFrame([(1, "t", "google", "20240101", "u", text)],
+                               "doc_id long, title string, platform string, date_text string, url string, content string")
+    a = analysis.analyze_dataset(df)
+    assert a.first()["sentiment"] == 2
+    assert stats.word_freq(a, "content").where("word = 'zebra'").count() == 1
