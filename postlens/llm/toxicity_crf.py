@@ -4,7 +4,7 @@ Two states, clean and toxic.  A word's emission is the sum of hashed weights of
 first 4, 5 and 6 bytes (ASCII lower case, ASCII punctuation left out); transitions tie neighbours.
 The tables hold labels of documents, not of words, so training words are labelled first: in toxic
 documents, a word is toxic where one of its features occurs in far more toxic than clean documents
-of the sample (by document counts over distinct texts).  The field is trained on these words by
+of the sample (by document counts, near copies left out).  The field is trained on these words by
 gradient ascent on the conditional likelihood (forward-backward in numpy).  Forward-backward
 marginals of every word give a document's score (logistic in the strongest word and in the expected
 number of toxic words, fitted on a part of the sample that the field has not seen) and the character
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from postlens.llm.jobs import arrow_job, held_out, labelled_sample
-from postlens.llm.wordhash import U, Piece, word_pieces
+from postlens.llm.wordhash import U, Piece, mix, word_pieces
 from postlens.session import ship
 
 SAMPLE = 1800                      # labelled documents of each label that the model learns from
@@ -164,13 +164,28 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     sample, counts = labelled_sample(docs, labels, column, per_class)
     rows = sorted(arrow_job(sample, _sample_features, "doc_id long, label int, f binary").collect(),
                   key=lambda r: (r["doc_id"], bytes(r["f"])))
-    seen, data = set(), []
-    for r in rows:                                  # copies of a text would count as evidence twice
-        if len(r["f"]) and (key := hash(bytes(r["f"]))) not in seen:
-            seen.add(key)
-            data.append((r["label"], np.frombuffer(r["f"], np.int32).reshape(-1, 1 + len(PREFIXES))))
+    data = [(r["label"], np.frombuffer(r["f"], np.int32).reshape(-1, 1 + len(PREFIXES))) for r in rows if len(r["f"])]
     del rows
-    return fit(data, counts)
+    return fit(without_copies(data), counts)
+
+
+def without_copies(data: list, hashes: int = 16, alike: int = 8) -> list:
+    """The sample without near copies, whose shared words would count as evidence again and again: a
+    text goes if half of its minimum hashes of words equal those of an earlier text."""
+    odd = (np.arange(hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    where: dict[tuple[int, int], list[int]] = {}
+    out = []
+    for label, f in data:
+        low = mix(np.unique(f[:, 0]).astype(np.uint64)[:, None] * odd[None, :]).min(0)
+        met: dict[int, int] = {}
+        for k, v in enumerate(low.tolist()):
+            for d in where.get((k, v), ()):
+                met[d] = met.get(d, 0) + 1
+        if max(met.values(), default=0) < alike:
+            for k, v in enumerate(low.tolist()):
+                where.setdefault((k, v), []).append(len(out))
+            out.append((label, f))
+    return out
 
 
 def _groups(data: list, words: int = 100_000):
