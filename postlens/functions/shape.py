@@ -69,6 +69,11 @@ def platform_parent(c) -> Column:
             .otherwise(F.coalesce(F.element_at(alias, p), F.when(p.startswith("naver_"), F.lit("naver")))))
 
 
+def json_field(c, path: str) -> Column:
+    """Value at a dotted path of a JSON record, '' where any step is absent."""
+    return F.coalesce(F.get_json_object(_c(c), "$." + path), F.lit(""))
+
+
 def normalize_url(url) -> Column:
     """P5: mobile host -> desktop host (``//m.`` -> ``//``)."""
     return F.regexp_replace(_c(url), "//m\\.", "//")

@@ -7,6 +7,7 @@ page, Arrow batches in and out, output rows emitted per page (UDTF-like).
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from typing import Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from postlens import config as C
 from postlens.functions import text as T
+from postlens.session import ship
 
 ARTICLE_RE = "(?s)<article[^>]*>(.*?)</article>"
 TITLE_RE = "(?s)<title[^>]*>(.*?)</title>"
@@ -45,9 +47,14 @@ def page_links(html) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF_RE), 1)
 
 
+VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+RAW_TAGS = frozenset(["script", "style"])
+
+
 class _TextParser(HTMLParser):
     """Collects text inside <article> (or the whole body as fallback), skipping script/style, and
-    listing items (links inside <li>, paragraphs inside <article>)."""
+    listing items: <li> anywhere, paragraphs inside <article>.  An item ends with its own end tag,
+    with the next item, or with the element around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -56,13 +63,25 @@ class _TextParser(HTMLParser):
         self.body: list[str] = []
         self.items: list[tuple[str, str, str]] = []
         self._cur: list[str] | None = None
-        self._cur_tag = ""
-        self._href = ""
+        self._cur_tag, self._href, self._depth = "", "", 0
+
+    def _flush(self):
+        if self._cur is not None:
+            text = " ".join("".join(self._cur).split())
+            if text:
+                self.items.append((self._cur_tag, text, self._href))
+        self._cur = None
 
     def handle_starttag(self, tag, attrs):
+        if tag in VOID_TAGS:
+            return
+        if tag == "li" or (tag == "p" and "article" in self.stack):
+            if tag == "p" and self._cur_tag == "li" and self._cur is not None:
+                pass                                  # a paragraph inside a list item belongs to it
+            else:
+                self._flush()
+                self._cur, self._cur_tag, self._href, self._depth = [], tag, "", len(self.stack)
         self.stack.append(tag)
-        if tag in ("li", "p") and self._cur is None:
-            self._cur, self._cur_tag, self._href = [], tag, ""
         if tag == "a" and self._cur is not None:
             self._href = dict(attrs).get("href") or self._href
 
@@ -70,14 +89,11 @@ class _TextParser(HTMLParser):
         if tag in self.stack:
             while self.stack and self.stack.pop() != tag:
                 pass
-        if self._cur is not None and tag == self._cur_tag:
-            text = " ".join("".join(self._cur).split())
-            if text and (tag == "li" or "article" in self.stack or tag == "p"):
-                self.items.append((tag, text, self._href))
-            self._cur = None
+            if self._cur is not None and len(self.stack) <= self._depth:
+                self._flush()
 
     def handle_data(self, data):
-        if any(t in ("script", "style") for t in self.stack):
+        if self.stack and self.stack[-1] in RAW_TAGS:
             return
         if "article" in self.stack:
             self.article.append(data)
@@ -86,6 +102,10 @@ class _TextParser(HTMLParser):
         if self._cur is not None:
             self._cur.append(data)
 
+    def close(self):
+        super().close()
+        self._flush()
+
 
 def _parse(html: str) -> _TextParser:
     p = _TextParser()
@@ -99,8 +119,8 @@ def _parse(html: str) -> _TextParser:
 
 def parsed_main_text(pages: DataFrame, min_chars: int = 50, char_class: str = "[A-Za-z]") -> DataFrame:
     """T13 parser form: article text, else whole-body text; accepted by F8 (parameter class)."""
-    import regex
-    rx = regex.compile(char_class)
+    rx = re.compile(char_class)
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,6 +140,8 @@ def parsed_main_text(pages: DataFrame, min_chars: int = 50, char_class: str = "[
 
 def page_items(pages: DataFrame) -> DataFrame:
     """N rows per page (list links and article paragraphs) with their position."""
+    ship(pages.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []

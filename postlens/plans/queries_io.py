@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postlens import config as C
 from postlens.functions import shape as S
 from postlens.functions import text as T
-from postlens.operators import dedup, pages, scoring
+from postlens.operators import dedup, pages, scoring, stats
 from postlens.operators.rowops import spread
 from postlens.plans import analysis
 from postlens.plans import sqlfrag as Q
@@ -134,6 +134,63 @@ oracle("file_catalog", POSTS + f"""SELECT platform || '_' || n || '_' || lang ||
   lang AS keyword, n AS n_rows FROM (SELECT platform, lang, count(*) AS n FROM posts GROUP BY ALL)""")
 
 
+NEWEST = 5
+
+
+def _datasets(spark, sf):
+    """Dataset names with their parts; the stamp's hour comes from the posts' languages and sources."""
+    p = TB.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    plat = F.element_at(F.array(*[F.lit(x) for x in TB.ADAPTER_PLATFORMS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    g = p.groupBy(plat.alias("platform"), "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+    stamp = F.concat(F.lit("20240601_"), F.lpad((F.col("last") % 240000).cast("string"), 6, "0"))
+    return g.select(F.concat_ws("_", "platform", F.col("n").cast("string"), F.concat_ws("-", "lang", "source"), stamp).alias("dataset"))
+
+
+_DATASETS = f"""ds AS (SELECT platform, n, lang || '-' || source AS kw, '20240601_' || lpad(CAST(last % 240000 AS VARCHAR), 6, '0') AS stamp,
+  platform || '_' || n || '_' || lang || '-' || source || '_20240601_' || lpad(CAST(last % 240000 AS VARCHAR), 6, '0') AS dataset FROM (
+  SELECT ({Q.arr(TB.ADAPTER_PLATFORMS)})[doc_id % 7 + 1] AS platform, lang, source, count(*) AS n, max(doc_id) AS last
+  FROM documents GROUP BY ALL))"""
+
+
+def _catalog(datasets):
+    plat, cnt, kw, stamp = FS.parse_dataset_name(F.col("dataset"))
+    return datasets.select("dataset", plat.alias("platform"), cnt.cast("long").alias("count"), kw.alias("keywords"), stamp.alias("stamp"))
+
+
+@register("recent_files")
+def q_recent_files(spark, sf):
+    """The newest NEWEST datasets of each platform, then the newest NEWEST of these."""
+    c = _catalog(_datasets(spark, sf))
+    newest = [F.col("stamp").desc(), F.col("dataset")]
+    return stats.top_per_group(c, "platform", newest, NEWEST).orderBy(*newest).limit(NEWEST)
+
+
+oracle("recent_files", f"""WITH {_DATASETS} SELECT dataset, platform, n AS count, kw AS keywords, stamp FROM (
+  SELECT *, row_number() OVER (PARTITION BY platform ORDER BY stamp DESC, dataset) AS rn FROM ds) WHERE rn <= {NEWEST}
+ORDER BY stamp DESC, dataset LIMIT {NEWEST}""")
+
+
+@register("dataset_catalog")
+def q_dataset_catalog(spark, sf):
+    """S6 + J6: datasets with the newest analysis of each, if any.  Runs are recorded with their input
+    file and time; only those whose result has rows count."""
+    c = _catalog(_datasets(spark, sf)).withColumn("file", F.concat("dataset", F.lit(".json")))
+    # the run log: sources 0-9 were analysed, even ones a second time
+    src = F.regexp_extract("keywords", "src(\\d+)$", 1).cast("int")
+    runs = c.where(src < 10).select(F.col("file").alias("input_file"), F.explode(F.when(src % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("run"),
+                                    F.col("count").alias("item_count"))
+    last = runs.where("item_count > 1").groupBy("input_file").agg(F.max("run").alias("last_run"))
+    return (c.join(last, c["file"] == last["input_file"], "left")
+            .select("dataset", "platform", "count", "keywords", "stamp", F.coalesce("last_run", F.lit(0)).alias("last_run"),
+                    F.col("last_run").isNotNull().alias("is_analyzed")))
+
+
+oracle("dataset_catalog", f"""WITH {_DATASETS}, k AS (SELECT *, TRY_CAST(regexp_extract(kw, 'src(\\d+)$', 1) AS INTEGER) AS src FROM ds)
+SELECT dataset, platform, n AS count, kw AS keywords, stamp,
+  CASE WHEN src < 10 AND n > 1 THEN CASE WHEN src % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS last_run,
+  coalesce(src < 10 AND n > 1, false) AS is_analyzed FROM k""")
+
+
 @register("latest_dataset")
 def q_latest_dataset(spark, sf):
     """Newest dataset per platform by file modification time (name breaks ties)."""

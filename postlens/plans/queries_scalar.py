@@ -230,10 +230,13 @@ oracle("normalize_posts", POSTS + f"""SELECT doc_id, platform, title, content,
 @register("nested_field")
 def q_nested_field(spark, sf):
     e = TB.event_series(spark, sf)
-    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"))
+    record = F.concat(F.lit('{"item": {"props": '), F.coalesce("props", F.lit("null")), F.lit("}}"))
+    return e.select("event_id", S.json_field("props", "k").alias("k"), S.json_field(record, "item.props.k").alias("deep"),
+                    S.json_field(record, "item.none.k").alias("absent"))
 
 
-oracle("nested_field", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
+oracle("nested_field", """SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k,
+  coalesce(json_extract_string(props, '$.k'), '') AS deep, '' AS absent FROM events""")
 
 
 @register("filter_posts")

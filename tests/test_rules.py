@@ -163,3 +163,17 @@ def test_the_end_of_a_long_text_counts(spark):
     a = analysis.analyze_dataset(df)
     assert a.first()["sentiment"] == 2
     assert stats.word_freq(a, "content").where("word = 'zebra'").count() == 1
+
+
+def test_unclosed_items(spark):
+    from postlens.operators import pages
+    html = "<article><p>one<p>two<br>more<p>three</article><ul><li><a href='/x'>x</a><li>y</ul><p>outside</p>"
+    df = spark.createDataFrame([(1, html), (2, None), (3, "<article><p>open")], "page_id long, html string")
+    got = [(r["page_id"], r["item_no"], r["tag"], r["text"], r["href"]) for r in pages.page_items(df).collect()]
+    assert sorted(got) == [(1, 0, "p", "one", ""), (1, 1, "p", "twomore", ""), (1, 2, "p", "three", ""), (1, 3, "li", "x", "/x"),
+                           (1, 4, "li", "y", ""), (3, 0, "p", "open", "")]
+
+
+def test_dotted_path(spark):
+    f = lambda p: one(spark, S.json_field(F.col("s"), p), '{"a": {"b": {"c": 5}}}')
+    assert [f("a.b.c"), f("a.x.c"), f("z")] == ["5", "", ""]
