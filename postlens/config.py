@@ -104,3 +104,14 @@ EXCLUDED_KEYWORDS = ["sponsored", "nicht"]
 POSITIVE_WORDS = ["and", "und", "et", "y", "with", "mit", "avec", "con", "good", "best"]
 NEGATIVE_WORDS = ["not", "nicht", "pas", "no", "ne", "sin", "sans", "ohne", "bad", "error"]
 RULE_SCORE_SCALE = 30.0
+
+# the ensemble members as native scorers: each weighs the English/German and the French/Spanish
+# words of the lexicon its own way -> (scale, weight of the first, weight of the second)
+GERMANIC_WORDS = ["and", "und", "with", "mit", "good", "best", "not", "nicht", "ohne", "bad", "error"]
+MODEL_RULES = {
+    "kobert": (30.0, 1.0, 1.0),
+    "kcelectra-base-v2022": (30.0, 1.0, 0.5),
+    "kcelectra": (30.0, 0.5, 1.0),
+    "kcbert-large": (20.0, 1.0, 1.0),
+    "kosentencebert": (45.0, 1.0, 1.0),
+}

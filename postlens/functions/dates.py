@@ -164,15 +164,33 @@ def parse_date_trend(c) -> Column:
     return first_format(_c(c), FORMATS_TREND)
 
 
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTH_RE = ("(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
+            "oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
+MDY_RE = "^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})(?![0-9])"
+
+
 def parse_date_clean(c) -> Column:
-    """8 digits as yyyyMMdd; Korean marks and separators normalised; general timestamp
-    forms; else null.  Returns DATE."""
+    """8 digits as yyyyMMdd; Korean marks and separators normalised; month/day/year with '/', '-'
+    or '.' (day first where the first number can't be a month); English month names before or after
+    the day (``Mar 5, 2024``, ``5 March 2024``); timestamp forms that Spark casts; else null.
+    Returns DATE."""
     s = strip_blank(_c(c))
     k = F.regexp_replace(F.regexp_replace(s, "[년월]\\s*", "-"), "일.*$", "")
     k = F.regexp_replace(k, "[./]", "-")
+    def made(y, m, d):
+        return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+
+    a, b, y = (F.regexp_extract(k, MDY_RE, i) for i in (1, 2, 3))
+    month = F.lower(F.regexp_extract(s, "(?i)" + MONTH_RE, 0))
+    mm = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.substring(month, 1, 3)).cast("string")
+    before = [F.regexp_extract(s, f"(?i)^{MONTH_RE}\\.? ([0-9]{{1,2}}),? ([0-9]{{4}})", i) for i in (2, 1)]
+    after = [F.regexp_extract(s, f"(?i)^([0-9]{{1,2}})[ -]{MONTH_RE}\\.?,?[ -]([0-9]{{4}})", i) for i in (2, 1)]
     return F.coalesce(
         F.when(s.rlike("^[0-9]{8}$"), F.try_to_date(s, "yyyyMMdd")),
         strptime_date(k, "%Y-%m-%d"),
+        F.when(k.rlike(MDY_RE), F.coalesce(made(y, a, b), made(y, b, a))),
+        F.when(month != "", F.coalesce(made(before[0], mm, before[1]), made(after[0], mm, after[1]))),
         F.to_date(F.try_to_timestamp(k)),
     )
 

@@ -74,6 +74,11 @@ def json_field(c, path: str) -> Column:
     return F.coalesce(F.get_json_object(_c(c), "$." + path), F.lit(""))
 
 
+# fixed values: where a blog post's address holds its blog and its number
+BLOG_ID_RE = "blog\\.naver\\.com/([^/]+)"
+LOG_NO_RE = "logNo=([0-9]+)"
+
+
 def normalize_url(url) -> Column:
     """P5: mobile host -> desktop host (``//m.`` -> ``//``)."""
     return F.regexp_replace(_c(url), "//m\\.", "//")
@@ -124,3 +129,17 @@ def kwic(content, keywords=C.REGION_KEYWORDS, radius: int = C.SNIPPET_RADIUS) ->
 def excerpt(c, n: int = C.EXCERPT_LENGTH) -> Column:
     """First n characters + '...'."""
     return F.concat(F.substring(_c(c), 1, n), F.lit("..."))
+
+
+def first_metatag(metatags, name: str) -> Column:
+    """The value in the first of an array of tag maps that holds ``name``"""
+    held = F.filter(_c(metatags), lambda t: F.map_contains_key(t, name))
+    return F.element_at(F.get(held, F.lit(0)), name)
+
+
+def blog_view_url(url) -> Column:
+    """The address of a blog post's own page, from its blog id and ``logNo``; '' without both"""
+    blog = F.regexp_extract(_c(url), BLOG_ID_RE, 1)
+    no = F.regexp_extract(_c(url), LOG_NO_RE, 1)
+    return F.when((blog != "") & (no != ""), F.concat(F.lit("https://blog.naver.com/PostView.naver?blogId="), blog,
+                                                     F.lit("&logNo="), no)).otherwise(F.lit(""))

@@ -8,10 +8,25 @@ third of all rows reaches the reducer as one row per map task instead of as a th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def row_digest(cols) -> Column:
+    """256-bit digest of some columns; null and empty differ"""
+    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+
+
+def first_rows(df: DataFrame, keys, order: str = "ingest_seq") -> DataFrame:
+    """W1 for wide rows: the whole row with the smallest ``order`` of each key.
+
+    Groups are formed on a digest of the key, so no text is shuffled to find them; the winners' rows
+    are then fetched by their ``order``, which must be unique.
+    """
+    win = df.select(order, row_digest(keys).alias("_key")).groupBy("_key").agg(F.min(order).alias(order))
+    return df.join(win.select(order), order, "left_semi")
+
+
 def keep_first(df: DataFrame, keys, order: str = "ingest_seq") -> DataFrame:
     """One row per ``keys``: the row with the smallest ``order``.
 

@@ -52,15 +52,12 @@ RAW_TAGS = frozenset(["script", "style"])
 
 
 class _TextParser(HTMLParser):
-    """Collects text inside <article> (or the whole body as fallback), skipping script/style, and
-    listing items: <li> anywhere, paragraphs inside <article>.  An item ends with its own end tag,
+    """Collects items: <li> anywhere, paragraphs inside <article>.  An item ends with its own end tag,
     with the next item, or with the element around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
-        self.article: list[str] = []
-        self.body: list[str] = []
         self.items: list[tuple[str, str, str]] = []
         self._cur: list[str] | None = None
         self._cur_tag, self._href, self._depth = "", "", 0
@@ -95,10 +92,6 @@ class _TextParser(HTMLParser):
     def handle_data(self, data):
         if self.stack and self.stack[-1] in RAW_TAGS:
             return
-        if "article" in self.stack:
-            self.article.append(data)
-        if "body" in self.stack:
-            self.body.append(data)
         if self._cur is not None:
             self._cur.append(data)
 
@@ -117,25 +110,218 @@ def _parse(html: str) -> _TextParser:
     return p
 
 
+# fixed values: where each site class keeps its main text, in the order tried
+CASCADES = {
+    "naver_news": ["div#dic_area", "div#articleBodyContents", "div#newsEndContents", "div#articeBody"],
+    "naver_blog": ["div.se-main-container", "div.__se_component_area", "div#viewTypeSelector", "div.post-view",
+                   "div.post_ct", "div.se_component_wrap"],
+    "naver_cafe": ["div.se-main-container", "div.article_container", "div.ContentRenderer", "div.article", "div#tbody"],
+    "general": ["article", "div.content", "div.article-content", "div.post-content", "main", "div.main-content"],
+}
+LEFT_OUT = {"naver_news": ["a.link_news", "a.link_end"]}
+WITH_BODY = ("general", "naver_cafe")
+
+# fixed values: the blocks of a board's result page
+BOARD_RESULTS = {"list": "ul.sch_result_list", "item": "li", "title": "a.sch_tit", "author": ".user_nick",
+                 "date": ".date", "skip": "td.notice", "no_author": "Unknown"}
+
+# an element of the key's kind ends an open one of its kind, unless one of these lies between
+ENDS_ITS_KIND = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+
+
+def _selector(text: str) -> tuple[str, str, str]:
+    """``tag``, ``tag.class``, ``.class`` or ``tag#id`` -> (tag, class, id)"""
+    tag, _, ident = text.partition("#")
+    tag, _, cls = tag.partition(".")
+    return tag, cls, ident
+
+
+def _matches(sel: tuple[str, str, str], tag: str, attrs: dict) -> bool:
+    want_tag, cls, ident = sel
+    return (not want_tag or tag == want_tag) and (not cls or cls in (attrs.get("class") or "").split()) \
+        and (not ident or attrs.get("id") == ident)
+
+
+class _Blocks(HTMLParser):
+    """Keeps the open elements and the blocks whose text is being gathered; subclasses say which
+    elements open a block.  Tags separate words; scripts and styles hold none."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.blocks: list[tuple[int, list[str]]] = []        # depth of the block's element, its text
+
+    def gather(self) -> list[str]:
+        text: list[str] = []
+        self.blocks.append((len(self.open), text))
+        return text
+
+    def opened(self, tag: str, attrs: dict) -> None:
+        raise NotImplementedError
+
+    def closed(self, depth: int) -> None:
+        pass
+
+    def _cut(self, depth: int) -> None:
+        del self.open[depth:]
+        self.blocks = [b for b in self.blocks if b[0] < depth]
+        self.closed(depth)
+
+    def _space(self) -> None:
+        for _, text in self.blocks:
+            text.append(" ")
+
+    def handle_starttag(self, tag, attrs):
+        self._space()
+        if tag in VOID_TAGS:
+            return
+        if tag in ENDS_ITS_KIND:
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i] == tag:
+                    self._cut(i)
+                    break
+                if self.open[i] in ENDS_ITS_KIND[tag]:
+                    break
+        self.opened(tag, dict(attrs))
+        self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        self._space()
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i] == tag:
+                self._cut(i)
+                break
+
+    def handle_data(self, data):
+        if self.open and self.open[-1] in RAW_TAGS:
+            return
+        for _, text in self.blocks:
+            text.append(data)
+
+    def read(self, html: str | None):
+        self.feed(html or "")
+        self.close()
+        self._cut(0)
+        return self
+
+
+def _joined(parts: list[str] | None) -> str:
+    return " ".join("".join(parts or []).split())
+
+
+class _MainText(_Blocks):
+    """The first element of each selector, and the body"""
+
+    def __init__(self, site_class: str):
+        super().__init__()
+        self.names = CASCADES[site_class] + (["body"] if site_class in WITH_BODY else [])
+        self.selectors = [_selector(n) for n in self.names]
+        self.left_out = [_selector(n) for n in LEFT_OUT.get(site_class, [])]
+        self.texts: dict[str, list[str]] = {}
+        self.muted: int | None = None
+
+    def opened(self, tag, attrs):
+        for name, sel in zip(self.names, self.selectors):
+            if name not in self.texts and _matches(sel, tag, attrs):
+                self.texts[name] = self.gather()
+        if self.muted is None and any(_matches(s, tag, attrs) for s in self.left_out):
+            self.muted = len(self.open)
+
+    def closed(self, depth):
+        if self.muted is not None and depth <= self.muted:
+            self.muted = None
+
+    def handle_data(self, data):
+        if self.muted is None:
+            super().handle_data(data)
+
+
+class _Listing(_Blocks):
+    """Items of a result list with title, link, author and date"""
+
+    def __init__(self, rule: dict):
+        super().__init__()
+        self.sel = {k: _selector(v) for k, v in rule.items() if k != "no_author"}
+        self.lists: list[int] = []
+        self.item: dict | None = None
+        self.items: list[dict] = []
+
+    def opened(self, tag, attrs):
+        if self.item is None:
+            if self.lists and self.lists[-1] == len(self.open) - 1 and _matches(self.sel["item"], tag, attrs):
+                self.item = {"depth": len(self.open), "skip": False}
+        else:
+            self.item["skip"] |= _matches(self.sel["skip"], tag, attrs)
+            for part in ("title", "author", "date"):
+                if part not in self.item and _matches(self.sel[part], tag, attrs):
+                    self.item[part] = self.gather()
+                    if part == "title":
+                        self.item["href"] = attrs.get("href")
+        if _matches(self.sel["list"], tag, attrs):
+            self.lists.append(len(self.open))
+
+    def closed(self, depth):
+        if self.item is not None and depth <= self.item["depth"]:
+            self.items.append(self.item)
+            self.item = None
+        self.lists = [d for d in self.lists if d < depth]
+
+
+def main_text(html: str | None, site_class: str, accept) -> tuple[str | None, str | None]:
+    """(selector, text) of the first candidate that ``accept`` takes, or (None, None)"""
+    found = _MainText(site_class).read(html).texts
+    for name in CASCADES[site_class] + ["body"]:
+        text = _joined(found.get(name))
+        if name in found and accept(text):
+            return name, text
+    return None, None
+
+
 def parsed_main_text(pages: DataFrame, min_chars: int = 50, char_class: str = "[A-Za-z]") -> DataFrame:
-    """T13 parser form: article text, else whole-body text; accepted by F8 (parameter class)."""
+    """T13 parser form over (page_id, html, site_class): the selectors of the class in order, then for
+    some classes the body; the first text that F8 (parameter class) accepts.  Pages without one have
+    null selector and text."""
     rx = re.compile(char_class)
     ship(pages.sparkSession)
 
+    def accept(text: str) -> bool:
+        return len(rx.findall(text)) >= min_chars
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [main_text(h, c, accept) for h, c in zip(b["html"], b["site_class"])]
+            yield pd.DataFrame({"page_id": b["page_id"], "site_class": b["site_class"],
+                                "selector": pd.Series([g[0] for g in got], dtype=object, index=b.index),
+                                "text": pd.Series([g[1] for g in got], dtype=object, index=b.index)})
+
+    return pages.select("page_id", "html", "site_class").mapInPandas(
+        run, "page_id long, site_class string, selector string, text string")
+
+
+def listing_rows(html: str | None, rule: dict) -> list[tuple]:
+    """(title, url, author, date) of a page's items.  Items without title or link, and notices, are
+    left out; a missing author has the rule's name, a missing date is None."""
+    rows = []
+    for it in _Listing(rule).read(html).items:
+        title, href = _joined(it.get("title")), it.get("href")
+        if it["skip"] or not title or not href:
+            continue
+        author = _joined(it["author"]) if "author" in it else rule["no_author"]
+        rows.append((title, href, author, _joined(it["date"]) if "date" in it else None))
+    return rows
+
+
+def listing(pages: DataFrame, rule: dict) -> DataFrame:
+    """T15 over (page_id, html): one row per listed item, in page order."""
+    ship(pages.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, srcs = [], []
-            for h in b["html"]:
-                p = _parse(h)
-                art = " ".join("".join(p.article).split())
-                texts.append(art if art else " ".join("".join(p.body).split()))
-                srcs.append("article" if art else "body")
-            out = pd.DataFrame({"page_id": b["page_id"], "text": texts, "source": srcs})
-            out["accepted"] = [len(rx.findall(t)) >= min_chars for t in texts]
-            yield out
+            rows = [(pid, i, *r) for pid, h in zip(b["page_id"], b["html"]) for i, r in enumerate(listing_rows(h, rule))]
+            yield pd.DataFrame(rows, columns=["page_id", "item_no", "title", "url", "author", "published_date"])
 
     return pages.select("page_id", "html").mapInPandas(
-        run, "page_id long, text string, source string, accepted boolean")
+        run, "page_id long, item_no int, title string, url string, author string, published_date string")
 
 
 def page_items(pages: DataFrame) -> DataFrame:

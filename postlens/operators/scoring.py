@@ -188,6 +188,53 @@ def batch_score(df: DataFrame, text_col: str, scorer_factory=PandasRuleScorer,
 
 # ---------------------------------------------------------------- A12 ensemble vote, M5 sets
 
+def with_votes(df: DataFrame, text_col: str, models=C.MODEL_NAMES, out: str = "votes") -> DataFrame:
+    """The members' votes on ``text_col`` as array<struct<model, model_ord, label, confidence>>.
+
+    The lexicon words are counted once per text and shared by the members.  Blank text gets no votes.
+    Confidences have four digits, so means of up to five votes are exact at six.
+    """
+    def count(words, group):
+        arr = F.array(*[F.lit(w) for w in words if (w in C.GERMANIC_WORDS) == group])
+        return F.size(F.filter(F.col("_tok"), lambda t: F.array_contains(arr, t))).cast("double")
+
+    x = df.withColumn("_tok", T.tokens(text_col))
+    x = x.withColumn("_c", F.array(F.greatest(F.size("_tok"), F.lit(1)).cast("double"),
+                                   count(C.POSITIVE_WORDS, True), count(C.POSITIVE_WORDS, False),
+                                   count(C.NEGATIVE_WORDS, True), count(C.NEGATIVE_WORDS, False)))
+    n, pos_g, pos_r, neg_g, neg_r = (F.element_at("_c", i) for i in range(1, 6))
+    rules = [(m, C.MODEL_NAMES.index(m), *C.MODEL_RULES[m]) for m in models]
+    votes = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("model_ord"), F.lit(scale).alias("scale"),
+                               F.lit(g).alias("g"), F.lit(r).alias("r")) for m, k, scale, g, r in rules])
+
+    def step(votes, **made):
+        return F.transform(votes, lambda v: F.struct(v["model"].alias("model"), v["model_ord"].alias("model_ord"),
+                                                     *[f(v).alias(name) for name, f in made.items()]))
+
+    # one transform per step of the head, so that no step is evaluated twice
+    votes = step(votes, a=lambda v: (neg_g * v["g"] + neg_r * v["r"]) * v["scale"] / n,
+                 b=lambda v: F.lit(1.0), c=lambda v: (pos_g * v["g"] + pos_r * v["r"]) * v["scale"] / n)
+    logits = {k: (lambda v, k=k: v[k]) for k in "abc"}
+    votes = step(votes, top=lambda v: F.greatest(v["a"], v["b"], v["c"]), **logits)
+    votes = step(votes, **{k: (lambda v, k=k: F.exp(v[k] - v["top"])) for k in "abc"})
+    votes = step(votes, total=lambda v: v["a"] + v["b"] + v["c"], **logits)
+    votes = step(votes, **{k: (lambda v, k=k: v[k] / v["total"]) for k in "abc"})
+    votes = step(votes, top=lambda v: F.greatest(v["a"], v["b"], v["c"]), **logits)
+    votes = step(votes, label=lambda v: F.when(v["a"] == v["top"], 0).when(v["b"] == v["top"], 1).otherwise(2),
+                 confidence=lambda v: F.round(v["top"], 4))
+    x = x.withColumn("_v", votes)
+    blank = F.col(text_col).isNull() | T.is_blank(F.col(text_col))
+    x = x.withColumn(out, F.when(blank, F.slice("_v", 1, 0)).otherwise(F.col("_v")))
+    return x.drop("_tok", "_c", "_v")
+
+
+def score_or_null(df: DataFrame, text_col: str, out: str = "score") -> DataFrame:
+    """M8: the score of a text while it is collected; blank text has none."""
+    x = with_rule_score(df, text_col, "_s")
+    has = F.col(text_col).isNotNull() & ~T.is_blank(F.col(text_col))
+    return x.withColumn(out, F.when(has, F.col("_s"))).drop("_s")
+
+
 def resolve_model_set(names) -> list[str]:
     """M5: a set name or a list; unknown names dropped; empty -> the three defaults."""
     if isinstance(names, str):

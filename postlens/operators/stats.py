@@ -88,3 +88,13 @@ def comment_override(sentiment: Column, negative: Column, neutral: Column, posit
     override = (total > C.COMMENT_MIN_COUNT) & sentiment.isNotNull() & (sentiment != 0) \
         & (major != sentiment) & (top > total * C.COMMENT_MIN_SHARE)
     return F.when(F.coalesce(override, F.lit(False)), major).otherwise(sentiment).cast("int")
+
+
+REPORT_COLUMNS = ["platform", "sentiment", "content"]
+
+
+def report_input(df: DataFrame, required=tuple(REPORT_COLUMNS)) -> DataFrame:
+    """V6: a report's input; absent columns read 'unknown', an empty input is an error."""
+    if df.isEmpty():
+        raise ValueError("the report's input has no rows")
+    return df.withColumns({c: F.lit("unknown") for c in required if c not in df.columns})

@@ -29,6 +29,30 @@ def analyze_dataset(posts: DataFrame) -> DataFrame:
                                  F.round(F.col("_s.confidence"), 6).alias("confidence")))
 
 
+def model_votes(posts: DataFrame, models=C.MODEL_NAMES) -> DataFrame:
+    """Long vote table (doc_id, model, model_ord, label, confidence) of the scorers on cleaned content."""
+    x = T.with_preprocessed(posts.select("doc_id", "content"), "content", "text")
+    # barrier: a generator over the vote expression itself would be planned with copies of it
+    return barrier(scoring.with_votes(x, "text", models).select("doc_id", "votes")).select("doc_id", F.inline("votes"))
+
+
+def analyze_ensemble(posts: DataFrame, models=C.MODEL_NAMES) -> DataFrame:
+    """M6 with an ensemble: clean -> every member votes -> A12 on the row, without a shuffle.  Blank
+    contents drop out."""
+    kept = posts.where(P.not_blank("content")).select("doc_id", "platform", "content")
+    cleaned = where_computed(T.with_preprocessed(kept, "content", "content"),
+                             lambda r: F.length(r["content"]) > 0)
+    x = scoring.with_votes(cleaned, "content", models).drop("content")
+    x = barrier(x).withColumn("_v", scoring.vote_array("votes"))
+    return x.select("doc_id", "platform", F.col("_v.label").alias("sentiment"),
+                    F.round("_v.confidence", 6).alias("confidence"), F.size("votes").alias("n_models"))
+
+
+def comment_labels(comments: DataFrame) -> DataFrame:
+    """M8 on comments: ``label`` is the scorer's."""
+    return scoring.with_rule_score(comments, "text", "_s").withColumn("label", F.col("_s.label")).drop("_s", "text")
+
+
 def label_share_by_platform(analysed: DataFrame) -> DataFrame:
     """A5 per platform: percent of each label (absent labels 0); one partial + final aggregate."""
     n = F.count(F.lit(1))

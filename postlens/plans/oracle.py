@@ -6,8 +6,8 @@ from __future__ import annotations
 def all_oracles() -> dict[str, str]:
     from postlens.plans.registry import load_all
     load_all()
-    from postlens.plans import queries_core, queries_io, queries_rel, queries_scalar
+    from postlens.plans import queries_core, queries_io, queries_items, queries_rel, queries_scalar
     out: dict[str, str] = {}
-    for mod in (queries_core, queries_scalar, queries_rel, queries_io):
+    for mod in (queries_core, queries_scalar, queries_rel, queries_io, queries_items):
         out.update(mod.ORACLE)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from postlens import config as C
@@ -60,16 +61,21 @@ oracle("sink_roundtrip", ANALYZED + f"""SELECT doc_id, title, platform, publishe
   {Q.label_name('sentiment')} AS sentiment_name, confidence FROM analyzed""")
 
 
+INPUT_FILE = "posts.json"
+
+
 @register("run_metadata")
 def q_run_metadata(spark, sf):
-    """One-row run metadata (item count, label distribution, thresholds) written as JSON and
-    read back."""
+    """One-row run metadata (item count, label distribution, models, columns, file names, thresholds)
+    written as JSON and read back."""
     a = analysis.analyze_dataset(TB.posts(spark, sf))
     n = F.count(F.lit(1))
     meta = a.agg(n.alias("item_count"),
                  *[F.round(F.count_if(F.col("sentiment") == k) * 100.0 / n, 1).alias(f"pct_{v}")
                    for k, v in C.LABEL_NAMES.items()])
     meta = meta.select("*", F.lit(",".join(C.MODEL_SETS["light"])).alias("models"),
+                       F.lit(",".join(a.columns)).alias("columns"), F.lit(INPUT_FILE).alias("input_file"),
+                       F.lit(INPUT_FILE.replace(".json", "_result.csv")).alias("result_file"),
                        F.lit(C.MIN_CONFIDENCE).alias("min_confidence"),
                        F.lit(C.MAX_TEXT_LENGTH).alias("max_text_length"))
     path = scratch_path(spark, "run-meta")
@@ -79,7 +85,9 @@ def q_run_metadata(spark, sf):
 
 oracle("run_metadata", ANALYZED + "SELECT count(*) AS item_count, " + ", ".join(
     f"round(count(*) FILTER (WHERE sentiment = {k}) * 100.0 / count(*), 1) AS pct_{v}" for k, v in C.LABEL_NAMES.items())
-    + f", {Q.q(','.join(C.MODEL_SETS['light']))} AS models, {C.MIN_CONFIDENCE} AS min_confidence, "
+    + f", {Q.q(','.join(C.MODEL_SETS['light']))} AS models, "
+      f"'doc_id,title,content,platform,published_date,url,sentiment,confidence' AS columns, 'posts.json' AS input_file, "
+      f"'posts_result.csv' AS result_file, {C.MIN_CONFIDENCE} AS min_confidence, "
       f"{C.MAX_TEXT_LENGTH} AS max_text_length FROM analyzed")
 
 HISTORY_FILE = "youtube.json"
@@ -104,34 +112,44 @@ oracle("analysis_history", ANALYZED + f"""SELECT run_no, platform || '.json' AS
   count(*) AS item_count FROM analyzed, (VALUES (1), (2)) r(run_no)
 WHERE platform || '.json' = '{HISTORY_FILE}' GROUP BY run_no, platform""")
 
-STAMP = "20240601_000000"
+DATASET = "doc_id long, platform string, lang string, title string"
+DAY = "20240601_"
+
+
+def _stamp(last):
+    return F.concat(F.lit(DAY), F.lpad((last % 240000).cast("string"), 6, "0"))
 
 
 def _write_datasets(spark, sf):
-    p = TB.posts(spark, sf).select("doc_id", "platform", "lang", "title", "content")
-    counts = p.groupBy("platform", "lang").agg(F.count(F.lit(1)).alias("n"))
+    """Posts landed as one directory per (platform, lang), named platform_count_keywords_stamp."""
+    p = TB.posts(spark, sf).select("doc_id", "platform", "lang", "title")
+    counts = p.groupBy("platform", "lang").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
     named = p.join(counts, ["platform", "lang"]).withColumn(
-        "dataset", F.concat_ws("_", "platform", F.col("n").cast("string"), "lang", F.lit(STAMP)))
+        "dataset", F.concat_ws("_", "platform", F.col("n").cast("string"), "lang", _stamp(F.col("last"))))
     path = scratch_path(spark, "datasets")
-    named.drop("n").write.mode("overwrite").partitionBy("dataset").json(path)
+    # few files per directory; a directory that holds much of the data is still split
+    named.drop("n", "last").hint("rebalance", F.col("dataset")).write.mode("overwrite").partitionBy("dataset").json(path)
     return path
 
 
+_LANDED = f"""landed AS (SELECT platform, lang, n, '{DAY}' || lpad(CAST(last % 240000 AS VARCHAR), 6, '0') AS stamp,
+  platform || '_' || n || '_' || lang || '_{DAY}' || lpad(CAST(last % 240000 AS VARCHAR), 6, '0') AS dataset
+  FROM (SELECT platform, lang, count(*) AS n, max(doc_id) AS last FROM posts GROUP BY ALL))"""
+
+
 @register("file_catalog")
 def q_file_catalog(spark, sf):
     """Datasets landed as directories named platform_count_keywords_stamp; the catalogue
     is built from file metadata and the names are parsed with one anchored regex."""
     path = _write_datasets(spark, sf)
-    schema = "doc_id long, platform string, lang string, title string, content string"
-    ft = FS.file_table(spark, path, "json", schema)
+    ft = FS.file_table(spark, path, "json", DATASET)
     named = ft.select(FS.dataset_of(F.col("file_path")).alias("dataset"))
     plat, cnt, kw, stamp = FS.parse_dataset_name(F.col("dataset"))
     return named.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows")).select(
         "dataset", plat.alias("platform"), cnt.cast("long").alias("count"), kw.alias("keyword"), "n_rows")
 
 
-oracle("file_catalog", POSTS + f"""SELECT platform || '_' || n || '_' || lang || '_{STAMP}' AS dataset, platform, n AS count,
-  lang AS keyword, n AS n_rows FROM (SELECT platform, lang, count(*) AS n FROM posts GROUP BY ALL)""")
+oracle("file_catalog", Q.with_ctes(Q.posts_cte(), _LANDED) + "SELECT dataset, platform, n AS count, lang AS keyword, n AS n_rows FROM landed")
 
 
 NEWEST = 5
@@ -142,8 +160,8 @@ def _datasets(spark, sf):
     p = TB.table(spark, sf, "documents").select("doc_id", "lang", "source")
     plat = F.element_at(F.array(*[F.lit(x) for x in TB.ADAPTER_PLATFORMS]), (F.col("doc_id") % 7 + 1).cast("int"))
     g = p.groupBy(plat.alias("platform"), "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-    stamp = F.concat(F.lit("20240601_"), F.lpad((F.col("last") % 240000).cast("string"), 6, "0"))
-    return g.select(F.concat_ws("_", "platform", F.col("n").cast("string"), F.concat_ws("-", "lang", "source"), stamp).alias("dataset"))
+    return g.select(F.concat_ws("_", "platform", F.col("n").cast("string"), F.concat_ws("-", "lang", "source"),
+                                _stamp(F.col("last"))).alias("dataset"))
 
 
 _DATASETS = f"""ds AS (SELECT platform, n, lang || '-' || source AS kw, '20240601_' || lpad(CAST(last % 240000 AS VARCHAR), 6, '0') AS stamp,
@@ -193,14 +211,63 @@ SELECT dataset, platform, n AS count, kw AS keywords, stamp,
 
 @register("latest_dataset")
 def q_latest_dataset(spark, sf):
-    """Newest dataset per platform by file modification time (name breaks ties)."""
+    """The rows of each platform's newest dataset, by the stamp in its name."""
     path = _write_datasets(spark, sf)
-    schema = "doc_id long, platform string, lang string, title string, content string"
-    ft = FS.file_table(spark, path, "json", schema).select(
-        FS.dataset_of(F.col("file_path")).alias("dataset"), "file_mtime")
-    plat = FS.parse_dataset_name(F.col("dataset"))[0]
-    return ft.groupBy(plat.alias("platform")).agg(
-        F.max_by("dataset", F.struct("file_mtime", "dataset")).alias("latest"))
+    names = FS.file_table(spark, path, "json", DATASET).select(FS.dataset_of(F.col("file_path")).alias("dataset"))
+    plat, _, _, stamp = FS.parse_dataset_name(F.col("dataset"))
+    rows = FS.read_newest(spark, path, "json", DATASET, names, "dataset", plat, stamp)
+    return rows.select("platform", "dataset", "doc_id", "title")
+
+
+oracle("latest_dataset", Q.with_ctes(Q.posts_cte(), _LANDED) + """SELECT p.platform, n.dataset, p.doc_id, p.title FROM posts p JOIN (
+  SELECT platform, lang, dataset, row_number() OVER (PARTITION BY platform ORDER BY stamp DESC, dataset DESC) AS rn FROM landed) n
+ON p.platform = n.platform AND p.lang = n.lang WHERE n.rn = 1""")
+
+RUNS = ["20240601_010000", "20240602_010000"]           # the first run knew the posts seen before
+
+
+@register("latest_processed")
+def q_latest_processed(spark, sf):
+    """Processed results land as CSV named prefix_processed_stamp; the newest name of each platform
+    prefix is loaded."""
+    p = TB.posts(spark, sf)
+    seen = F.col("base_date") < F.lit(TB.SEEN_BEFORE).cast("date")
+    stamps = F.when(seen, F.array(*[F.lit(r) for r in RUNS])).otherwise(F.array(F.lit(RUNS[1])))
+    x = p.select("doc_id", "platform", "date_text", F.explode(stamps).alias("stamp"))
+    prefix = F.substring_index("platform", "_", 1)
+    path = scratch_path(spark, "processed")
+    (x.withColumn("dataset", F.concat(prefix, F.lit("_processed_"), F.col("stamp"))).drop("stamp")
+     .hint("rebalance", F.col("dataset")).write.mode("overwrite").option("header", True).option("nullValue", FS.NULL_MARK)
+     .option("emptyValue", '""').partitionBy("dataset").csv(path))
+    schema = "doc_id long, platform string, date_text string"
+    names = FS.file_table(spark, path, "csv", schema).select(FS.dataset_of(F.col("file_path")).alias("dataset"))
+    return FS.read_newest(spark, path, "csv", schema, names, "dataset",
+                          F.substring_index("dataset", "_processed_", 1), F.col("dataset"),
+                          {"header": "true", "nullValue": FS.NULL_MARK, "emptyValue": ""})
+
+
+oracle("latest_processed", POSTS + f"""SELECT doc_id, platform, date_text,
+  split_part(platform, '_', 1) || '_processed_{RUNS[1]}' AS dataset FROM posts""")
+
+
+@register("observed_run")
+def q_observed_run(spark, sf):
+    """X-UDF3: a run that reports its progress: rows read, scored and of each label, counted by
+    observations while the result is written, without another pass."""
+    read, done = Observation("read"), Observation("scored")
+    p = TB.posts(spark, sf).observe(read, F.count(F.lit(1)).alias("n"))
+    a = analysis.analyze_dataset(p).select("doc_id", "sentiment", "confidence").observe(
+        done, F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("sentiment") == k).alias(v) for k, v in C.LABEL_NAMES.items()])
+    path = scratch_path(spark, "observed")
+    a.write.mode("overwrite").parquet(path)
+    r, s = read.get, done.get
+    names = list(C.LABEL_NAMES.values())
+    return spark.createDataFrame([(r["n"], s["n"], *[s[v] for v in names])],
+                                 "rows_read long, rows_scored long, " + ", ".join(f"{v} long" for v in names))
+
+
+oracle("observed_run", ANALYZED + "SELECT (SELECT count(*) FROM posts) AS rows_read, count(*) AS rows_scored, " + ", ".join(
+    f"count(*) FILTER (WHERE sentiment = {k}) AS {v}" for k, v in C.LABEL_NAMES.items()) + " FROM analyzed")
 
 
 # ------------------------------------------------------------------ pages
@@ -248,7 +315,59 @@ oracle("page_title_links", f"""SELECT page_id, {_title_sql()} AS title,
 
 @register("page_main_text_parsed")
 def q_page_main_text_parsed(spark, sf):
-    return pages.parsed_main_text(spread(TB.pages(spark, sf), "page_id"))
+    """The selectors of the page's site class in turn, then the body; the first text with enough
+    letters is taken."""
+    pg = spread(TB.pages(spark, sf), "page_id")
+    return pages.parsed_main_text(pg.withColumn("site_class", S.url_site_class("url")))
+
+
+def _page_text_sql(inner):
+    t = Q.rx_replace(inner, pages.SCRIPT_RE, " ")
+    t = Q.rx_replace(t, "(?s)<!--.*?-->", " ")
+    t = Q.rx_replace(t, T.TAG_RE, " ")
+    for ent, rep in [("&copy;", "©"), ("&middot;", "·")] + C.HTML_ENTITIES:
+        t = f"replace({t}, {Q.q(ent)}, {Q.q(rep)})"
+    return Q.strip_blank(Q.collapse_blank(t))
+
+
+def _letters_sql(e):
+    return f"length({e}) - length(regexp_replace({e}, '[A-Za-z]', '', 'g')) >= 50"
+
+
+oracle("page_main_text_parsed", f"""SELECT page_id, 'general' AS site_class,
+  CASE WHEN {_letters_sql('art')} THEN 'article' WHEN {_letters_sql('body')} THEN 'body' END AS selector,
+  CASE WHEN {_letters_sql('art')} THEN art WHEN {_letters_sql('body')} THEN body END AS text
+FROM (SELECT page_id, {_page_text_sql(f"regexp_extract(html, {Q.q(pages.ARTICLE_RE)}, 1)")} AS art,
+        {_page_text_sql("regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1)")} AS body FROM pages)""")
+
+
+def _board_pages(spark, sf):
+    """Result pages of a board: at most ten posts each, ids of one block of 70; every third item leaves
+    its end tag out, every fifth names no author, undated posts have no date element."""
+    p = TB.posts(spark, sf).where(F.col("platform") == "dcinside")
+    esc = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    k = F.col("doc_id")
+    li = F.concat(F.lit('<li><a class="sch_tit" href="'), "url", F.lit('"><b>'), esc, F.lit("</b></a>"),
+                  F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('<span class="user_nick x">'), "source", F.lit("</span>"))),
+                  F.when(F.col("date_text") == "", F.lit("")).otherwise(F.concat(F.lit("<span class='date'>"), "date_text", F.lit("</span>"))),
+                  F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("</li>")))
+    g = p.select(F.expr("doc_id div 70").alias("page_id"), F.struct("doc_id", li.alias("li")).alias("i")) \
+        .groupBy("page_id").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    return g.select("page_id", F.concat(F.lit('<html><body><ul class="menu"><li><a href="/">x</a></li></ul><ul class="sch_result_list">'),
+                                        F.array_join(F.transform("items", lambda i: i["li"]), "\n"),
+                                        F.lit("</ul></body></html>")).alias("html"))
+
+
+@register("page_listing")
+def q_page_listing(spark, sf):
+    """Title, link, author and date of each result on a board's pages."""
+    rows = pages.listing(_board_pages(spark, sf), pages.BOARD_RESULTS)
+    return rows.drop("item_no")
+
+
+oracle("page_listing", POSTS + f"""SELECT doc_id // 70 AS page_id, t AS title, url,
+  CASE WHEN doc_id % 5 = 0 THEN 'Unknown' ELSE source END AS author, CASE WHEN date_text <> '' THEN date_text END AS published_date
+FROM (SELECT *, {Q.strip_blank(Q.collapse_blank('title'))} AS t FROM posts WHERE platform = 'dcinside') WHERE t <> ''""")
 
 
 @register("page_items")

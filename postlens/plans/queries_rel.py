@@ -35,51 +35,58 @@ def _analyzed(spark, sf):
 
 @register("dedup_exact")
 def q_dedup_exact(spark, sf):
-    p = TB.posts(spark, sf).select("doc_id", "ingest_seq", "title", "content", "date_text")
-    return dedup.keep_first(p, ["title", "content", "date_text"]).select("doc_id")
+    """Whole rows, the first of each (title, content, date)."""
+    p = TB.posts(spark, sf).select("doc_id", "ingest_seq", "platform", "title", "content", "url", "date_text")
+    return dedup.first_rows(p, ["title", "content", "date_text"]).drop("ingest_seq")
 
 
-oracle("dedup_exact", POSTS + "SELECT arg_min(doc_id, ingest_seq) AS doc_id FROM posts GROUP BY title, content, date_text")
+def _rank_sql(cols, keys, order="ingest_seq", src="posts"):
+    return (f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn "
+            f"FROM {src}) WHERE rn = 1")
+
+
+oracle("dedup_exact", POSTS + _rank_sql("doc_id, platform, title, content, url, date_text", "title, content, date_text"))
 
 
 @register("dedup_content")
 def q_dedup_content(spark, sf):
     """W1 on the text alone: exact copies collapse to their first occurrence."""
     p = TB.posts(spark, sf).select("doc_id", "ingest_seq", "content")
-    return dedup.keep_first(p, ["content"]).select("doc_id")
+    return dedup.first_rows(p, ["content"]).drop("ingest_seq")
 
 
-oracle("dedup_content", POSTS + "SELECT arg_min(doc_id, ingest_seq) AS doc_id FROM posts GROUP BY content")
+oracle("dedup_content", POSTS + _rank_sql("doc_id, content", "content"))
 
 
 @register("dedup_doc_id")
 def q_dedup_doc_id(spark, sf):
-    p = TB.posts(spark, sf).select("doc_id", "ingest_seq", S.doc_key("url", "title").alias("doc_key"))
-    return dedup.keep_first(p, ["doc_key"]).select("doc_key", "doc_id")
+    p = TB.posts(spark, sf).select("doc_id", "ingest_seq", "platform", "title", "url", S.doc_key("url", "title").alias("doc_key"))
+    return dedup.keep_first(p, ["doc_key"]).drop("ingest_seq")
 
 
-oracle("dedup_doc_id", POSTS + """SELECT doc_key, arg_min(doc_id, ingest_seq) AS doc_id
-FROM (SELECT *, sha256(coalesce(url, '') || coalesce(title, '')) AS doc_key FROM posts) GROUP BY doc_key""")
+oracle("dedup_doc_id", POSTS + _rank_sql("doc_key, doc_id, platform, title, url", "doc_key",
+                                         src="(SELECT *, sha256(coalesce(url, '') || coalesce(title, '')) AS doc_key FROM posts)"))
 
 
 @register("dedup_keyword_url")
 def q_dedup_keyword_url(spark, sf):
-    p = TB.posts(spark, sf).select("doc_id", "ingest_seq", "keyword", "url")
-    return dedup.keep_first(p, ["keyword", "url"]).select("keyword", "url", "doc_id")
+    p = TB.posts(spark, sf).select("doc_id", "ingest_seq", "keyword", "url", "platform", "title", "date_text")
+    return dedup.keep_first(p, ["keyword", "url"]).drop("ingest_seq")
 
 
-oracle("dedup_keyword_url", POSTS + "SELECT keyword, url, arg_min(doc_id, ingest_seq) AS doc_id FROM posts GROUP BY keyword, url")
+oracle("dedup_keyword_url", POSTS + _rank_sql("keyword, url, doc_id, platform, title, date_text", "keyword, url"))
 
 
 @register("dedup_last_wins")
 def q_dedup_last_wins(spark, sf):
     """W4 keyed by the text: the last record wins, ``first_seq`` keeps the first position."""
-    p = TB.posts(spark, sf).select("doc_id", "ingest_seq", F.sha2("content", 256).alias("key"))
-    return dedup.keep_last(p, ["key"]).select("key", "doc_id", "first_seq")
+    p = TB.posts(spark, sf).select("doc_id", "ingest_seq", "platform", "url", "date_text", F.sha2("content", 256).alias("key"))
+    return dedup.keep_last(p, ["key"]).drop("ingest_seq")
 
 
-oracle("dedup_last_wins", POSTS + """SELECT key, arg_max(doc_id, ingest_seq) AS doc_id, min(ingest_seq) AS first_seq
-FROM (SELECT *, sha256(content) AS key FROM posts) GROUP BY key""")
+oracle("dedup_last_wins", POSTS + """SELECT k.key, p.doc_id, p.platform, p.url, p.date_text, k.first_seq FROM (
+  SELECT sha256(content) AS key, max(ingest_seq) AS last_seq, min(ingest_seq) AS first_seq FROM posts GROUP BY ALL) k
+JOIN posts p ON p.ingest_seq = k.last_seq""")
 
 
 @register("incremental_new_posts")
@@ -111,7 +118,7 @@ UNION ALL BY NAME SELECT doc_id, platform, lang AS board FROM posts WHERE platfo
 UNION ALL BY NAME SELECT doc_id, platform, source AS blog_name FROM posts WHERE platform NOT IN ('youtube', 'buan_gov')""")
 
 REQUESTED_MODELS = C.MODEL_SETS["heavy"] + ["koalpaca"]
-AVAILABLE_FROM = 0.9
+AVAILABLE_FROM = 0.5
 
 
 @register("missing_models")
@@ -120,13 +127,12 @@ def q_missing_models(spark, sf):
     least AVAILABLE_FROM; both sides come from the documents."""
     d = TB.table(spark, sf, "documents").select("doc_id", "source")
     req = d.select("source").distinct().select("source", F.explode(F.array(*[F.lit(m) for m in REQUESTED_MODELS])).alias("model"))
-    ks = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(m).alias("model")) for i, m in enumerate(C.MODEL_NAMES)])
-    v = d.select("source", "doc_id", F.inline(ks))
-    have = v.where((F.col("doc_id") * F.col("k") * 13 % 97) / 100.0 >= AVAILABLE_FROM).select("source", "model").distinct()
+    v = analysis.model_votes(TB.posts(spark, sf)).where(F.col("confidence") >= AVAILABLE_FROM).select("doc_id", "model")
+    have = d.join(v, "doc_id").select("source", "model").distinct()
     return req.join(have, ["source", "model"], "left_anti")
 
 
-oracle("missing_models", Q.with_ctes(Q.votes_cte()) + f"""SELECT source, model FROM (
+oracle("missing_models", Q.with_ctes(Q.posts_cte(), Q.votes_cte()) + f"""SELECT source, model FROM (
   SELECT DISTINCT source, unnest({Q.arr(REQUESTED_MODELS)}) AS model FROM documents)
 EXCEPT SELECT d.source, v.model FROM votes v JOIN documents d USING (doc_id) WHERE v.confidence >= {AVAILABLE_FROM}""")
 
@@ -230,15 +236,15 @@ def q_flatten_comments(spark, sf):
     snippet = F.struct(F.struct(F.col("author").alias("authorDisplayName"), F.col("text").alias("textDisplay"),
                                 F.col("turn").cast("string").alias("position")).alias("snippet"))
     answer = F.to_json(F.struct(F.array(F.struct(F.struct(snippet.alias("topLevelComment")).alias("snippet"))).alias("items")))
-    raw = c.select("video_key", "label", answer.alias("raw"))
+    raw = c.select("video_key", answer.alias("raw"))
     schema = ("items array<struct<snippet:struct<topLevelComment:struct<snippet:"
               "struct<authorDisplayName:string,textDisplay:string,position:string>>>>>")
-    item = raw.select("video_key", "label", F.explode(F.from_json("raw", schema)["items"]).alias("i"))
+    item = raw.select("video_key", F.explode(F.from_json("raw", schema)["items"]).alias("i"))
     s = F.col("i.snippet.topLevelComment.snippet")
-    return item.select("video_key", s["position"].cast("long").alias("turn"), s["authorDisplayName"].alias("author"), "label")
+    return item.select("video_key", s["position"].cast("long").alias("turn"), s["authorDisplayName"].alias("author"), s["textDisplay"].alias("text"))
 
 
-oracle("flatten_comments", Q.with_ctes(Q.comments_cte()) + "SELECT video_key, turn, author, label FROM comments")
+oracle("flatten_comments", Q.with_ctes(Q.comments_cte()) + "SELECT video_key, turn, author, text FROM comments")
 
 
 @register("post_details")
@@ -471,12 +477,12 @@ WHERE rn <= {C.TOP_PER_LABEL}""")
 
 @register("comment_sentiments")
 def q_comment_sentiments(spark, sf):
-    """A10: label counts of each video's comments (all three labels counted)."""
-    return stats.label_counts(TB.comments(spark, sf), "label", by=["video_key"])
+    """A10: label counts of each video's comments (all three labels counted), as the scorer labels them."""
+    return stats.label_counts(analysis.comment_labels(TB.comments(spark, sf)), "label", by=["video_key"])
 
 
-oracle("comment_sentiments", Q.with_ctes(Q.comments_cte()) + "SELECT video_key, " + ", ".join(
-    f"count(*) FILTER (WHERE label = {k}) AS {n}" for k, n in C.LABEL_NAMES.items()) + " FROM comments GROUP BY video_key")
+oracle("comment_sentiments", Q.with_ctes(Q.comments_cte(), Q.comment_labels_cte()) + "SELECT video_key, " + ", ".join(
+    f"count(*) FILTER (WHERE label = {k}) AS {n}" for k, n in C.LABEL_NAMES.items()) + " FROM labelled GROUP BY video_key")
 
 
 @register("comment_scores")
@@ -491,20 +497,33 @@ oracle("comment_scores", Q.with_ctes(Q.comments_cte()) + f"""SELECT video_key, t
 FROM (SELECT video_key, turn, {Q.rule_score('text')} AS s FROM comments)""")
 
 
+@register("post_scores")
+def q_post_scores(spark, sf):
+    """M8: a post's title and content scored together; blank ones have no score."""
+    p = TB.posts(spark, sf).select("doc_id", F.concat_ws(" ", "title", "content").alias("text"))
+    return scoring.score_or_null(p, "text", "s").select(
+        "doc_id", F.col("s.label").alias("sentiment"), F.round("s.confidence", 6).alias("confidence"))
+
+
+oracle("post_scores", POSTS + f"""SELECT doc_id, CASE WHEN has THEN s.label END AS sentiment, CASE WHEN has THEN round(s.confidence, 6) END AS confidence
+FROM (SELECT doc_id, length({Q.strip_blank('t')}) > 0 AS has, {Q.rule_score('t')} AS s
+      FROM (SELECT doc_id, concat_ws(' ', title, content) AS t FROM posts))""")
+
+
 @register("overall_sentiment")
 def q_overall_sentiment(spark, sf):
     """A video's label is replaced by its comments' majority label when it has more than 5
     labelled comments, a (truthy) label of its own, and the majority differs and holds > 60 %.
     Majority ties go positive, neutral, negative (the fixed order of the count table)."""
     vids = TB.posts(spark, sf).where(F.col("platform") == "youtube").select("doc_id", "sentiment")
-    cnt = stats.label_counts(TB.comments(spark, sf), "label", by=["video_key"])
+    cnt = stats.label_counts(analysis.comment_labels(TB.comments(spark, sf)), "label", by=["video_key"])
     j = vids.join(cnt, vids.doc_id == cnt.video_key, "left")
     total = F.coalesce(F.col("negative") + F.col("neutral") + F.col("positive"), F.lit(0))
     overall = stats.comment_override(F.col("sentiment"), F.col("negative"), F.col("neutral"), F.col("positive"))
     return j.select("doc_id", "sentiment", total.alias("n_comments"), overall.alias("overall"))
 
 
-oracle("overall_sentiment", Q.with_ctes(Q.posts_cte(), Q.comments_cte()) + f"""SELECT doc_id, sentiment, n_comments,
+oracle("overall_sentiment", Q.with_ctes(Q.posts_cte(), Q.comments_cte(), Q.comment_labels_cte()) + f"""SELECT doc_id, sentiment, n_comments,
   CAST(CASE WHEN n_comments > {C.COMMENT_MIN_COUNT} AND sentiment IS NOT NULL AND sentiment <> 0 AND major <> sentiment
             AND top > n_comments * {C.COMMENT_MIN_SHARE} THEN major ELSE sentiment END AS INTEGER) AS overall
 FROM (SELECT v.doc_id, v.sentiment, coalesce(c.negative + c.neutral + c.positive, 0) AS n_comments,
@@ -513,7 +532,7 @@ FROM (SELECT v.doc_id, v.sentiment, coalesce(c.negative + c.neutral + c.positive
              WHEN c.neutral = greatest(c.positive, c.neutral, c.negative) THEN 1 ELSE 0 END AS major
       FROM (SELECT doc_id, sentiment FROM posts WHERE platform = 'youtube') v LEFT JOIN (
         SELECT video_key, count(*) FILTER (WHERE label = 0) AS negative, count(*) FILTER (WHERE label = 1) AS neutral,
-               count(*) FILTER (WHERE label = 2) AS positive FROM comments GROUP BY video_key) c ON v.doc_id = c.video_key)""")
+               count(*) FILTER (WHERE label = 2) AS positive FROM labelled GROUP BY video_key) c ON v.doc_id = c.video_key)""")
 
 
 def _vote_sql(src):
@@ -525,33 +544,44 @@ def _vote_sql(src):
 
 @register("ensemble_vote")
 def q_ensemble_vote(spark, sf):
-    v = scoring.ensemble_vote(TB.votes(spark, sf))
+    v = scoring.ensemble_vote(analysis.model_votes(TB.posts(spark, sf)))
     return v.select("doc_id", "sentiment", F.round("confidence", 6).alias("confidence"), "votes")
 
 
-oracle("ensemble_vote", Q.with_ctes(Q.votes_cte()) + _vote_sql("votes"))
+VOTES = Q.with_ctes(Q.posts_cte(), Q.votes_cte())
+oracle("ensemble_vote", VOTES + _vote_sql("votes"))
+
+
+@register("analyze_ensemble")
+def q_analyze_ensemble(spark, sf):
+    """M6 with the balanced set: the members' votes are decided on the row."""
+    return analysis.analyze_ensemble(TB.posts(spark, sf), scoring.resolve_model_set("balanced"))
+
+
+_BALANCED = f"(SELECT * FROM votes WHERE model IN ({', '.join(Q.q(m) for m in C.MODEL_SETS['balanced'])}))"
+oracle("analyze_ensemble", VOTES + f"""SELECT v.doc_id, p.platform, v.sentiment, v.confidence, {len(C.MODEL_SETS['balanced'])} AS n_models
+FROM ({_vote_sql(_BALANCED)}) v JOIN posts p USING (doc_id)""")
 
 
 @register("ensemble_by_set")
 def q_ensemble_by_set(spark, sf):
     """M5: the vote restricted to a named model set."""
     models = scoring.resolve_model_set("balanced")
-    v = scoring.ensemble_vote(TB.votes(spark, sf).where(F.col("model").isin(models)))
+    v = scoring.ensemble_vote(analysis.model_votes(TB.posts(spark, sf), models))
     return v.select("doc_id", "sentiment", F.round("confidence", 6).alias("confidence"), "votes")
 
 
-oracle("ensemble_by_set", Q.with_ctes(Q.votes_cte()) + _vote_sql(
-    f"(SELECT * FROM votes WHERE model IN ({', '.join(Q.q(m) for m in C.MODEL_SETS['balanced'])}))"))
+oracle("ensemble_by_set", VOTES + _vote_sql(_BALANCED))
 
 
 @register("model_vote_summary")
 def q_model_vote_summary(spark, sf):
-    v = TB.votes(spark, sf)
+    v = analysis.model_votes(TB.posts(spark, sf))
     return v.groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"),
                                            F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-oracle("model_vote_summary", Q.with_ctes(Q.votes_cte()) +
+oracle("model_vote_summary", VOTES +
        "SELECT model, label, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM votes GROUP BY model, label")
 
 
@@ -620,10 +650,12 @@ FROM posts ORDER BY crawled_at DESC, doc_id DESC LIMIT {C.RECENT_DEFAULT_N}""")
 @register("report_sample")
 def q_report_sample(spark, sf):
     """Distinct non-null contents, deterministic sample of 10 (by content hash),
-    truncated to an excerpt."""
-    a = _analyzed(spark, sf).where(F.col("content").isNotNull()).select("content").distinct()
-    s = a.orderBy(F.sha2("content", 256)).limit(C.REPORT_SAMPLE_N)
-    return s.select(S.excerpt("content").alias("excerpt"))
+    truncated to an excerpt.  Digests find the sample; only its posts' texts are read again."""
+    p = TB.posts(spark, sf)
+    d = analysis.analyze_dataset(p).select("doc_id", F.sha2("content", 256).alias("digest"))
+    ids = d.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).orderBy("digest").limit(C.REPORT_SAMPLE_N)
+    picked = p.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    return analysis.analyze_dataset(picked).select(S.excerpt("content").alias("excerpt"))
 
 
 oracle("report_sample", ANALYZED + f"""SELECT left(content, {C.EXCERPT_LENGTH}) || '...' AS excerpt FROM (

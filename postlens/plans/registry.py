@@ -21,5 +21,5 @@ def register(name: str):
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # importing the modules fills QUERIES
-    from postlens.plans import queries_core, queries_io, queries_rel, queries_scalar  # noqa: F401
+    from postlens.plans import queries_core, queries_io, queries_items, queries_rel, queries_scalar  # noqa: F401
     return QUERIES

@@ -183,22 +183,38 @@ def posts_cte() -> str:
 
 
 def votes_cte() -> str:
-    models = ", ".join(f"({i + 1}, {q(m)})" for i, m in enumerate(C.MODEL_NAMES))
-    return f"""votes AS (
-  SELECT d.doc_id, m.model, CAST(m.k - 1 AS INTEGER) AS model_ord,
-         CAST((d.doc_id * m.k + 3) % 3 AS INTEGER) AS label,
-         (d.doc_id * m.k * 13 % 97) / 100.0::DOUBLE AS confidence
-  FROM documents d CROSS JOIN (VALUES {models}) m(k, model)
-)"""
+    """votes of the members over posts (needs posts)"""
+    rows = ", ".join(f"({i}, {q(m)}, {C.MODEL_RULES[m][0]}::DOUBLE, {C.MODEL_RULES[m][1]}::DOUBLE, {C.MODEL_RULES[m][2]}::DOUBLE)"
+                     for i, m in enumerate(C.MODEL_NAMES))
+
+    def n_of(words, group):
+        picked = arr([w for w in words if (w in C.GERMANIC_WORDS) == group])
+        return f"len(list_filter(toks, lambda x: list_contains({picked}, x)))::DOUBLE"
+
+    head = argmax_head("[(ng * m.g + nr * m.r) * m.scale / n, 1.0::DOUBLE, (pg * m.g + pr * m.r) * m.scale / n]")
+    return f"""vote_counts AS (
+  SELECT doc_id, greatest(len(toks), 1)::DOUBLE AS n, {n_of(C.POSITIVE_WORDS, True)} AS pg, {n_of(C.POSITIVE_WORDS, False)} AS pr,
+    {n_of(C.NEGATIVE_WORDS, True)} AS ng, {n_of(C.NEGATIVE_WORDS, False)} AS nr
+  FROM (SELECT doc_id, {tokens('c')} AS toks FROM (SELECT doc_id, {basic_clean('content')} AS c FROM posts) WHERE length(c) > 0)),
+votes AS (
+  SELECT doc_id, model, model_ord, h.label AS label, round(h.confidence, 4) AS confidence FROM (
+    SELECT t.doc_id, m.model, CAST(m.k AS INTEGER) AS model_ord, {head} AS h
+    FROM vote_counts t CROSS JOIN (VALUES {rows}) m(k, model, scale, g, r)))"""
 
 
 def comments_cte() -> str:
     return """comments AS (
-  SELECT conv_id AS video_key, turn, role AS author, text, CAST(length(text) % 3 AS INTEGER) AS label
+  SELECT conv_id - conv_id % 7 + 3 AS video_key, (conv_id % 7) * 1000000 + turn AS turn, role AS author, text
   FROM conversations
 )"""
 
 
+def comment_labels_cte() -> str:
+    """comments with the scorer's label (needs comments)"""
+    return f"""labelled AS (SELECT video_key, turn, author, s.label AS label FROM (
+  SELECT *, {rule_score('text')} AS s FROM comments))"""
+
+
 def analyzed_cte() -> str:
     """M6 output over posts (needs posts)."""
     pre = basic_clean("content")

@@ -103,6 +103,20 @@ def file_table(spark: SparkSession, path: str, fmt: str = "json", schema=None) -
                      F.col("_metadata.file_modification_time").alias("file_mtime"))
 
 
+def read_newest(spark: SparkSession, path: str, fmt: str, schema: str, names: DataFrame, partition: str,
+                group, order, options: dict | None = None) -> DataFrame:
+    """The rows of the newest dataset of each ``group``; later ``order`` is newer, the name
+    breaks ties.  Only the newest directories are read.
+
+    ``names`` has one column with dataset names (the ``partition`` directories); ``group`` and ``order``
+    are made from it.  The driver gets one name per group, a platform.
+    """
+    newest = names.distinct().groupBy(group.alias("_g")).agg(F.max_by(partition, F.struct(order, F.col(partition))).alias("_n"))
+    picked = [r["_n"] for r in newest.collect()]
+    rows = spark.read.format(fmt).schema(f"{schema}, {partition} string").options(**(options or {})).load(path)
+    return rows.where(F.col(partition).isin(picked))
+
+
 def dataset_of(file_path) -> F.Column:
     """dataset directory name of a written file (``.../<dataset>=<name>/part-...``)."""
     return F.regexp_extract(file_path, "dataset=([^/]+)/[^/]*$", 1)

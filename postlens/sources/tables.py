@@ -107,26 +107,17 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long vote table (doc_id, model, model_ord, label, confidence): 5 models per post."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    models = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(m).alias("model"))
-                       for i, m in enumerate(C.MODEL_NAMES)])
-    x = d.select("doc_id", F.inline(models))
-    return x.select(
-        "doc_id", "model", (F.col("k") - 1).cast("int").alias("model_ord"),
-        ((F.col("doc_id") * F.col("k") + 3) % 3).cast("int").alias("label"),
-        ((F.col("doc_id") * F.col("k") * 13 % 97) / 100.0).alias("confidence"),
-    )
+THREADS = 7
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments: conv_id = video, turn = order, role = author, label = length(text) % 3."""
+    """Comments: the conversations of a block of THREADS ids are the threads under the block's video
+    (the id that leaves 3); ``turn`` is the position under the video: thread, then turn."""
     c = table(spark, sf_dir, "conversations")
+    thread = F.col("conv_id") % THREADS
     return c.select(
-        F.col("conv_id").alias("video_key"), F.col("turn"), F.col("role").alias("author"),
-        F.col("text"), (F.length("text") % 3).cast("int").alias("label"),
-    )
+        (F.col("conv_id") - thread + 3).alias("video_key"), (thread * 1000000 + F.col("turn")).alias("turn"),
+        F.col("role").alias("author"), F.col("text"))
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from postlens.functions import dates as D
@@ -78,3 +79,12 @@ def test_clean_policy_and_ymd_timestamp(spark):
     g = lambda s: one(spark, D.ymd_to_timestamp(F.col("s"), as_of=AS_OF), s)
     assert g("20240305").date() == dt.date(2024, 3, 5)
     assert g("bad").date() == AS_OF
+
+
+@pytest.mark.parametrize("text, want", [
+    ("05/06/2025", "2025-05-06"), ("13/05/2025", "2025-05-13"), ("Mar 5, 2024", "2024-03-05"), ("5 March 2024", "2024-03-05"),
+    ("september 30 2023", "2023-09-30"), ("12-Dec-2022", "2022-12-12"), ("Feb 30, 2024", None), ("13/13/2025", None),
+    ("march", None), ("20240229", "2024-02-29"), ("2024년 3월 5일", "2024-03-05"), ("", None), (None, None)])
+def test_clean_dates_general_forms(spark, text, want):
+    got = one(spark, D.parse_date_clean("s"), text)
+    assert (got.isoformat() if got else None) == want

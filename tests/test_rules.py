@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from postlens.functions import predicates as P
@@ -177,3 +178,32 @@ def test_unclosed_items(spark):
 def test_dotted_path(spark):
     f = lambda p: one(spark, S.json_field(F.col("s"), p), '{"a": {"b": {"c": 5}}}')
     assert [f("a.b.c"), f("a.x.c"), f("z")] == ["5", "", ""]
+
+
+def test_first_rows_keeps_whole_rows_and_nulls_apart(spark):
+    from postlens.operators import dedup
+    df = spark.createDataFrame([(1, "a", None, "x"), (2, "a", None, "y"), (3, "a", "", "z"), (4, None, None, "w"), (5, "a", "", "v")],
+                               "ingest_seq long, title string, content string, extra string")
+    got = sorted(tuple(r) for r in dedup.first_rows(df, ["title", "content"]).collect())
+    assert [(g[0], g[3]) for g in got] == [(1, "x"), (3, "z"), (4, "w")]
+    assert dedup.first_rows(df.limit(0), ["title"]).collect() == []
+
+
+def test_report_input_fills_columns_and_rejects_empty(spark):
+    from postlens.operators import stats
+    df = spark.createDataFrame([("naver",)], "platform string")
+    assert stats.report_input(df).first().asDict() == {"platform": "naver", "sentiment": "unknown", "content": "unknown"}
+    with pytest.raises(ValueError):
+        stats.report_input(df.limit(0))
+
+
+def test_votes_of_blank_text_and_single_member(spark):
+    df = spark.createDataFrame([(1, "und und good"), (2, " "), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: [(v["model"], v["label"]) for v in r["votes"]] for r in scoring.with_votes(df, "text", ["kobert"]).collect()}
+    assert got == {1: [("kobert", 2)], 2: [], 3: []}
+
+
+def test_score_or_null(spark):
+    df = spark.createDataFrame([(1, "good best"), (2, " "), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] and r["score"]["label"] for r in scoring.score_or_null(df, "text").collect()}
+    assert got == {1: 2, 2: None, 3: None}
