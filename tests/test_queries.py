@@ -1,6 +1,7 @@
 """Every registered query runs on the smallest tables and equals its SQL on DuckDB."""
 
 import collections
+import decimal
 import math
 
 import pytest
@@ -36,6 +37,8 @@ def test_query_runs(spark, name):
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
+    if isinstance(v, decimal.Decimal):
+        return round(float(v), 6)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v
