@@ -375,6 +375,23 @@ def q_page_items(spark, sf):
     return pages.page_items(spread(TB.pages(spark, sf), "page_id"))
 
 
+def _item_sql(tag, part):
+    """an item of the test pages, whose paragraphs and list items hold no further ones"""
+    text = Q.rx_replace(part, T.TAG_RE, "")
+    href = f"regexp_extract({part}, {Q.q(pages.HREF_RE)}, 1)"
+    for ent, rep in C.HTML_ENTITIES:
+        text, href = (f"replace({e}, {Q.q(ent)}, {Q.q(rep)})" for e in (text, href))
+    return f"{{'tag': '{tag}', 'text': {Q.strip_blank(Q.collapse_blank(text))}, 'href': {href}}}"
+
+
+oracle("page_items", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS item_no, items[i].tag AS tag, items[i].text AS text, items[i].href AS href
+FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS i FROM (
+  SELECT page_id, list_filter(list_concat(
+    list_transform(regexp_extract_all(html, '(?s)<li>.*?</li>'), lambda x: {_item_sql('li', 'x')}),
+    list_transform(string_split(regexp_extract(html, {Q.q(pages.ARTICLE_RE)}, 1), '<p>')[2:],
+                   lambda x: {_item_sql('p', "split_part(x, '</p>', 1)")})), lambda x: x.text <> '') AS items FROM pages))""")
+
+
 # ------------------------------------------------------------------ ML
 
 @register("batch_score")

@@ -22,16 +22,8 @@ def test_entry(spark):
         assert abs(r["pct_negative"] + r["pct_neutral"] + r["pct_positive"] - 100.0) < 1e-3
 
 
-def test_every_query_has_oracle_or_is_known_rows_only():
-    rows_only = set(load_all()) - set(E.oracle_sql())
-    assert rows_only == {"page_items"}
-
-
-@pytest.mark.parametrize("name", sorted(set(load_all()) - set(all_oracles())))
-def test_query_runs(spark, name):
-    df = load_all()[name](spark, SF_SMALL)
-    assert len(df.columns) == len(set(df.columns))
-    df.write.format("noop").mode("overwrite").save()       # evaluates every column
+def test_every_query_has_sql():
+    assert set(load_all()) == set(all_oracles())
 
 
 def _norm(v):
