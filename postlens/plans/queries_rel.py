@@ -754,8 +754,10 @@ def q_clean_posts(spark, sf):
     x = p.select("doc_id", "ingest_seq", F.coalesce("title", F.lit("")).alias("title"),
                  F.coalesce(F.nullif(T.strip_blank("content"), F.lit("")), F.col("title"), F.lit("")).alias("content"),
                  D.in_window(d).alias("d"))
-    x = x.withColumn("published_date", D.ymd("d")).drop("d")
-    return dedup.keep_first(x, ["title", "content", "published_date"]).select("doc_id", "published_date")
+    x = x.withColumn("published_date", D.ymd("d"))
+    # groups travel as digests, not as texts
+    x = x.select("doc_id", "ingest_seq", "published_date", dedup.row_digest(["title", "content", "published_date"]).alias("key"))
+    return dedup.keep_first(x, ["key"]).select("doc_id", "published_date")
 
 
 oracle("clean_posts", POSTS + f"""SELECT arg_min(doc_id, ingest_seq) AS doc_id, published_date FROM (

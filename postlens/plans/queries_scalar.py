@@ -161,6 +161,17 @@ oracle("iso_to_ymd", f"""SELECT event_id, CASE WHEN regexp_matches(CAST(ts AS VA
   THEN replace(left(CAST(ts AS VARCHAR), 10), '-', '') ELSE {Q.ymd(Q.as_of())} END AS ymd FROM events""")
 
 
+@register("compact_timestamp")
+def q_compact_timestamp(spark, sf):
+    """Eight digits to a timestamp, anything else to midnight of the run's day."""
+    p = TB.posts(spark, sf).select("doc_id", D.ymd_to_timestamp("date_text").alias("t"))
+    return p.select("doc_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+oracle("compact_timestamp", POSTS + f"""SELECT doc_id, strftime(CASE WHEN regexp_full_match(date_text, '[0-9]{{8}}')
+  THEN CAST(base_date AS TIMESTAMP) ELSE CAST({Q.as_of()} AS TIMESTAMP) END, '%Y-%m-%d %H:%M:%S') AS at FROM posts""")
+
+
 @register("extract_date")
 def q_extract_date(spark, sf):
     p = TB.posts(spark, sf)
@@ -451,8 +462,8 @@ SCRIPT_CLASS = "[a-zA-Z]"
 def q_script_chars(spark, sf):
     """F8 with the character class as a parameter (the test pages hold no Hangul)."""
     pg = spread(TB.pages(spark, sf), "page_id")
-    n = F.length("html") - F.length(F.regexp_replace("html", SCRIPT_CLASS, ""))
-    return pg.select("page_id", n.alias("n_script_chars"), (n >= 50).alias("ok"))
+    return pg.select("page_id", P.script_char_count("html", SCRIPT_CLASS).alias("n_script_chars"),
+                     P.script_char_ok("html", char_class=SCRIPT_CLASS).alias("ok"))
 
 
 oracle("script_char_filter", f"""SELECT page_id, n AS n_script_chars, n >= 50 AS ok

@@ -22,31 +22,6 @@ POST_FIELDS = T.StructType([
     T.StructField("confidence", T.DoubleType()),
 ])
 
-# canonical posts schema; absent source fields become null
-COMMENT = T.StructType([
-    T.StructField("author", T.StringType()), T.StructField("text", T.StringType()),
-    T.StructField("published_at", T.TimestampType()), T.StructField("like_count", T.LongType()),
-    T.StructField("sentiment", T.IntegerType()), T.StructField("confidence", T.DoubleType())])
-ATTACHMENT = T.StructType([
-    T.StructField("original_name", T.StringType()), T.StructField("local_path", T.StringType()),
-    T.StructField("url", T.StringType())])
-POSTS_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.StringType()), T.StructField("platform", T.StringType()),
-    T.StructField("title", T.StringType()), T.StructField("content", T.StringType()),
-    T.StructField("url", T.StringType()), T.StructField("published_date", T.DateType()),
-    T.StructField("date_obj", T.TimestampType()), T.StructField("keyword", T.StringType()),
-    T.StructField("original_keywords", T.ArrayType(T.StringType())),
-    T.StructField("author", T.StringType()), T.StructField("blog_name", T.StringType()),
-    T.StructField("channel_title", T.StringType()), T.StructField("board", T.StringType()),
-    T.StructField("duration", T.StringType()), T.StructField("view_count", T.LongType()),
-    T.StructField("like_count", T.LongType()), T.StructField("comment_count", T.LongType()),
-    T.StructField("comments", T.ArrayType(COMMENT)), T.StructField("attachments", T.ArrayType(ATTACHMENT)),
-    T.StructField("comment_sentiments", T.MapType(T.StringType(), T.LongType())),
-    T.StructField("sentiment", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
-    T.StructField("crawled_at", T.TimestampType()), T.StructField("lat", T.DoubleType()),
-    T.StructField("lon", T.DoubleType()), T.StructField("ingest_seq", T.LongType()),
-])
-
 ANALYSIS_CSV = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("title", T.StringType()),
     T.StructField("platform", T.StringType()), T.StructField("published_date", T.StringType()),
