@@ -10,9 +10,12 @@ smaller counts over sum of the larger ones; 0.75 or more is a leak.
    windows get a fingerprint.  The filter errs on the side of more windows, never fewer.
 2. A window's and an item's fingerprint is the 64-bit SimHash of their words.  Multi-index: the 64
    bits are cut into RADIUS + 1 blocks, and a window meets an item of its size if one block is
-   equal; by the pigeonhole principle that finds every pair within RADIUS bits.  Pairs farther
-   apart are dropped.  The join is a shuffle of both sides, whatever the benchmark's size.
-3. The pairs left are verified by the exact weighted similarity.
+   equal; by the pigeonhole principle that finds every pair within RADIUS bits.  The join is a
+   shuffle of both sides, whatever the benchmark's size.
+3. Pairs farther apart are found by a shared shingle: of two sorted lists of a and b shingles with
+   at least o in common, the first a - o + 1 and the first b - o + 1 hold a common one.  So no pair
+   that reaches 0.75 depends on its fingerprints.
+4. The pairs of 2 and 3 are verified by the exact weighted similarity.
 
 Defined cases: items without words are skipped; an item of fewer than five words is one shingle of
 its whole sequence, compared with windows of as many words; a document shorter than an item, but
@@ -178,6 +181,16 @@ def blocks(fp: str) -> F.Column:
                      for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
+def firsts(least_cells) -> F.Column:
+    """The distinct shingles of which a pair that reaches the similarity shares one (columns m, shingles).
+
+    ``least_cells`` is the smallest number of shingles that the other side can have.
+    """
+    cells = F.size("shingles")
+    least = F.ceil(SIMILARITY / (1 + SIMILARITY) * (cells + least_cells) - 1e-6).cast("int")
+    return F.array_distinct(F.slice("shingles", F.lit(1), F.greatest(cells - least + 1, F.lit(1))))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, th (text key), item_id, similarity, start (word), n_words, distance for each document
     and item that match; the best window of each."""
@@ -197,7 +210,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = (left.join(right, ["m", "block", "part"])
             .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
             .where(F.col("distance") <= RADIUS)
-            .select("w", "item_id", "item_fp", "distance").distinct())
+            .select("w", "item_id", "item_fp", "distance"))
+    most = F.col("m") - F.least(F.col("m"), F.lit(SHINGLE)) + 1     # shingles of an item; a short document has fewer
+    left = found.select("w", "m", "fp", F.explode(firsts(most)).alias("shingle"))
+    right = items.select("item_id", "m", F.col("fp").alias("item_fp"),
+                         F.explode(firsts(F.ceil(SIMILARITY * F.size("shingles") - 1e-6))).alias("shingle"))
+    far = (left.join(right, ["m", "shingle"])
+           .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+           .where(F.col("distance") > RADIUS)
+           .select("w", "item_id", "item_fp", "distance"))
+    near = near.union(far).distinct()
     pairs = (near.join(found, "w")
              .join(items.select("item_id", F.col("fp").alias("item_fp"), "m", F.col("shingles").alias("item_shingles")),
                    ["item_id", "item_fp", "m"])

@@ -170,6 +170,24 @@ def test_leaks_equal_brute_force(spark, frame):
     assert clean.columns == frame(docs).columns
 
 
+def test_edge_pairs_beyond_the_radius(spark, frame):
+    r = random.Random(9)
+    items = [(k, " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(26 + 7 * (k % 5)))) for k in range(200)]
+    docs = []
+    for k, x in items:
+        w = x.split()
+        cut = (len(w) - 4) // 7                            # the window that is left has similarity of about 0.75
+        part = w[cut:] if k % 2 else w[:-cut]
+        docs.append(" ".join([prose(2 * k, 30), *part, prose(2 * k + 1, 30)]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontam.leaks(frame(docs), bench).collect()
+    want = {}
+    for k, d in enumerate(docs):
+        want.update({(k, i): v for (_, i), v in brute_leaks([(k, d)], [items[k]]).items()})
+    assert {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in rows} == want
+    assert len(want) == len(items) and any(x["distance"] > decontam.RADIUS for x in rows)
+
+
 def test_empty_tables(spark, frame):
     empty = frame([])
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
