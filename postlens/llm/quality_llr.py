@@ -1,20 +1,20 @@
 """Quality rules with a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
-Words and pairs of neighbouring words are hashed into ``BUCKETS`` buckets.  Two multinomials are
-counted: the target over trusted documents (labelled quality 1; at most ``TRUSTED`` of them, those
-with the smallest hash of doc_id, held-out rows left out) and the raw one over all documents, scaled
-to the target's total; both get ``SMOOTH`` added to each bucket, so a bucket that the target could
-hardly have hit weighs nothing.  A document's verdict is the mean, over its words and pairs, of log
-target - log raw: at or above the cut it is kept.  Every third trusted document is left out of the
-target; the cut is the ``CUT`` quantile of the ratios of these, so that nearly all that is like the
-target stays.
+Words and pairs of neighbouring words are counted by their 64-bit hashes, so the table of n-grams
+grows with the corpus.  Two multinomials are counted: the target over trusted documents (all that are
+labelled quality 1, held-out rows left out) and the raw one over all documents, scaled to the target's
+total; both get ``SMOOTH`` added to each n-gram, so one that the target could hardly have hit weighs
+nothing.  A document's verdict is the mean, over its words and pairs, of log target - log raw: at or
+above the cut it is kept.  Every third trusted document is left out of the target; the cut is the
+``CUT`` quantile of the ratios of these, so that nearly all that is like the target stays.
 
 The base rules are exact per-document counts.  Repeated three-word windows are found by their
 64-bit hashes within one document; sorting is needed only where a document has a repeated one.
 
-Both passes over the texts keep a document's n-grams in its task: the first sums into at most
-BUCKETS rows per task before its shuffle, the second looks the bounded weight table up by a
-broadcast of BUCKETS rows and sums per document before its shuffle.
+Counts are summed per task before their shuffle.  N-grams that make at least 1 / ``HOT`` of all, at
+most HOT of them, are looked up by a broadcast and summed per document before a shuffle; the others
+move with their document's 64-bit key to the table.  N-grams counted once aren't looked up: their
+weight follows from whether the document is in the target.
 
 Defined cases: a text without words (null, empty) has zero counts, fails the base rules and isn't
 kept; without trusted documents every ratio is 0 and the base rules decide; rows that repeat count
@@ -31,35 +31,33 @@ from postlens.llm.jobs import held_out, written
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BUCKETS = 1 << 16
-TRUSTED = 5000
+BUCKETS = 1 << 64                  # values of an n-gram's hash
+HOT = 1 << 17
 SMOOTH = 2.0
 CUT = 0.001
 MIN_WORDS = 50
 MAX_REPEAT = 50                    # per cent of words in repeated three-word windows
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
+def trusted_ids(labels: DataFrame) -> DataFrame:
     good = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
             .groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1"))
-    few = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return few.select(F.col("doc_id").alias("_id"), F.when(F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(3)) == 0, 2).otherwise(1).alias("trusted"))
+    return good.select(F.col("doc_id").alias("_id"), F.when(F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(3)) == 0, 2).otherwise(1).alias("trusted"))
 
 
-def _words(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, trusted, text, ws (words): TRUSTED ids are broadcast."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return (d.join(F.broadcast(trusted), F.col("doc_id") == F.col("_id"), "left")
-            .select("doc_id", F.coalesce("trusted", F.lit(0)).alias("trusted"), "text",
-                    F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("ws"))
+def _words(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, ``more``, text, d (key of doc_id and text), ws (words), n."""
+    d = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
+    return (d.withColumn("d", F.xxhash64("doc_id", "text"))
+            .withColumn("ws", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
             .withColumn("n", F.size("ws")))
 
 
-def _buckets() -> F.Column:
-    """Buckets of the words and of the pairs of neighbours (columns ws, n)."""
-    one = F.transform("ws", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+def _grams() -> F.Column:
+    """Hashes of the words and of the pairs of neighbours (columns ws, n)."""
+    one = F.transform("ws", lambda w: F.xxhash64(w))
     two = F.zip_with("ws", F.slice("ws", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))),
-                     lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int")))
+                     lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     return F.concat(one, F.filter(two, lambda x: x.isNotNull()))
 
 
@@ -85,29 +83,47 @@ def base_counts(words: DataFrame) -> DataFrame:
     return out
 
 
-def weights(words: DataFrame) -> DataFrame:
-    """(bucket, weight): log target - log raw, for every bucket that occurs (both have the target's total)."""
-    counted = (words.select("trusted", F.explode(_buckets()).alias("bucket"))
-               .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum((F.col("trusted") == 1).cast("long")).alias("target")))
-    counted = written(counted, "buckets")
-    total = counted.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
-    raw, target = float(total["r"] or 0), float(total["t"] or 0)
-    usual = F.col("raw") * F.lit(target / max(raw, 1.0))
-    return counted.select("bucket", (F.log(F.col("target") + SMOOTH) - F.log(usual + SMOOTH)).alias("weight"))
+def _marked(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``rows`` with ``trusted``: 1 in the target, 2 left out for the cut, else 0."""
+    return (rows.join(trusted, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+            .withColumn("trusted", F.coalesce("trusted", F.lit(0))))
+
+
+def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(gram, raw, target) of every n-gram; the gram is null where raw is 1, as it is never looked up."""
+    words = _words(_marked(docs.select("doc_id", "text"), trusted), "trusted")
+    return (words.select((F.col("trusted") == 1).cast("long").alias("t"), F.explode(_grams()).alias("gram"))
+            .groupBy("gram").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
+            .select(F.when(F.col("raw") > 1, F.col("gram")).alias("gram"), "raw", "target"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     ratio for each row of ``docs``."""
-    words = _words(docs, written(trusted_ids(labels), "trusted"))
-    table = weights(words)
-    own = ["doc_id", "trusted", "n", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = base_counts(words).withColumn("_row", F.monotonically_increasing_id())
-    scored = (rows.select("_row", *own, F.explode_outer(_buckets()).alias("bucket"))
-              .join(F.broadcast(table), "bucket", "left")
-              .groupBy("_row", *own).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("ratio"))
+    trusted = written(trusted_ids(labels), "trusted")
+    table = written(counts(docs, trusted), "grams")
+    total = table.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
+    raw, target = float(total["r"] or 0), float(total["t"] or 0)
+    scale = target / max(raw, 1.0)
+
+    def weight(hits, seen):
+        return F.log(hits + SMOOTH) - F.log(seen * F.lit(scale) + SMOOTH)
+
+    known = table.where("gram is not null").select("gram", "raw", weight(F.col("target"), F.col("raw")).alias("weight"))
+    hot = F.col("raw") >= raw / HOT
+    words = _words(docs)
+    grams = words.select("d", F.explode(_grams()).alias("gram"))
+    often = F.broadcast(known.where(hot).select("gram", "weight"))
+    parts = (grams.join(often, "gram").select("d", "weight")
+             .union(grams.join(often, "gram", "left_anti").join(known.where(~hot), "gram", "left").select("d", "weight")))
+    sums = parts.groupBy("d").agg(F.sum("weight").alias("sum"), F.count("*").alias("all"),
+                                  F.sum(F.col("weight").isNull().cast("long")).alias("single"))
+    once = weight(F.when(F.col("trusted") == 1, 1.0).otherwise(0.0), F.lit(1.0))
+    own = ["doc_id", "n", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    scored = (_marked(base_counts(words).select("d", *own).join(sums, "d", "left"), trusted)
+              .withColumn("ratio", F.coalesce((F.coalesce("sum", F.lit(0.0)) + F.col("single") * once) / F.col("all"), F.lit(0.0)))
               .withColumn("base_failed", (F.col("n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n"))))
-    scored = written(scored, "scored")
+    scored = written(scored.select(*own, "trusted", "ratio", "base_failed"), "scored")
     cut = scored.where("trusted = 2 and not base_failed").agg(F.percentile("ratio", CUT).alias("cut")).first()["cut"]
     verdict = F.lit(True) if cut is None else F.col("ratio") >= F.lit(cut) - 1e-12
     return scored.select("doc_id", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",

@@ -193,6 +193,18 @@ def test_base_counts(frame, labels, text):
     assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base(text)
 
 
+def test_ngrams_are_counted_one_by_one(spark, frame, labels):
+    n = 6000                                               # more trusted rows and more n-grams than fixed bounds held
+    lab = labels([(k, 1, 0) for k in range(n)])
+    ids = {r["_id"]: r["trusted"] for r in quality_llr.trusted_ids(lab).collect()}
+    assert len(ids) > 4400 and set(ids.values()) == {1, 2}
+    assert quality_llr.trusted_ids(labels([(k, 1, 0) for k in range(8 * n)])).count() > 35000
+    docs = frame([" ".join(f"v{k}x{j}" for j in range(12)) + " same" for k in range(n)], clash=False)
+    rows = quality_llr.counts(docs, quality_llr.trusted_ids(lab)).collect()
+    assert len(rows) == n * 24 + 1                         # 12 words and 12 pairs of their own, one word of all
+    assert [(r["raw"], r["target"]) for r in rows if r["gram"] is not None] == [(n, sum(t == 1 for t in ids.values()))]
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 def luhn(s):
