@@ -12,7 +12,10 @@ menu, header, footer, sidebar, notice, advert, form or comment section.  In trai
 the pages has the telling tags of its paths replaced by div, so that the words, the measures and the
 context must carry the label too.
 
-Scripts, styles, comments, the head and other content that is no text never become blocks.
+Scripts, styles, comments, titles and other content that is no text never become blocks.  The head
+ends where the first body element or text starts, whether or not its tags are there.  Only script and
+style reach to the end of the page when their end tag is missing; of other such elements nothing is
+skipped, but for the words that follow a title up to the next tag.
 Inference sorts a batch's pages by length and pads only among neighbours.
 
 Defined cases: a null or empty html, and a page without main text, give an empty text with 0
@@ -46,16 +49,21 @@ BATCH = 20
 # fixed values: names in HTML
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = ("script", "style", "head", "title", "noscript", "template", "svg", "iframe", "object", "textarea", "select")
+RAW = ("script", "style")
+SKIP = ("title", "noscript", "template", "svg", "iframe", "object", "textarea", "select")
 CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article footer header nav aside form pre blockquote main".split()),
              "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 MAIN = re.compile(r"^(article|main)\b")
-ASIDE = re.compile(r"^(nav|header|footer|aside|form|menu|button|dialog|fieldset)\b|[.#][\w-]*(ad|ads|advert\w*|banner|cookie|consent|notice|promo|sidebar|menu|nav|footer|header|comments?|share|social|related|breadcrumbs?)(?![a-z])", re.I)
+ASIDE = re.compile(r"^(?i:nav|header|footer|aside|form|menu|button|dialog|fieldset)\b|[.#](?:[\w-]*(?:[-_]|(?<=[a-z0-9])(?=[A-Z])))?"
+                   r"(?i:(?:ad|ads|advert\w*|banner|cookie|consent|notice|promo|sidebar|menu|nav|footer|header|comments?|share|social|related|breadcrumbs?)(?![a-z]))")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
+_SKIP_TAG = {x: re.compile(rf"<(/?){x}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I) for x in SKIP}
+
 
 @dataclass
 class Block:
@@ -64,6 +72,18 @@ class Block:
     linked: int                    # characters inside links
 
 
+def ends(page: str, name: str) -> dict[int, int]:
+    """Where each element ``name`` that has an end tag starts, and where that end tag does."""
+    out, open_ = {}, []
+    for m in _SKIP_TAG[name].finditer(page):
+        if m.group(1):
+            if open_:
+                out[open_.pop()] = m.start()
+        elif not m.group(2).rstrip().endswith("/"):
+            open_.append(m.start())
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks with text of a page, in order."""
     out: list[Block] = []
@@ -79,10 +99,10 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(tuple(x for t, x in stack if t not in INLINE), text, linked))
         parts, linked = [], 0
 
-    skip_to, lower = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < skip_to:
-            continue
+    at, closed = 0, {}
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         name = m.group(2)
         if name is None:
             if m.group().startswith("<") and m.group() != "<":
@@ -104,11 +124,22 @@ def blocks(page: str) -> list[Block]:
                 if name in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        if name in RAW:
+            flush()
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
+            continue
         if name in SKIP:
             flush()
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{name}", m.end())
-            skip_to = len(page) if end < 0 else end
+            if name not in closed:
+                closed[name] = ends(page, name)
+            end = closed[name].get(m.start(), -1)
+            if end < 0 and name == "title":
+                end = page.find("<", at)
+            at = max(at, end)
+            continue
+        if name == "head":
+            flush()
             continue
         if name in VOID:
             if name in ("br", "hr", "wbr"):

@@ -277,6 +277,21 @@ def test_pages(spark):
     assert html_lstm.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<head><title>T</title>", "<head><title>T", "<title>T<body>", "<head><meta charset=x><header><p>top</p></header>",
+                                   "<body><select><option>", "<body><noscript>", "<body><object data=x>", "<body><svg><path d=x>", "<body><iframe src=x>",
+                                   "<body><svg/>", "<body><noscript><p>top</p><svg><g></svg>", "<body><svg><svg></svg><text>T</text></svg>",
+                                   "<head><script>if (a<b && c=='\"') x();</script></head>", "<head><style>T</styles></style >", "\u0130\u0130<title>T</title>"])
+def test_missing_end_tags(start):
+    got = [b.text for b in html_lstm.blocks(f"<html>{start}<article><h1>One</h1><p>two 'x</article><noscript>no</noscript><p>end")]
+    assert got[-3:] == ["One", "two 'x", "end"] and "T" not in got and "no" not in got
+
+
+@pytest.mark.parametrize("part, aside", [("p.lead", False), ("div.thread", False), ("div#download", False), ("div.ad", True), ("div.top-ad", True),
+                                         ("ul#siteNav", True), ("div.page_footer", True), ("div.Ads", True), ("div.adBanner", True), ("div.x.ads", True)])
+def test_names_of_asides(part, aside):
+    assert html_lstm.label(html_lstm.Block(("html", "article", part), "x", 0)) == (not aside)
+
+
 def test_gradient():
     import numpy as np
     r = np.random.RandomState(0)
