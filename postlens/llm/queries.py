@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postlens.llm import (decontam, html_lstm, mixing, ngram_join, pii_feistel, quality_bt, quality_llr,
-                          substring_dedup, token_counts, toxicity_crf)
+from postlens.llm import (decontam, html_lstm, mixing, ngram_join, periodic_runs, pii_feistel, quality_bt, quality_llr,
+                          substring_dedup, token_counts, toxicity_crf, whitening)
 from postlens.llm.jobs import table
 
 
@@ -51,9 +51,18 @@ def op10_edit_aware_token_counts(spark, sf_dir):
     return token_counts.edited_counts(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_blockmatrix_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_report(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_decontamination, op2_substring_dedup, op3_source_mixing, op4_bradley_terry_quality, op5_feistel_pseudonyms,
-    op6_lstm_html_extraction, op7_ngram_jaccard_join, op8_ngram_likelihood_quality, op9_toxicity_crf, op10_edit_aware_token_counts)}
+    op6_lstm_html_extraction, op7_ngram_jaccard_join, op8_ngram_likelihood_quality, op9_toxicity_crf, op10_edit_aware_token_counts,
+    op11_blockmatrix_whitening, op13_periodic_runs)}
 
 ORACLE = {"op2_substring_dedup": substring_dedup.ORACLE,
           "op3_source_mixing": mixing.ORACLE,
