@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from postlens.llm import (decontam, html_lstm, mixing, ngram_join, periodic_runs, pii_feistel, quality_bt, quality_llr,
-                          substring_dedup, token_counts, toxicity_crf, whitening)
+                          substring_dedup, suffix_dedup, token_counts, toxicity_crf, whitening)
 from postlens.llm.jobs import table
 
 
@@ -55,6 +55,10 @@ def op11_blockmatrix_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.digest(_documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.run_report(_documents(spark, sf_dir))
 
@@ -62,7 +66,7 @@ def op13_periodic_runs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_simhash_decontamination, op2_substring_dedup, op3_source_mixing, op4_bradley_terry_quality, op5_feistel_pseudonyms,
     op6_lstm_html_extraction, op7_ngram_jaccard_join, op8_ngram_likelihood_quality, op9_toxicity_crf, op10_edit_aware_token_counts,
-    op11_blockmatrix_whitening, op13_periodic_runs)}
+    op11_blockmatrix_whitening, op12_suffix_array_dedup, op13_periodic_runs)}
 
 ORACLE = {"op2_substring_dedup": substring_dedup.ORACLE,
           "op3_source_mixing": mixing.ORACLE,
