@@ -22,6 +22,7 @@ an error; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -78,6 +79,10 @@ def multiply(a: BlockMatrix, b: BlockMatrix, splits: int) -> BlockMatrix:
     return BlockMatrix(java, a.rowsPerBlock, b.colsPerBlock)
 
 
+def release(a: BlockMatrix) -> None:
+    a._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
 def gram(a: BlockMatrix) -> np.ndarray:
     """Transpose of a times a: as many rows as a has columns."""
     splits = max(1, min(-(-a.numRows() // a.rowsPerBlock), SPLITS))
@@ -129,7 +134,7 @@ def whiten(embeddings: DataFrame, most: int = COMPONENTS) -> DataFrame:
         whole = F.zip_with("x", total_of, lambda x, s: x.cast(kind) * F.lit(n).cast(kind) - s)
         return (df.withColumn("whole", whole).withColumn("centred", F.transform("whole", lambda v: v.cast("double") / F.lit(float(n)))))
 
-    fitted = block_matrix(centred(distinct).select("row", "centred"), n, d)
+    fitted = block_matrix(centred(distinct).select("row", "centred"), n, d).persist(StorageLevel.MEMORY_AND_DISK)
     e, share, w = fit(gram(fitted), n, most)
     components, used = len(e), w.shape[1]
     error = None
@@ -137,12 +142,14 @@ def whiten(embeddings: DataFrame, most: int = COMPONENTS) -> DataFrame:
         weights = local_blocks(spark, w, fitted.colsPerBlock)
         check = gram(multiply(fitted, weights, 1)) / n
         error = float(np.abs(check - np.eye(used)).max())
-        every = block_matrix(centred(rows).select("row", "centred"), total, d)
+        every = block_matrix(centred(rows).select("row", "centred"), total, d).persist(StorageLevel.MEMORY_AND_DISK)
         projected = multiply(every, weights, 1).toIndexedRowMatrix()
         frame = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
         y = written(frame.select(F.col("index").alias("row"), vector_to_array("vector").alias("y")), "whitened")
+        release(every)
     else:
         y = rows.select("row", F.array().cast("array<double>").alias("y"))
+    release(fitted)
     square = F.aggregate("whole", F.lit(0).cast(kind), lambda a, v: (a + v * v).cast(kind)).cast("long")
     out = centred(rows).select("row", "vec_id", square.alias("deviation")).join(y, "row")
     facts = F.array(*[F.struct(F.lit(k + 1).alias("component"), F.lit(float(share[k])).alias("explained"),
