@@ -42,7 +42,7 @@ from postlens.llm.wordhash import U, as_long, mix, range_hash, raw_pieces, slidi
 WINDOW = 400
 STEP, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
 REACH = 6 * STEP                   # ranked bytes; REACH + STEP - 1 is within the window
-SHARE = 4 << 20
+SHARE = 2 << 20
 RANGE = 1 << 19
 CELLS = 8192
 
