@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlens import config as C
+from postlens.functions import dategrammar as G
 from postlens.functions.text import BLANK, strip_blank
 
 # strptime field patterns (fixed values)
@@ -114,9 +115,15 @@ def parse_date_today(c, as_of=C.AS_OF) -> Column:
                                   ymd(_lit_date(as_of)))))
 
 
+def _news_date(s: Column) -> Column:
+    """Dates as mail and news write them; only texts that begin like one are read."""
+    return F.when(s.rlike("^([A-Za-z]{3,9}, ?)?[0-9]{1,2} [A-Za-z]{3}"), ymd(G.rfc822(s)))
+
+
 def parse_date_relative(c, as_of=C.AS_OF) -> Column:
-    """D3: 8 digits kept; 7+ digits read as DDYYYYM; formats; 'N days ago' (text holding 전 or 일,
-    all digits joined) -> as_of - N; else as_of.  Returns 'yyyyMMdd' text."""
+    """D3: 8 digits kept; 7+ digits read as DDYYYYM; formats, and RFC-822 as news answers write it (X13);
+    'N days ago' (text holding 전 or 일, all digits joined) -> as_of - N; else as_of.  Returns
+    'yyyyMMdd' text."""
     s = _c(c)
     today = ymd(_lit_date(as_of))
     dd = F.substring(s, 1, 2).try_cast("int")
@@ -133,7 +140,7 @@ def parse_date_relative(c, as_of=C.AS_OF) -> Column:
                       ymd(F.date_sub(_lit_date(as_of), n)))
     return (F.when(s.isNull() | (s == ""), today)
             .when(s.rlike("^[0-9]{8}$"), s)
-            .otherwise(F.coalesce(ddyyyym, ymd(first_format(s, FORMATS_RELATIVE_POLICY)),
+            .otherwise(F.coalesce(ddyyyym, ymd(first_format(s, FORMATS_RELATIVE_POLICY)), _news_date(s),
                                   relative, today)))
 
 
@@ -173,8 +180,8 @@ MDY_RE = "^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})(?![0-9])"
 def parse_date_clean(c) -> Column:
     """8 digits as yyyyMMdd; Korean marks and separators normalised; month/day/year with '/', '-'
     or '.' (day first where the first number can't be a month); English month names before or after
-    the day (``Mar 5, 2024``, ``5 March 2024``); timestamp forms that Spark casts; else null.
-    Returns DATE."""
+    the day (``Mar 5, 2024``, ``5 March 2024``); timestamp forms that Spark casts; any other layout of
+    the date grammars (RFC-822, ISO weeks); else null.  Returns DATE."""
     s = strip_blank(_c(c))
     k = F.regexp_replace(F.regexp_replace(s, "[년월]\\s*", "-"), "일.*$", "")
     k = F.regexp_replace(k, "[./]", "-")
@@ -192,6 +199,7 @@ def parse_date_clean(c) -> Column:
         F.when(k.rlike(MDY_RE), F.coalesce(made(y, a, b), made(y, b, a))),
         F.when(month != "", F.coalesce(made(before[0], mm, before[1]), made(after[0], mm, after[1]))),
         F.to_date(F.try_to_timestamp(k)),
+        F.when(s.rlike("[0-9]"), G.date(s)),
     )
 
 

@@ -217,10 +217,8 @@ oracle("age_filter", POSTS + f"SELECT doc_id FROM posts WHERE ({Q.as_of()} - bas
 
 # ------------------------------------------------------------------ shaping
 
-@register("normalize_posts")
-def q_normalize_posts(spark, sf):
-    """Platform field mapping with canonical fallback, youtube URL rule, D1 dates."""
-    r = TB.raw_posts(spark, sf)
+def normalize(r):
+    """Platform field mapping with canonical fallback, youtube URL rule, D1 dates."""
     plat = F.col("platform")
     title = F.coalesce(F.when(plat == "dcinside", F.col("subject")), F.col("title"))
     content = F.coalesce(F.when(plat == "dcinside", F.col("memo")), F.col("content"))
@@ -233,6 +231,12 @@ def q_normalize_posts(spark, sf):
                     D.ymd(D.parse_date_null(F.col("date_raw"), F.col("platform"))).alias("published_date"))
 
 
+@register("normalize_posts")
+def q_normalize_posts(spark, sf):
+    """P1 over raw records that name their platform."""
+    return normalize(TB.raw_posts(spark, sf))
+
+
 oracle("normalize_posts", POSTS + f"""SELECT doc_id, platform, title, content,
   CASE WHEN platform = 'youtube' AND NOT regexp_matches(url, '^https?://') THEN 'https://www.youtube.com/watch?v=' || url ELSE url END AS url,
   {Q.ymd(Q.parse_date_null('date_text', 'platform'))} AS published_date FROM posts""")

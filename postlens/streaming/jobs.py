@@ -24,11 +24,11 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
-                      foreach_batch=None) -> str:
-    """Run a streaming frame to completion with ``availableNow``; returns the sink path."""
+                      foreach_batch=None, at: tuple[str, str] | None = None) -> str:
+    """Run a streaming frame to completion with ``availableNow``; returns the sink path.  ``at`` names
+    sink and checkpoint, to go on where an earlier run stopped."""
     spark = df.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    out, ckpt = at or (scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt"))
     w = df.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode).trigger(availableNow=True)
     if foreach_batch is not None:
         q = w.foreachBatch(lambda b, bid: foreach_batch(b, bid, out)).start()
