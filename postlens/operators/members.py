@@ -39,9 +39,9 @@ from postlens.session import scratch_path
 
 MEMBERS = ["words-logistic", "words-bayes", "shape-logistic"]
 FOLDS, HELD_OUT = 4, 2
-FEATURES = 1 << 16
+FEATURES = 1 << 15
 STEPS = 1000
-ITERATIONS = 30
+ITERATIONS = 15
 L2 = 0.001
 
 

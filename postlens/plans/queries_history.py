@@ -118,3 +118,14 @@ def q_quality_history(spark, sf):
     H.write_months(rows, path)
     schema = spark.read.parquet(path).schema
     return H.merge_span(spark, path, schema, *SPAN, by=["platform", F.year("day").alias("year")])
+
+
+# groups of some hundred values are kept exactly by both sketches; larger ones differ within the bounds in
+# operators/history.py
+oracle("quality_history", POSTS + f"""SELECT platform, CAST(year(base_date) AS INTEGER) AS year, count(*) AS n,
+  count(*) FILTER (WHERE content IS NULL OR trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '') AS n_blank,
+  round(count(*) FILTER (WHERE regexp_matches(url, '^https?://[^/]+')) * 100.0 / count(*), 6) AS url_valid_pct,
+  min(base_date) AS first_day, max(base_date) AS last_day, count(DISTINCT coalesce(url, '')) AS n_urls,
+  quantile_disc(coalesce(length(content), 0), 0.5) AS size_median, quantile_disc(coalesce(length(content), 0), 0.9) AS size_p90,
+  round(quantile_disc(coalesce(confidence, 0.0), 0.5), 6) AS confidence_median, round(quantile_disc(coalesce(confidence, 0.0), 0.9), 6) AS confidence_p90
+FROM posts WHERE base_date BETWEEN DATE '{SPAN[0]}' AND DATE '{SPAN[1]}' GROUP BY ALL""")

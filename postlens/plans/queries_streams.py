@@ -61,15 +61,15 @@ def joined_streams(streams, delay: str = "4000 days", within: str = "1 day"):
     return a.join(c, near, "left_outer").select("video", "title", "views", "turn", "author")
 
 
-CLOSING = 4
+CLOSING = 3
 
 
 def join_as_they_land(spark, sides, order, path: str, max_files: int | None = None):
     """Each side's rows land in ``order``, the stream running after each; then the closing rows."""
-    streams = {n: ST.file_stream(spark, f"{path}/{n}", rows.schema, max_files) for n, (rows, _, _) in sides.items()}
-    at = (f"{path}/out", f"{path}/checkpoint")
     for name, (rows, _, _) in sides.items():
         rows.where("false").write.parquet(f"{path}/{name}")
+    streams = {n: ST.file_stream(spark, f"{path}/{n}", rows.schema, max_files) for n, (rows, _, _) in sides.items()}
+    at = (f"{path}/out", f"{path}/checkpoint")
     for name in order:
         sides[name][0].write.mode("append").parquet(f"{path}/{name}")
         ST.run_available_now(joined_streams(streams), "videos", at=at)
@@ -77,7 +77,7 @@ def join_as_they_land(spark, sides, order, path: str, max_files: int | None = No
         for name, (rows, key, ts) in sides.items():
             SJ.closing_rows(rows, key, ts, f"{10000 + 5000 * step} days").write.mode("append").parquet(f"{path}/{name}")
         ST.run_available_now(joined_streams(streams), "videos", at=at)
-    return spark.read.schema("video long, title string, views long, turn long, author string").parquet(at[0])
+    return spark.read.schema("video long, title string, views long, turn long, author string").parquet(at[0]).where(F.col("video") != SJ.CLOSING_KEY)
 
 
 @register("stream_video_comments")

@@ -4,7 +4,7 @@ Each side has an event time and a watermark; a row waits in state until its part
 watermark says that it won't any more, and an unmatched hit then goes out with nulls (left outer).  The
 joins are bounded in time (``within``), so state is freed.  Nothing goes out for rows that the
 watermark has not passed yet: to close, every side lands a row (``closing_rows``) far later than all others,
-whose key matches nothing, and the stream is run once more for each join in the chain and once at the end,
+whose key is no other's, and the stream is run once more for each join in the chain and once at the end,
 as the outer rows of one join only then reach the next.
 """
 
@@ -24,7 +24,9 @@ def closing_rows(rows: DataFrame, key: str, ts: str, later: str) -> DataFrame:
 
 
 def outer_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, right_key: str, delay: str, within: str) -> DataFrame:
-    """Left rows with their partners within ``within`` to either side, or nulls when none came."""
+    """Left rows with their partners within ``within`` to either side, or nulls when none came.  Closing
+    rows are to be left out by the reader: a filter here would be pushed below the watermark, which would
+    then not see them."""
     a, b = left.withWatermark(left_ts, delay), right.withWatermark(right_ts, delay)
     near = F.expr(f"{right_key} = {key} AND {right_ts} >= {left_ts} - interval {within} AND {right_ts} <= {left_ts} + interval {within}")
-    return a.join(b, near, "left_outer").where(F.col(key) != CLOSING_KEY)
+    return a.join(b, near, "left_outer")
