@@ -30,10 +30,10 @@ SINCE, UNTIL = "2021-01-01 00:00:00", "2023-12-31 23:59:59"
 @register("landed_arrays")
 def q_landed_arrays(spark, sf):
     """Collected posts land as array files, one or more a platform; all are read, filtered by
-    platform, keyword and time, and unified."""
+    platform, keyword and time, and unified.  They are not scored yet, so their sentiment is null."""
     p = TB.posts(spark, sf)
     stamp = F.date_format("crawled_at", "yyyy-MM-dd HH:mm:ss")
-    out = p.select("doc_id", "title", "content", stamp.alias("crawled_at"), "sentiment", "platform", "keyword",
+    out = p.select("doc_id", "title", "content", stamp.alias("crawled_at"), F.lit(None).cast("int").alias("sentiment"), "platform", "keyword",
                    F.concat("platform", F.lit("_posts_20240601_000000")).alias("_name"))
     path = scratch_path(spark, "landed")
     A.write_arrays(out, path, "_name")
@@ -44,7 +44,7 @@ def q_landed_arrays(spark, sf):
                        F.col("file_platform"), F.col(A.CORRUPT).isNotNull().alias("corrupt"))
 
 
-oracle("landed_arrays", POSTS + f"""SELECT doc_id, title, content, strftime(crawled_at, '%Y-%m-%d %H:%M:%S') AS date, sentiment, platform, keyword,
+oracle("landed_arrays", POSTS + f"""SELECT doc_id, title, content, strftime(crawled_at, '%Y-%m-%d %H:%M:%S') AS date, CAST(NULL AS INTEGER) AS sentiment, platform, keyword,
   CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon, split_part(platform, '_', 1) AS file_platform, false AS corrupt
 FROM posts WHERE platform <> 'google' AND contains(coalesce(keyword, ''), 'e')
   AND strftime(crawled_at, '%Y-%m-%d %H:%M:%S') BETWEEN '{SINCE}' AND '{UNTIL}'""")

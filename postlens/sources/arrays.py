@@ -352,11 +352,12 @@ def read_arrays(spark: SparkSession, path: str, schema: T.StructType | str, rang
         F.substring_index(name, "_", 1).alias("file_platform"))
 
 
-def write_arrays(df: DataFrame, path: str, name: str, mode: str = "append") -> None:
+def write_arrays(df: DataFrame, path: str, name: str, mode: str = "append", gather: bool = False) -> None:
     """Array files below ``path``: the rows of a value of column ``name`` go to files named after it,
-    one for each task that holds some (a name with much data is dealt to several tasks)."""
+    one for each task that holds some.  ``gather`` first moves the rows of a name together (one with
+    much data is still dealt to several tasks): fewer, longer files for a shuffle of all texts."""
     _register(df.sparkSession)
     fields = [c for c in df.columns if c != name]
     rows = df.select(F.col(name).alias("name"), F.to_json(F.struct(*fields)).alias("element"))
-    (rows.hint("rebalance", F.col("name")).sortWithinPartitions("name")
-     .write.format(FORMAT).mode(mode).option("path", path).save())
+    rows = rows.hint("rebalance", F.col("name")) if gather else rows
+    (rows.sortWithinPartitions("name").write.format(FORMAT).mode(mode).option("path", path).save())

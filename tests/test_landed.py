@@ -93,7 +93,7 @@ def test_sink_writes_arrays(spark, tmp_path):
     df = spark.createDataFrame([json.dumps(r) for r in x], "string").select(F.from_json("value", SCHEMA).alias("r")).select("r.*")
     named = df.withColumn("name", F.concat(F.lit("site"), (F.col("doc_id") % 3).cast("string"), F.lit("_all")))
     path = str(tmp_path / "out")
-    A.write_arrays(named, path, "name")
+    A.write_arrays(named, path, "name", gather=True)
     names = os.listdir(path)
     assert {n.split("_")[0] for n in names} == {"site0", "site1", "site2"} and all(n.endswith(".json") for n in names)
     assert sum(len(json.load(open(f"{path}/{n}", encoding="utf-8"))) for n in names) == 500
