@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlens.functions.text import let
+
 # kinds: n 1-2 digits, D 3, Y 4, S 6, E 8, # other numbers; A weekday, B month, T, W, Z zone, P half of the day;
 # a blank is a space, a sign stands for itself, any other word is ?
 TOKEN_RE = "[0-9]+|\\p{L}+|\\s+|[^0-9\\p{L}\\s]"
@@ -48,11 +50,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _table(rows: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in rows.items() for x in kv])
 

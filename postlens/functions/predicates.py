@@ -46,10 +46,12 @@ def keyword_match_strict(text, spec=C.KEYWORD_SPEC) -> Column:
     region, ands, ors = split_keywords(spec)
     if not region:
         return F.lit(False)
-    cond = T.contains_ci(t, region) & _all(T.contains_ci(t, k) for k in ands)
-    if ors:
-        cond = cond & _any(T.contains_ci(t, k) for k in ors)
-    return F.coalesce(F.when(t.isNotNull() & (t != ""), cond), F.lit(False))
+
+    def cond(low: Column) -> Column:
+        met = T.holds(low, region) & _all(T.holds(low, k) for k in ands)
+        return met & _any(T.holds(low, k) for k in ors) if ors else met
+
+    return F.coalesce(F.when(t.isNotNull() & (t != ""), T.let(F.lower(t), cond)), F.lit(False))
 
 
 def keyword_match_loose(text, spec=C.KEYWORD_SPEC) -> Column:
@@ -58,25 +60,28 @@ def keyword_match_loose(text, spec=C.KEYWORD_SPEC) -> Column:
     t = _c(text)
     ands = [k for k, cond in spec if cond == "AND" and k]
     ors = [k for k, cond in spec if cond == "OR" and k]
-    cond = F.lit(True)
-    if ands:
-        cond = _any(T.contains_ci(t, k) for k in ands)
-        if ors:
-            cond = cond & _any(T.contains_ci(t, k) for k in ors)
     if not spec:
         return F.lit(False)
-    return F.coalesce(F.when(t.isNotNull() & (t != ""), cond), F.lit(False))
+
+    def cond(low: Column) -> Column:
+        if not ands:
+            return F.lit(True)
+        met = _any(T.holds(low, k) for k in ands)
+        return met & _any(T.holds(low, k) for k in ors) if ors else met
+
+    return F.coalesce(F.when(t.isNotNull() & (t != ""), T.let(F.lower(t), cond)), F.lit(False))
 
 
 def contains_all(text, words) -> Column:
-    """every word is a case-insensitive substring (unrolled, so ``lower(text)`` is a common
-    subexpression computed once)."""
-    return _all(T.contains_ci(_c(text), w) for w in words)
+    """every word is a case-insensitive substring; the text is lower-cased once."""
+    words = list(words)
+    return T.let(F.lower(_c(text)), lambda low: _all(T.holds(low, w) for w in words))
 
 
 def contains_any(text, words) -> Column:
     """some word is a case-insensitive substring."""
-    return _any(T.contains_ci(_c(text), w) for w in words)
+    words = list(words)
+    return T.let(F.lower(_c(text)), lambda low: _any(T.holds(low, w) for w in words))
 
 
 def postprocess_keep(title, content, required=C.REQUIRED_KEYWORDS,
@@ -84,10 +89,12 @@ def postprocess_keep(title, content, required=C.REQUIRED_KEYWORDS,
     """keep if some required keyword occurs and no excluded keyword occurs in
     ``title + ' ' + content`` (case-insensitive)."""
     full = F.concat_ws(" ", F.coalesce(_c(title), F.lit("")), F.coalesce(_c(content), F.lit("")))
-    keep = contains_any(full, required) if required else F.lit(True)
-    if excluded:
-        keep = keep & ~contains_any(full, excluded)
-    return keep
+
+    def keep(low: Column) -> Column:
+        met = _any(T.holds(low, w) for w in required) if required else F.lit(True)
+        return met & ~_any(T.holds(low, w) for w in excluded) if excluded else met
+
+    return T.let(F.lower(full), keep)
 
 
 def sentiment_eligibility(c) -> Column:
@@ -101,9 +108,9 @@ def sentiment_eligibility(c) -> Column:
     return F.struct((reason == "ok").alias("valid"), reason.alias("reason"))
 
 
-def content_valid(c) -> Column:
-    """cleaned text has >= 30 characters, >= 3 words and no excluded keyword."""
-    p = T.preprocess(_c(c))
+def content_valid(p) -> Column:
+    """a cleaned text has >= 30 characters, >= 3 words and no excluded keyword, all of it judged."""
+    p = _c(p)
     return F.coalesce((F.length(p) >= C.MIN_TEXT_LENGTH) & (T.word_count(p) >= C.MIN_CONTENT_WORDS)
                       & ~contains_any(p, C.EXCLUDE_KEYWORDS), F.lit(False))
 

@@ -22,11 +22,11 @@ VIDEO_ID_PATTERNS = [
 
 
 def video_id(url) -> Column:
-    """Id from the first matching URL shape, else ``video_`` + 8 hex of a stable hash."""
+    """Id from the first matching URL shape, else ``video_`` + the address's crc32 in 8 hex digits."""
     u = _c(url)
     found = [F.nullif(F.regexp_extract(u, p, 1), F.lit("")) for p in VIDEO_ID_PATTERNS]
     return F.when(u.isNull() | (u == ""), F.lit("")).otherwise(
-        F.coalesce(*found, F.concat(F.lit("video_"), F.substring(F.sha2(u, 256), 1, 8))))
+        F.coalesce(*found, F.concat(F.lit("video_"), F.lower(F.lpad(F.hex(F.crc32(u)), 8, "0")))))
 
 
 def doc_key(*parts) -> Column:

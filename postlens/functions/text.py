@@ -171,9 +171,15 @@ def fixed_pieces(c, size: int = C.FIXED_CHUNK_SIZE) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
-def contains_ci(text: Column, word: str) -> Column:
-    """case-insensitive substring test against a literal"""
-    return F.contains(F.lower(text), F.lit(word.lower()))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row.  Branches of AND, OR and CASE are short-circuit,
+    so an expression repeated in them is not shared by the optimizer."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def holds(low: Column, word: str) -> Column:
+    """substring test of a lower-cased text against a literal"""
+    return F.contains(low, F.lit(word.lower()))
 
 
 def tokens(c) -> Column:

@@ -51,13 +51,51 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 RAW_TAGS = frozenset(["script", "style"])
 
 
-class _TextParser(HTMLParser):
+class _Page(HTMLParser):
+    """A parser whose work grows with the page, however broken its markup is.
+
+    ``open`` holds the open elements and ``at`` the places of each tag in it, so no look for an open
+    element walks through others.  Behind the last ``>`` no tag can end: there ``<`` is text, which
+    the standard parser would find out again from every such place.  A comment that never ends, and a
+    declaration that the standard parser refuses, hide the rest of the page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append(tag)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element with one of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def cut(self, depth: int) -> None:
+        """Close the elements from place ``depth`` on."""
+        while len(self.open) > depth:
+            self.at[self.open.pop()].pop()
+
+    def read(self, html: str | None):
+        html = html or ""
+        hidden = html.find("<!--", html.rfind("-->") + 1)
+        html = html[:hidden] if hidden >= 0 else html
+        end = html.rfind(">") + 1
+        try:
+            self.feed(html[:end] + html[end:].replace("<", "&lt;"))
+            self.close()
+        except AssertionError:
+            pass
+        return self
+
+
+class _TextParser(_Page):
     """Collects items: <li> anywhere, paragraphs inside <article>.  An item ends with its own end tag,
     with the next item, or with the element around it."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
+        super().__init__()
         self.items: list[tuple[str, str, str]] = []
         self._cur: list[str] | None = None
         self._cur_tag, self._href, self._depth = "", "", 0
@@ -72,42 +110,33 @@ class _TextParser(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in VOID_TAGS:
             return
-        if tag == "li" or (tag == "p" and "article" in self.stack):
+        if tag == "li" or (tag == "p" and self.at.get("article")):
             if tag == "p" and self._cur_tag == "li" and self._cur is not None:
                 pass                                  # a paragraph inside a list item belongs to it
             else:
                 self._flush()
-                self._cur, self._cur_tag, self._href, self._depth = [], tag, "", len(self.stack)
-        self.stack.append(tag)
+                self._cur, self._cur_tag, self._href, self._depth = [], tag, "", len(self.open)
+        self.push(tag)
         if tag == "a" and self._cur is not None:
             self._href = dict(attrs).get("href") or self._href
 
     def handle_endtag(self, tag):
-        if tag in self.stack:
-            while self.stack and self.stack.pop() != tag:
-                pass
-            if self._cur is not None and len(self.stack) <= self._depth:
+        place = self.last(tag)
+        if place >= 0:
+            self.cut(place)
+            if self._cur is not None and len(self.open) <= self._depth:
                 self._flush()
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1] in RAW_TAGS:
+        if self.open and self.open[-1] in RAW_TAGS:
             return
         if self._cur is not None:
             self._cur.append(data)
 
-    def close(self):
-        super().close()
+    def read(self, html):
+        super().read(html)
         self._flush()
-
-
-def _parse(html: str) -> _TextParser:
-    p = _TextParser()
-    try:
-        p.feed(html or "")
-        p.close()
-    except Exception:  # malformed markup: keep what was parsed
-        pass
-    return p
+        return self
 
 
 # fixed values: where each site class keeps its main text, in the order tried
@@ -142,13 +171,12 @@ def _matches(sel: tuple[str, str, str], tag: str, attrs: dict) -> bool:
         and (not ident or attrs.get("id") == ident)
 
 
-class _Blocks(HTMLParser):
+class _Blocks(_Page):
     """Keeps the open elements and the blocks whose text is being gathered; subclasses say which
     elements open a block.  Tags separate words; scripts and styles hold none."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
+        super().__init__()
         self.blocks: list[tuple[int, list[str]]] = []        # depth of the block's element, its text
 
     def gather(self) -> list[str]:
@@ -163,8 +191,9 @@ class _Blocks(HTMLParser):
         pass
 
     def _cut(self, depth: int) -> None:
-        del self.open[depth:]
-        self.blocks = [b for b in self.blocks if b[0] < depth]
+        self.cut(depth)
+        while self.blocks and self.blocks[-1][0] >= depth:
+            self.blocks.pop()
         self.closed(depth)
 
     def _space(self) -> None:
@@ -176,21 +205,17 @@ class _Blocks(HTMLParser):
         if tag in VOID_TAGS:
             return
         if tag in ENDS_ITS_KIND:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i] == tag:
-                    self._cut(i)
-                    break
-                if self.open[i] in ENDS_ITS_KIND[tag]:
-                    break
+            place = self.last(tag)
+            if place > self.last(*ENDS_ITS_KIND[tag]):
+                self._cut(place)
         self.opened(tag, dict(attrs))
-        self.open.append(tag)
+        self.push(tag)
 
     def handle_endtag(self, tag):
         self._space()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i] == tag:
-                self._cut(i)
-                break
+        place = self.last(tag)
+        if place >= 0:
+            self._cut(place)
 
     def handle_data(self, data):
         if self.open and self.open[-1] in RAW_TAGS:
@@ -199,8 +224,7 @@ class _Blocks(HTMLParser):
             text.append(data)
 
     def read(self, html: str | None):
-        self.feed(html or "")
-        self.close()
+        super().read(html)
         self._cut(0)
         return self
 
@@ -264,7 +288,8 @@ class _Listing(_Blocks):
         if self.item is not None and depth <= self.item["depth"]:
             self.items.append(self.item)
             self.item = None
-        self.lists = [d for d in self.lists if d < depth]
+        while self.lists and self.lists[-1] >= depth:
+            self.lists.pop()
 
 
 def main_text(html: str | None, site_class: str, accept) -> tuple[str | None, str | None]:
@@ -332,7 +357,7 @@ def page_items(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for pid, h in zip(b["page_id"], b["html"]):
-                for i, (tag, text, href) in enumerate(_parse(h).items):
+                for i, (tag, text, href) in enumerate(_TextParser().read(h).items):
                     rows.append((pid, i, tag, text, href))
             yield pd.DataFrame(rows, columns=["page_id", "item_no", "tag", "text", "href"])
 

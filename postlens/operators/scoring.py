@@ -263,7 +263,7 @@ def ensemble_vote(votes: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def vote_array(votes) -> Column:
     """A12 on a row-local vote array<struct<model_ord,label,confidence>>: no shuffle at all.
-    No votes -> (1, 0.0)."""
+    struct(label, confidence, votes of the winner); no votes -> (1, 0.0, 0)."""
     v = _c(votes)
 
     def stats(k):
@@ -275,13 +275,16 @@ def vote_array(votes) -> Column:
                         F.lit(k).alias("label"))
 
     best = F.array_max(F.array(*[stats(k) for k in (0, 1, 2)]))
-    none = F.struct(F.lit(C.NEUTRAL).alias("label"), F.lit(0.0).alias("confidence"))
-    return F.when(F.size(v) > 0, F.struct(best["label"].alias("label"),
-                                          best["mean"].alias("confidence"))).otherwise(none)
+    none = F.struct(F.lit(C.NEUTRAL).alias("label"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("votes"))
+    return F.when(F.size(v) > 0, T.let(best, lambda b: F.struct(
+        b["label"].alias("label"), b["mean"].alias("confidence"), b["n"].cast("long").alias("votes")))).otherwise(none)
 
 
 # ---------------------------------------------------------------- M1 naive Bayes
 
+HOT_WORDS = 4096
+
+
 def naive_bayes(train: DataFrame, apply: DataFrame, text_col: str = "text",
                 label_col: str = "label", key: str = "doc_id"):
     """M1: multinomial naive Bayes (labels 0/1, add-one smoothing) over all words.
@@ -299,8 +302,15 @@ def naive_bayes(train: DataFrame, apply: DataFrame, text_col: str = "text",
     weights = counts.select("word", (F.log(F.col("n1") + 1.0) - F.log(F.col("n0") + 1.0)
                                      - F.lit(math.log(s1 + v) - math.log(s0 + v) if v else 0.0)).alias("weight"))
     prior = math.log(max(docs["d1"], 0.5)) - math.log(max(docs["d0"], 0.5))
+    # the most frequent words are in nearly every document: they are looked up by a broadcast of at most
+    # HOT_WORDS rows and summed per document before anything moves; the others spread over their words
+    hot = (F.col("n0") + F.col("n1")) >= max(s0 + s1, 1.0) / HOT_WORDS
+    marked = counts.select("word", hot.alias("hot")).where("hot").select("word")
+    often = F.broadcast(weights.join(F.broadcast(marked), "word", "left_semi"))
     words = apply.select(key, F.explode(T.tokens(text_col)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    odds = words.join(weights, "word").groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias("odds"))
+    rare = words.join(F.broadcast(marked), "word", "left_anti").join(weights, "word")
+    parts = words.join(often, "word").select(key, "n", "weight").unionByName(rare.select(key, "n", "weight"))
+    odds = parts.groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias("odds"))
     pred = (apply.select(key).join(odds, key, "left")
             .select(key, (F.coalesce("odds", F.lit(0.0)) + F.lit(prior) > 0).cast("int").alias("prediction")))
     return weights, pred

@@ -29,11 +29,20 @@ def analyze_dataset(posts: DataFrame) -> DataFrame:
                                  F.round(F.col("_s.confidence"), 6).alias("confidence")))
 
 
-def model_votes(posts: DataFrame, models=C.MODEL_NAMES) -> DataFrame:
-    """Long vote table (doc_id, model, model_ord, label, confidence) of the scorers on cleaned content."""
-    x = T.with_preprocessed(posts.select("doc_id", "content"), "content", "text")
+def model_votes(posts: DataFrame, models=C.MODEL_NAMES, keep=("doc_id",)) -> DataFrame:
+    """Long vote table (``keep``, model, model_ord, label, confidence) of the scorers on cleaned content."""
+    x = T.with_preprocessed(posts.select(*keep, "content"), "content", "text")
     # barrier: a generator over the vote expression itself would be planned with copies of it
-    return barrier(scoring.with_votes(x, "text", models).select("doc_id", "votes")).select("doc_id", F.inline("votes"))
+    return barrier(scoring.with_votes(x, "text", models).select(*keep, "votes")).select(*keep, F.inline("votes"))
+
+
+def row_votes(posts: DataFrame, models=C.MODEL_NAMES) -> DataFrame:
+    """A12 on each post's vote array, without a shuffle: doc_id, sentiment, confidence, votes (of the
+    winner).  Posts that no member votes on drop out."""
+    x = T.with_preprocessed(posts.select("doc_id", "content"), "content", "text")
+    x = barrier(scoring.with_votes(x, "text", models).select("doc_id", "votes"))
+    x = where_computed(x.withColumn("_v", scoring.vote_array("votes")).drop("votes"), lambda r: r["_v"]["votes"] > 0)
+    return x.select("doc_id", F.col("_v.label").alias("sentiment"), F.round("_v.confidence", 6).alias("confidence"), F.col("_v.votes").alias("votes"))
 
 
 def analyze_ensemble(posts: DataFrame, models=C.MODEL_NAMES) -> DataFrame:

@@ -14,6 +14,7 @@ from postlens.plans import analysis
 from postlens.plans import sqlfrag as Q
 from postlens.plans.registry import register
 from postlens.session import scratch_path
+from postlens.sources import catalog as CT
 from postlens.sources import files as FS
 from postlens.sources import tables as TB
 from postlens.streaming import jobs as ST
@@ -95,14 +96,17 @@ HISTORY_FILE = "youtube.json"
 
 @register("analysis_history")
 def q_analysis_history(spark, sf):
-    """Two analysis runs appended to the history table, then the history of one file."""
+    """Two analysis runs in the history table, then the history of one file.  A run that is entered
+    again replaces its own entries."""
     a = analysis.analyze_dataset(TB.posts(spark, sf))
+    per = scratch_path(spark, "history-entries")
+    a.groupBy("platform").agg(F.count(F.lit(1)).alias("item_count")).write.parquet(per)      # analysed once
+    counts = spark.read.schema("platform string, item_count long").parquet(per)
     path = scratch_path(spark, "history")
-    for run in (1, 2):
-        entries = a.groupBy("platform").agg(F.count(F.lit(1)).alias("item_count")).select(
+    for run in (1, 2, 2):
+        FS.append_history(counts.select(
             F.lit(run).alias("run_no"), F.concat("platform", F.lit(".json")).alias("file_path"),
-            F.array(*[F.lit(m) for m in C.MODEL_SETS["light"]]).alias("models"), "item_count")
-        FS.append_history(entries, path)
+            F.array(*[F.lit(m) for m in C.MODEL_SETS["light"]]).alias("models"), "item_count"), path, "run_no")
     h = spark.read.parquet(path)
     return h.where(F.col("file_path") == HISTORY_FILE).select(
         "run_no", "file_path", F.array_join("models", ",").alias("models"), "item_count")
@@ -124,7 +128,8 @@ def _write_datasets(spark, sf):
     """Posts landed as one directory per (platform, lang), named platform_count_keywords_stamp."""
     p = TB.posts(spark, sf).select("doc_id", "platform", "lang", "title")
     counts = p.groupBy("platform", "lang").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-    named = p.join(counts, ["platform", "lang"]).withColumn(
+    # the broadcast holds a row for each platform and language
+    named = p.join(F.broadcast(counts), ["platform", "lang"]).withColumn(
         "dataset", F.concat_ws("_", "platform", F.col("n").cast("string"), "lang", _stamp(F.col("last"))))
     path = scratch_path(spark, "datasets")
     # few files per directory; a directory that holds much of the data is still split
@@ -213,7 +218,7 @@ SELECT dataset, platform, n AS count, kw AS keywords, stamp,
 def q_latest_dataset(spark, sf):
     """The rows of each platform's newest dataset, by the stamp in its name."""
     path = _write_datasets(spark, sf)
-    names = FS.file_table(spark, path, "json", DATASET).select(FS.dataset_of(F.col("file_path")).alias("dataset"))
+    names = CT.folders(CT.list_files(spark, path, "*.json"), "dataset").select("dataset")       # metadata only
     plat, _, _, stamp = FS.parse_dataset_name(F.col("dataset"))
     rows = FS.read_newest(spark, path, "json", DATASET, names, "dataset", plat, stamp)
     return rows.select("platform", "dataset", "doc_id", "title")
@@ -240,7 +245,7 @@ def q_latest_processed(spark, sf):
      .hint("rebalance", F.col("dataset")).write.mode("overwrite").option("header", True).option("nullValue", FS.NULL_MARK)
      .option("emptyValue", '""').partitionBy("dataset").csv(path))
     schema = "doc_id long, platform string, date_text string"
-    names = FS.file_table(spark, path, "csv", schema).select(FS.dataset_of(F.col("file_path")).alias("dataset"))
+    names = CT.folders(CT.list_files(spark, path, "*.csv"), "dataset").select("dataset")
     return FS.read_newest(spark, path, "csv", schema, names, "dataset",
                           F.substring_index("dataset", "_processed_", 1), F.col("dataset"),
                           {"header": "true", "nullValue": FS.NULL_MARK, "emptyValue": ""})

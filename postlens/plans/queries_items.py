@@ -31,7 +31,7 @@ def _search_answers(spark, sf):
     p = TB.posts(spark, sf).where(F.startswith("platform", F.lit("naver")))
     k = F.col("doc_id")
     item = F.struct(F.concat(F.lit("<b>"), "title", F.lit("</b>")).alias("title"),
-                    F.concat(F.lit("&quot;"), F.substring("content", 1, 80), F.lit("&quot;")).alias("description"),
+                    F.concat(F.lit("&quot;"), "content", F.lit("&quot;")).alias("description"),
                     F.col("url").alias("link"), F.when(k % 2 == 0, F.col("source")).alias("bloggername"),
                     F.col("lang").alias("author"), F.when(k % 3 != 0, F.col("date_text")).alias("postdate"),
                     F.when(k % 3 == 0, F.col("date_text")).alias("pubDate"))
@@ -62,7 +62,7 @@ def q_search_items(spark, sf):
 oracle("search_items", POSTS + f"""SELECT doc_id, platform, keyword, url, t AS title,
   CASE WHEN doc_id % 4 = 0 AND content <> '' THEN content ELSE t || ' ' || d END AS content,
   CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS blog_name, {Q.parse_date_relative('date_text')} AS published_date
-FROM (SELECT *, {_entities_sql("('<b>' || title || '</b>')")} AS t, {_entities_sql("('&quot;' || left(content, 80) || '&quot;')")} AS d
+FROM (SELECT *, {_entities_sql("('<b>' || title || '</b>')")} AS t, {_entities_sql("('&quot;' || content || '&quot;')")} AS d
       FROM posts WHERE starts_with(platform, 'naver'))""")
 
 
@@ -84,7 +84,7 @@ def _web_answers(spark, sf):
             .when(F.col("doc_id") % 5 == 1, F.array(other, tag(F.concat(day, F.lit("T08:09:10+09:00")))))
             .when(F.col("doc_id") % 5 == 2, F.array(tag(day), late))
             .when(F.col("doc_id") % 5 == 3, F.array(tag(F.lit("2024-02-31")), late)))
-    item = F.struct("title", F.substring("content", 1, 120).alias("snippet"), F.col("url").alias("link"),
+    item = F.struct("title", F.col("content").alias("snippet"), F.col("url").alias("link"),
                     F.struct(tags.alias("metatags")).alias("pagemap"))
     return p.select("doc_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("raw"))
 
@@ -104,7 +104,7 @@ def q_first_metatag(spark, sf):
     return flatten_web(_web_answers(spark, sf))
 
 
-oracle("first_metatag", POSTS + f"""SELECT doc_id, {_entities_sql('title')} AS title, {_entities_sql('left(content, 120)')} AS content, url,
+oracle("first_metatag", POSTS + f"""SELECT doc_id, {_entities_sql('title')} AS title, {_entities_sql('content')} AS content, url,
   CASE WHEN doc_id % 5 IN (1, 2) THEN strftime(base_date, '%Y%m%d') ELSE {Q.ymd(Q.as_of())} END AS published_date
 FROM posts WHERE platform = 'google'""")
 

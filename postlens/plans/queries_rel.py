@@ -7,11 +7,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postlens import config as C
+from postlens.functions import dategrammar as G
 from postlens.functions import dates as D
 from postlens.functions import predicates as P
 from postlens.functions import shape as S
 from postlens.functions import text as T
 from postlens.operators import dedup, scoring, stats
+from postlens.operators.rowops import barrier
 from postlens.plans import analysis
 from postlens.plans import sqlfrag as Q
 from postlens.plans.queries_scalar import _parent_sql
@@ -125,10 +127,10 @@ AVAILABLE_FROM = 0.5
 def q_missing_models(spark, sf):
     """For each source, the requested models minus those that gave one of its posts a vote of at
     least AVAILABLE_FROM; both sides come from the documents."""
-    d = TB.table(spark, sf, "documents").select("doc_id", "source")
-    req = d.select("source").distinct().select("source", F.explode(F.array(*[F.lit(m) for m in REQUESTED_MODELS])).alias("model"))
-    v = analysis.model_votes(TB.posts(spark, sf)).where(F.col("confidence") >= AVAILABLE_FROM).select("doc_id", "model")
-    have = d.join(v, "doc_id").select("source", "model").distinct()
+    d = TB.table(spark, sf, "documents").select("source")
+    req = d.distinct().select("source", F.explode(F.array(*[F.lit(m) for m in REQUESTED_MODELS])).alias("model"))
+    v = analysis.model_votes(TB.posts(spark, sf), keep=("doc_id", "source"))
+    have = v.where(F.col("confidence") >= AVAILABLE_FROM).select("source", "model").distinct()
     return req.join(have, ["source", "model"], "left_anti")
 
 
@@ -544,8 +546,8 @@ def _vote_sql(src):
 
 @register("ensemble_vote")
 def q_ensemble_vote(spark, sf):
-    v = scoring.ensemble_vote(analysis.model_votes(TB.posts(spark, sf)))
-    return v.select("doc_id", "sentiment", F.round("confidence", 6).alias("confidence"), "votes")
+    """A12 on the row: the members' votes never leave their post."""
+    return analysis.row_votes(TB.posts(spark, sf))
 
 
 VOTES = Q.with_ctes(Q.posts_cte(), Q.votes_cte())
@@ -566,9 +568,7 @@ FROM ({_vote_sql(_BALANCED)}) v JOIN posts p USING (doc_id)""")
 @register("ensemble_by_set")
 def q_ensemble_by_set(spark, sf):
     """M5: the vote restricted to a named model set."""
-    models = scoring.resolve_model_set("balanced")
-    v = scoring.ensemble_vote(analysis.model_votes(TB.posts(spark, sf), models))
-    return v.select("doc_id", "sentiment", F.round("confidence", 6).alias("confidence"), "votes")
+    return analysis.row_votes(TB.posts(spark, sf), scoring.resolve_model_set("balanced"))
 
 
 oracle("ensemble_by_set", VOTES + _vote_sql(_BALANCED))
@@ -677,7 +677,7 @@ def q_validate_report(spark, sf):
     errors = F.concat_ws("; ", F.when(~name.isin(*C.VALID_PLATFORMS), F.concat(F.lit("unsupported platform: "), plat)),
                          F.when(name.isin(*C.VALID_PLATFORMS) & (F.lit(bool(missing)) | no_id),
                                 F.concat(F.lit("missing columns: "), F.concat_ws(", ", *[F.lit(c) for c in missing], F.when(no_id, F.lit("video_id"))))))
-    d = D.parse_date_clean("published_date")
+    d = G.ymd_text("published_date")
     ids = S.video_id("url")
     return p.groupBy("platform").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -707,6 +707,23 @@ oracle("validate_report", POSTS + f"""SELECT *, CASE WHEN lower(platform) IN ('n
   FROM posts GROUP BY platform)""")
 
 
+@register("repaired_rows")
+def q_repaired_rows(spark, sf):
+    """V1's repairs: dates as D6's text or null, blank contents from the title (rows without either go),
+    video ids of plain youtube rows."""
+    p = TB.posts(spark, sf)
+    blank = lambda c: F.col(c).isNull() | T.is_blank(c)
+    x = p.select("doc_id", "platform", F.when(blank("content"), F.when(~blank("title"), F.col("title"))).otherwise(F.col("content")).alias("content"),
+                 G.ymd_text("date_text").alias("published_date"), F.when(F.lower("platform") == "youtube", S.video_id("url")).alias("video_id"))
+    return x.where("content is not null")
+
+
+oracle("repaired_rows", POSTS + f"""SELECT * FROM (SELECT doc_id, platform, CASE WHEN content IS NULL OR {Q.strip_blank('content')} = ''
+  THEN CASE WHEN title IS NOT NULL AND {Q.strip_blank('title')} <> '' THEN title END ELSE content END AS content,
+  strftime({_parse_clean_sql('date_text')}, '%Y%m%d') AS published_date,
+  CASE WHEN lower(platform) = 'youtube' THEN {Q.video_id('url')} END AS video_id FROM posts) WHERE content IS NOT NULL""")
+
+
 @register("validate_dataset")
 def q_validate_dataset(spark, sf):
     """V2 per dataset (all posts of a source, and all posts of a source and platform): one platform is
@@ -770,8 +787,8 @@ GROUP BY title, content, published_date""")
 @register("filter_ratio")
 def q_filter_ratio(spark, sf):
     """V8: share of posts dropped by the post-processing filter, per platform."""
-    p = TB.posts(spark, sf)
-    kept = P.postprocess_keep("title", "content")
+    p = barrier(TB.posts(spark, sf).select("platform", P.postprocess_keep("title", "content").alias("kept")))
+    kept = F.col("kept")
     n = F.count(F.lit(1))
     return p.groupBy("platform").agg(n.alias("n_in"), F.count_if(kept).alias("n_kept"),
                                      F.round(F.count_if(~kept) * 100.0 / n, 6).alias("dropped_pct"))

@@ -450,9 +450,7 @@ FROM (SELECT doc_id, {Q.basic_clean('content')} AS text FROM posts)""")
 @register("content_valid")
 def q_content_valid(spark, sf):
     x = T.with_preprocessed(TB.posts(spark, sf).select("doc_id", "content"), "content", "p")
-    ok = ((F.length("p") >= C.MIN_TEXT_LENGTH) & (T.word_count("p") >= C.MIN_CONTENT_WORDS)
-          & ~P.contains_any("p", C.EXCLUDE_KEYWORDS))
-    return x.select("doc_id", F.coalesce(ok, F.lit(False)).alias("valid"))
+    return x.select("doc_id", P.content_valid("p").alias("valid"))
 
 
 oracle("content_valid", POSTS + f"""SELECT doc_id, coalesce(length(p) >= {C.MIN_TEXT_LENGTH} AND {Q.word_count('p')} >= {C.MIN_CONTENT_WORDS}

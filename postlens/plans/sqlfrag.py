@@ -247,7 +247,16 @@ def kwic(e: str, keywords=C.REGION_KEYWORDS, radius: int = C.SNIPPET_RADIUS) ->
 def video_id(e: str) -> str:
     found = [f"nullif(regexp_extract({e}, {q(p)}, 1), '')" for p in S.VIDEO_ID_PATTERNS]
     return (f"CASE WHEN {e} IS NULL OR {e} = '' THEN '' ELSE coalesce({', '.join(found)}, "
-            f"'video_' || left(sha256({e}), 8)) END")
+            f"'video_' || {crc32_hex(e)}) END")
+
+
+def crc32_hex(e: str) -> str:
+    """crc32 of an ASCII text in 8 hex digits: eight shifts a byte"""
+    byte = ("list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), "
+            "lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)")
+    crc = (f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({e}, ''), lambda x: unicode(x)::BIGINT)), "
+           f"lambda c, b: {byte})")
+    return f"printf('%08x', xor({crc}, 4294967295))"
 
 
 def _starts(e: str) -> str:

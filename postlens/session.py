@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,9 +68,33 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/postlens/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path below the shared folder; the innermost ``scratch_scope`` owns it."""
+    path = f"{shared_dir(spark).rstrip('/')}/postlens/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Owns the intermediate tables that are made inside: they are deleted when it ends, so results
+    must have been written by then.  Without a scope they stay, as lazy results still read them.
+
+        with scratch_scope(spark):
+            queries()["pipeline"](spark, data).write.parquet(result)
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _scopes.pop():
+            p = hadoop(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:

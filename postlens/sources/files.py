@@ -62,9 +62,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
             .option("emptyValue", "").option("nullValue", NULL_MARK).csv(path))
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    """Append analysis-run entries to the history table."""
-    df.write.mode("append").parquet(path)
+def append_history(df: DataFrame, path: str, run: str) -> None:
+    """Add the entries of analysis runs; entries of the same run (column ``run``) are replaced, so a
+    repeated run changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
 
 
 def file_table(spark: SparkSession, path: str, fmt: str = "json", schema=None) -> DataFrame:
