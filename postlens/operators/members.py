@@ -43,6 +43,7 @@ FEATURES = 1 << 15
 STEPS = 1000
 ITERATIONS = 15
 L2 = 0.001
+PART_ROWS = 16384
 
 
 def fold(key) -> Column:
@@ -134,9 +135,11 @@ def train(posts: DataFrame, key: str, text_col: str, label_col: str, members=MEM
     path = scratch_path(spark, "member-features")
     with_features(known, text_col).drop(text_col).write.parquet(path)
     rows = spark.read.parquet(path)
-    kinds = {r["label"] for r in rows.groupBy("label").count().collect()}
+    kinds = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(kinds) < 2:
         raise ValueError("labels of two kinds at least are needed")
+    # every step of a fit moves one gradient for each partition, so these hold many rows
+    rows = rows.coalesce(-(-sum(kinds.values()) // PART_ROWS))
     out_of_fold = None
     for k in (k for k in range(FOLDS) if k != HELD_OUT):
         models = {m: _estimator(m).fit(rows.where(F.col("fold") != k)) for m in members}

@@ -62,3 +62,37 @@ def test_dedup_forgets_after_the_watermark(spark, tmp_path):
     out = jobs.run_available_now(jobs.dedup_within_watermark(s, "key", "ts", "1 hour"), "forget")
     got = sorted(r["key"] for r in spark.read.parquet(out).collect())
     assert got == ["a", "a", "y", "z"]
+
+
+def test_late_rows_go_to_the_side_and_state_is_freed(spark, tmp_path):
+    """On-time, late and open rows together are the batch's; state holds only days within the delay."""
+    import time
+    from postlens.streaming import jobs, late
+    ev = spark.range(3000).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + pmod(xxhash64(id), 90 * 86400)) AS ts",
+                                      "CAST(CASE WHEN id % 4 < 3 THEN id % 4 END AS int) AS label")
+    for k in range(5):
+        ev.where(F.pmod(F.xxhash64("event_id", F.lit("drop")), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    s = jobs.file_stream(spark, str(tmp_path / "in"), ev.schema, max_files=1)
+    out, ckpt = late.run_day_counts(s, "ts", "label", "event_id", delay_days=7)
+    want = {(r.day, r.label): r["count"] for r in ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.coalesce("label", F.lit(-1)).alias("label")).count().collect()}
+    rows = late.all_counts(spark, out, ckpt).collect()
+    assert {(r.day, r.label): r.n for r in rows} == want
+    assert sum(r.n_late for r in rows) > 100 and sum(r.n_closed for r in rows) > 100
+    last = max(d for d, _ in want)
+    open_ = late.open_days(spark, ckpt).collect()
+    assert 0 < len(open_) <= 4 * 9 and min(r.day for r in open_) >= (__import__("datetime").date.fromisoformat(last) - __import__("datetime").timedelta(days=8)).isoformat()
+    ids = [r.row_id for r in spark.read.parquet(f"{out}/kind=late").collect()]
+    assert len(ids) == len(set(ids)) == sum(r.n_late for r in rows)
+
+
+def test_sides_join_in_any_landing_order(spark, tmp_path):
+    from postlens.plans import queries_streams as QS
+    sides = QS.video_sides(spark, SF_SMALL)
+    hits, details, comments = (sides[n][0] for n in ("hits", "details", "comments"))
+    batch = hits.join(details, hits.video == details.d_video, "left").join(comments, hits.video == comments.c_video, "left")
+    key = lambda r: (r.video, r.title, r.views, r.turn or -1, r.author or "")
+    want = sorted(map(key, batch.collect()), key=str)
+    for n, order in enumerate((["hits", "details", "comments"], ["comments", "hits", "details"])):
+        got = QS.join_as_they_land(spark, sides, order, str(tmp_path / str(n)))
+        assert sorted(map(key, got.collect()), key=str) == want
