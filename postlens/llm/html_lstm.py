@@ -7,10 +7,11 @@ reads the vectors in page order and gives each block the probability of being ma
 decision sees the blocks before and after it.  Blocks from 0.5 on make the text.
 
 There are no hand-made labels.  The model is trained on at most ``SAMPLE`` pages (those with the
-smallest hash of page_id) whose markup says what a block is: inside article or main, and not in a
-menu, header, footer, sidebar, notice, advert, form or comment section.  In training, a part of
-the pages has the telling tags of its paths replaced by div, so that the words, the measures and the
-context must carry the label too.
+smallest hash of page_id, one row each, of at most ``SAMPLE_BYTES``) whose markup says what a block is:
+inside article or main, and not in a menu, header, footer, sidebar, notice, advert, form or comment
+section.  In training, a part of the pages has the telling tags of its paths replaced by div, so that
+the words, the measures and the context must carry the label too.  Where no page of the sample has an
+article or main, blocks outside such sections that are long enough and not mostly links teach instead.
 
 Scripts, styles, comments, titles and other content that is no text never become blocks.  The head
 ends where the first body element or text starts, whether or not its tags are there.  Only script and
@@ -18,6 +19,9 @@ style reach to the end of the page when their end tag is missing; of other such
 skipped, but for the words that follow a title up to the next tag.
 Inference sorts a batch's pages by length and pads only among neighbours.
 
+Cutting a page takes time in proportion to its length: a tag's end is found once, what is behind the
+last end of a tag is text, and nested elements share their paths.
+
 Defined cases: a null or empty html, and a page without main text, give an empty text with 0
 characters; rows that repeat are extracted alike; unclosed and stray tags end with the block or
 element around them; an empty table gives an empty result; other columns are ignored.
@@ -40,6 +44,8 @@ from postlens.llm.wordhash import U, word_pieces
 from postlens.session import ship
 
 SAMPLE = 300                       # pages that the labeller learns from
+SAMPLE_BYTES = 1 << 20
+PLAIN_CHARS, PLAIN_LINKED = 40, 0.5          # a block that teaches without article or main
 PATH, WORDS, MEASURES = 32, 32, 5
 INPUT = PATH + WORDS + MEASURES
 HIDDEN = 16
@@ -58,36 +64,87 @@ MAIN = re.compile(r"^(article|main)\b")
 ASIDE = re.compile(r"^(?i:nav|header|footer|aside|form|menu|button|dialog|fieldset)\b|[.#](?:[\w-]*(?:[-_]|(?<=[a-z0-9])(?=[A-Z])))?"
                    r"(?i:(?:ad|ads|advert\w*|banner|cookie|consent|notice|promo|sidebar|menu|nav|footer|header|comments?|share|social|related|breadcrumbs?)(?![a-z]))")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"(?:^|\s)(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 _RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
-_SKIP_TAG = {x: re.compile(rf"<(/?){x}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I) for x in SKIP}
+_SKIP_TAG = {x: re.compile(rf"<(/?){x}(?=[\s/>])", re.I) for x in SKIP}
+_STOP = re.compile(r"[>\"']")
+
+
+class Path:
+    """The open elements of a block: its own and, through ``above``, those around it."""
+
+    __slots__ = ("above", "name", "main", "aside", "vector", "hidden")
+
+    def __init__(self, above: Path | None, name: str):
+        self.above, self.name = above, name
+        self.main = bool(above and above.main) or bool(MAIN.search(name))
+        self.aside = bool(above and above.aside) or bool(ASIDE.search(name))
+        self.vector = self.hidden = None
+
+    def names(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at.above is not None:
+            out.append(at.name)
+            at = at.above
+        return tuple(reversed(out))
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int                    # characters inside links
 
 
-def ends(page: str, name: str) -> dict[int, int]:
+class Tags:
+    """Where the tags of a page end: at the first > outside quotes.  A quote that is never closed is no
+    quote; after a tag that would have no end, quotes count for nothing."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.quotes = True
+
+    def end(self, at: int) -> int:
+        """Place behind the > of the tag at ``at``, or -1."""
+        if at > self.last[">"]:
+            return -1
+        k = at
+        while self.quotes:
+            m = _STOP.search(self.page, k)
+            if m is None:
+                self.quotes = False
+            elif m.group() == ">":
+                return m.end()
+            else:
+                k = m.end()
+                if self.last[m.group()] >= k:
+                    k = self.page.find(m.group(), k) + 1
+        return self.page.find(">", at) + 1
+
+
+def ends(page: str, name: str, tags: Tags) -> dict[int, int]:
     """Where each element ``name`` that has an end tag starts, and where that end tag does."""
     out, open_ = {}, []
     for m in _SKIP_TAG[name].finditer(page):
         if m.group(1):
             if open_:
                 out[open_.pop()] = m.start()
-        elif not m.group(2).rstrip().endswith("/"):
-            open_.append(m.start())
+        else:
+            end = tags.end(m.end())
+            if end > 0 and not page[m.end():end - 1].rstrip().endswith("/"):
+                open_.append(m.start())
     return out
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []              # (tag, tag with classes and ids)
+    stack: list[tuple[str, Path]] = []             # (tag, path up to it; inline tags have that around them)
+    open_: dict[str, int] = {}                     # how many of each tag are in the stack
+    root = Path(None, "")
     parts: list[str] = []
     linked = links = 0
 
@@ -96,47 +153,66 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(x for t, x in stack if t not in INLINE), text, linked))
+                out.append(Block(stack[-1][1] if stack else root, text, linked))
         parts, linked = [], 0
 
-    at, closed = 0, {}
+    def pop():
+        open_[stack.pop()[0]] -= 1
+
+    tags, at, closed = Tags(page), 0, {}
     while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            if m.group().startswith("<") and m.group() != "<":
-                continue
-            parts.append(m.group())
-            if links:
-                linked += len(m.group())
+        start = page.find("<", at)
+        if start != at:
+            start = len(page) if start < 0 else start
+            parts.append(page[at:start])
+            linked += (start - at) * bool(links)
+            at = start
+            continue
+        if page.startswith("<!--", at):
+            at = page.find("-->", at) + 3 if page.find("-->", at) >= 0 else len(page)
+            continue
+        m = _NAME.match(page, at)
+        end = tags.end(m.end()) if m else page.find(">", at) + 1 if page[at + 1:at + 2] in ("!", "?", "/") and at < tags.last[">"] else 0
+        if end <= 0:
+            parts.append("<")
+            linked += bool(links)
+            at += 1
             continue
-        name = name.lower()
+        begin, at = at, end
+        if m is None:
+            continue
+        name, rest = m.group(2).lower(), page[m.end():end - 1]
         if m.group(1):
             if name in INLINE:
                 links -= name == "a" and links > 0
             else:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            if open_.get(name):
+                if name in INLINE:
+                    k = len(stack) - 1
+                    while stack[k][0] != name and stack[k][0] in INLINE:
+                        k -= 1
+                    if stack[k][0] == name:
+                        while len(stack) > k:
+                            pop()
+                else:
+                    while stack[-1][0] != name:
+                        pop()
+                    pop()
             continue
         if name in RAW:
             flush()
-            end = _RAW_END[name].search(page, at)
-            at = end.start() if end else len(page)
+            stop = _RAW_END[name].search(page, at)
+            at = stop.start() if stop else len(page)
             continue
         if name in SKIP:
             flush()
             if name not in closed:
-                closed[name] = ends(page, name)
-            end = closed[name].get(m.start(), -1)
-            if end < 0 and name == "title":
-                end = page.find("<", at)
-            at = max(at, end)
+                closed[name] = ends(page, name, tags)
+            stop = closed[name].get(begin, -1)
+            if stop < 0 and name == "title":
+                stop = page.find("<", at)
+            at = max(at, stop)
             continue
         if name == "head":
             flush()
@@ -151,21 +227,30 @@ def blocks(page: str) -> list[Block]:
             flush()
             links = 0
             while stack and stack[-1][0] in INLINE:
-                stack.pop()
+                pop()
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
+                pop()
                 while stack and stack[-1][0] in INLINE:
-                    stack.pop()
-        if not m.group(3).rstrip().endswith("/"):
-            marks = "".join(("." if a.lower() == "class" else "#") + v for a, *vs in _ATTR.findall(m.group(3)) for v in "".join(vs).split())
-            stack.append((name, name + marks))
+                    pop()
+        if not rest.rstrip().endswith("/"):
+            above = stack[-1][1] if stack else root
+            if name not in INLINE:
+                marks = "".join(("." if a.lower() == "class" else "#") + v for a, *vs in _ATTR.findall(rest) for v in "".join(vs).split())
+                above = Path(above, name + marks)
+            stack.append((name, above))
+            open_[name] = open_.get(name, 0) + 1
     flush()
     return out
 
 
 def label(b: Block) -> int:
     """What the page's own markup says."""
-    return int(any(MAIN.search(x) for x in b.path) and not any(ASIDE.search(x) for x in b.path))
+    return int(b.path.main and not b.path.aside)
+
+
+def plain_label(b: Block) -> int:
+    """What length, links and the names of sections say, where there is no article or main."""
+    return int(not b.path.aside and len(b.text) >= PLAIN_CHARS and b.linked < PLAIN_LINKED * len(b.text))
 
 
 def _slot(name: str) -> tuple[int, float]:
@@ -173,13 +258,32 @@ def _slot(name: str) -> tuple[int, float]:
     return h % PATH, 1.0 if h >> 16 & 1 else -1.0
 
 
-def hidden_path(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path without what tells: semantic tags as div, no classes."""
-    return tuple("div" if MAIN.search(x) or ASIDE.search(x) or "." in x or "#" in x else x for x in path)
-
-
-def vectors(pages: list[list[Block]], paths=None) -> list[np.ndarray]:
-    """(blocks, INPUT) of each page."""
+def hidden_name(x: str) -> str:
+    """The element without what tells: semantic tags as div, no classes."""
+    return "div" if MAIN.search(x) or ASIDE.search(x) or "." in x or "#" in x else x
+
+
+def path_vector(path: Path, hidden: bool = False) -> np.ndarray:
+    """Signed hashes of the tags on a path, with and without classes and ids; kept on the path, so that
+    nested elements add one tag each."""
+    kept = "hidden" if hidden else "vector"
+    todo, at = [], path
+    while at.above is not None and getattr(at, kept) is None:
+        todo.append(at)
+        at = at.above
+    v = getattr(at, kept) if at.above is not None else np.zeros(PATH, np.float32)
+    for at in reversed(todo):
+        v = v.copy()
+        part = hidden_name(at.name) if hidden else at.name
+        for name in sorted({part, part.split(".")[0].split("#")[0]}):
+            s, sign = _slot(name)
+            v[s] += sign
+        setattr(at, kept, v)
+    return v
+
+
+def vectors(pages: list[list[Block]], hidden: bool = False) -> list[np.ndarray]:
+    """(blocks, INPUT) of each page; ``hidden``: the paths don't tell."""
     flat = [b for p in pages for b in p]
     x = np.zeros((len(flat), INPUT), np.float32)
     if flat:
@@ -190,21 +294,11 @@ def vectors(pages: list[list[Block]], paths=None) -> list[np.ndarray]:
             rows = piece.row + piece.doc_of()
             n = np.maximum(np.diff(piece.bounds), 1)
             np.add.at(x, (rows, slot), sign / np.sqrt(n)[piece.doc_of()])
-    cache: dict[tuple[str, ...], np.ndarray] = {}
     at = 0
     out = []
-    for k, p in enumerate(pages):
+    for p in pages:
         for i, b in enumerate(p):
-            path = b.path if paths is None else paths[k][i]
-            v = cache.get(path)
-            if v is None:
-                v = np.zeros(PATH, np.float32)
-                for part in path:
-                    for name in {part, part.split(".")[0].split("#")[0]}:
-                        s, sign = _slot(name)
-                        v[s] += sign
-                cache[path] = v
-            x[at + i, :PATH] = v
+            x[at + i, :PATH] = path_vector(b.path, hidden)
             x[at + i, PATH + WORDS:] = (np.log1p(len(b.text)) / 6, b.linked / max(len(b.text), 1), i / max(len(p), 1), 1 / (i + 1), 1 / (len(p) - i))
         out.append(x[at:at + len(p)])
         at += len(p)
@@ -317,17 +411,17 @@ def padded(pages: list[np.ndarray]):
 
 def train(pages: DataFrame, bound: int = SAMPLE) -> Labeller:
     """Learn from at most ``bound`` pages; the shuffle ranks ids, and only the sample's html moves."""
-    ids = (pages.where("page_id is not null and html is not null").select("page_id").distinct()
-           .orderBy(F.xxhash64("page_id"), "page_id").limit(bound))
-    rows = pages.select("page_id", "html").where("html is not null").join(F.broadcast(ids), "page_id").collect()
+    fit = pages.select("page_id", "html").where(F.col("page_id").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES))
+    ids = fit.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(bound)
+    rows = fit.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    every = [p for p in (blocks(r["html"]) for r in sorted(rows, key=lambda r: r["page_id"])) if p]
+    says = label if any(label(b) for p in every for b in p) else plain_label
     model = Labeller()
-    cut = [blocks(r["html"]) for r in sorted(rows, key=lambda r: (r["page_id"], r["html"]))]
-    cut = [p for p in cut if p and any(label(b) for b in p)]
+    cut = [p for p in every if any(says(b) for b in p)]
     if cut:
-        y = [np.array([label(b) for b in p], float) for p in cut]
-        x = vectors(cut)
-        masked = vectors(cut, [[hidden_path(b.path) for b in p] for p in cut])
-        data = list(zip(x, y, strict=True)) + [d for k, d in enumerate(zip(masked, y, strict=True)) if k % 3 == 0]
+        y = [np.array([says(b) for b in p], float) for p in cut]
+        masked = vectors(cut, hidden=True)
+        data = list(zip(vectors(cut), y, strict=True)) + [d for k, d in enumerate(zip(masked, y, strict=True)) if k % 3 == 0]
         model.fit(data)
     return model
 

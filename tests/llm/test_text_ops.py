@@ -289,7 +289,11 @@ def test_missing_end_tags(start):
 @pytest.mark.parametrize("part, aside", [("p.lead", False), ("div.thread", False), ("div#download", False), ("div.ad", True), ("div.top-ad", True),
                                          ("ul#siteNav", True), ("div.page_footer", True), ("div.Ads", True), ("div.adBanner", True), ("div.x.ads", True)])
 def test_names_of_asides(part, aside):
-    assert html_lstm.label(html_lstm.Block(("html", "article", part), "x", 0)) == (not aside)
+    path = None
+    for name in ("", "html", "article", part):
+        path = html_lstm.Path(path, name)
+    assert path.names() == ("html", "article", part)
+    assert html_lstm.label(html_lstm.Block(path, "x", 0)) == (not aside)
 
 
 def test_gradient():
@@ -358,3 +362,27 @@ def test_token_counts(spark, frame):
     out = {r["doc_id"]: r["n_tokens_edited"] for r in token_counts.edited_counts(df).collect()}
     assert out == {1: len(enc.encode_ordinary("hello big world")), 2: 0, 3: len(enc.encode_ordinary("new text"))}
     assert token_counts.edited_counts(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<title " * 100_000, "<!-- >" * 150_000,
+                                  '<a b="' * 100_000 + ">", '<a ">" ' * 100_000, "<script>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000])
+def test_broken_pages_take_time_by_their_length(page):
+    import time
+    begin = time.time()
+    html_lstm.vectors([html_lstm.blocks(page)])
+    assert time.time() - begin < 10
+
+
+def test_tags_end_outside_quotes():
+    got = [b.text for b in html_lstm.blocks("<p title='a > b'>one<p title=\"x>two<p>three < four<p five")]
+    assert got == ["one", "two", "three < four<p five"]
+
+
+def test_pages_without_article_or_main(spark):
+    """Nothing says what the text is: length, links and the names of sections teach."""
+    words = "plain words that say something about the matter at hand and go on for a while"
+    rows = [(k, "u", f"<body><div class='menu'><a href=a>Home</a> <a href=b>News {k}</a></div><div><p>{words} {k}.</p><p>{words} again, {k}.</p></div>"
+             f"<div class='footer'>Imprint {k}</div></body>") for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_lstm.extract(df).collect():
+        assert r.text == f"{words} {r.page_id}. {words} again, {r.page_id}."
