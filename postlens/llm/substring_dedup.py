@@ -12,7 +12,8 @@ judges windows of exactly 50 words, so no candidate has to go beyond that level.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing; a row
 with a null doc_id is neither smaller nor larger than any other, so it loses and claims nothing;
-rows that repeat a doc_id never count as smaller than each other, and each gets its own result row;
+rows that repeat a doc_id never count as smaller than each other, and each gets its own result row (equal
+rows share one list of marks);
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -136,13 +137,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                        .where("x < y").select("a"), "repeated")
     hits = written(found.join(repeated, "a", "left_semi"), "hits")
 
-    first = hits.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    mixed = first.groupBy("a").agg((F.count("*") > 1).alias("mixed"))
+    # written, so that both sides of the join come from their own exchange and a hot anchor is split
+    first = written(hits.groupBy("a", "b").agg(F.min("doc_id").alias("first")), "first")
+    mixed = written(first.groupBy("a").agg((F.count("*") > 1).alias("mixed")), "mixed")
     blocks = written(first.join(mixed, "a"), "blocks")
     marks = (hits.join(blocks, ["a", "b"])
              .where("first < doc_id or mixed")
              .groupBy("doc_id", "th")
-             .agg(F.collect_list(F.struct("lo", "hi", (F.col("first") == F.col("doc_id")).alias("check"))).alias("marks")))
+             .agg(F.collect_set(F.struct("lo", "hi", (F.col("first") == F.col("doc_id")).alias("check"))).alias("marks")))
     touched = written(known.join(marks, ["doc_id", "th"]), "touched")
 
     seen = arrow_job(touched.where(F.exists("marks", lambda m: m["check"])), _verify(window),
