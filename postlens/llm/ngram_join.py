@@ -252,8 +252,8 @@ def link_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one whose doc_id is the component's id.
 
-    Rows with the same doc_id and text are copies, of which one stays; rows without words stay.
-    All columns are kept.
+    Rows with the same doc_id and text are copies, of which one stays (that with the smallest hash of all
+    its columns, so reruns agree); rows without words stay.  All columns are kept.
     """
     parts = link_components(docs).where("n_shingles > 0")
     rows = parts.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r")) \
@@ -262,7 +262,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
                          F.xxhash64(docs["text"]).alias("t"),
                          F.coalesce(~docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(True)).alias("blank"))
     one = packed.where("not blank").join(rows, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")), "left_semi")
-    one = one.groupBy("d", "t").agg(F.first("row").alias("row"))
+    one = one.groupBy("d", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return one.select("row.*").unionByName(packed.where("blank").select("row.*"))
 
 
