@@ -5,13 +5,14 @@ words, every window of m consecutive words of a document is compared with it.  T
 the weighted Jaccard of the five-word shingles, weighted by how often each occurs: sum of the
 smaller counts over sum of the larger ones; 0.75 or more is a leak.
 
-1. A Bloom filter of fixed size (2**22 bits, 512 kB) holds (m, shingle) of all items.  A window that
-   can reach 0.75 has at least 6/7 of its shingles among those of items of its size, so only such
-   windows get a fingerprint.  The filter errs on the side of more windows, never fewer.
+1. A Bloom filter of BITS_EACH bits a shingle (2**16 to 2**26 bits, 8 MB at most) holds (m, shingle) of
+   all items.  A window that can reach 0.75 has at least 6/7 of its shingles among those of items of its
+   size, so only such windows get a fingerprint.  The filter errs on the side of more windows, never fewer.
 2. A window's and an item's fingerprint is the 64-bit SimHash of their words.  Multi-index: the 64
-   bits are cut into RADIUS + 1 blocks, and a window meets an item of its size if one block is
-   equal; by the pigeonhole principle that finds every pair within RADIUS bits.  The join is a
-   shuffle of both sides, whatever the benchmark's size.
+   bits are cut into BLOCKS blocks of 16 bits; an item looks for windows of its size in every block with
+   its own bits and all that differ from them in up to NEAR bits (137 values).  By the pigeonhole principle
+   that finds every pair within RADIUS bits, while a pair of random fingerprints meets with probability
+   4 * 137 / 2**16, below 1 %.  The join is a shuffle of both sides, whatever the benchmark's size.
 3. Pairs farther apart are found by a shared shingle: of two sorted lists of a and b shingles with
    at least o in common, the first a - o + 1 and the first b - o + 1 hold a common one.  So no pair
    that reaches 0.75 depends on its fingerprints.
@@ -26,6 +27,8 @@ tables give an empty result; other columns are ignored by ``leaks`` and carried
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +41,10 @@ from postlens.session import ship
 
 SHINGLE = 5
 SIMILARITY = 0.75
-RADIUS = 16
-BLOOM_BITS = 22
+BLOCKS, BLOCK_BITS, NEAR = 4, 16, 2
+RADIUS = BLOCKS * (NEAR + 1) - 1
+BITS_EACH = 16
+MIN_BITS, MAX_BITS = 16, 26
 
 
 def simhash(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
@@ -51,10 +56,10 @@ def simhash(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     return (major.astype(U) << np.arange(64, dtype=U)).sum(1, dtype=U)
 
 
-def _cells(m: int, shingles: np.ndarray) -> list[np.ndarray]:
+def _cells(m: int, shingles: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(shingles ^ U(m * 0x9E3779B97F4A7C15 % (1 << 64)))
-    keep = U((1 << BLOOM_BITS) - 1)
-    return [(h & keep).astype(np.int64), (h >> U(64 - BLOOM_BITS)).astype(np.int64)]
+    keep = U((1 << bits) - 1)
+    return [(h & keep).astype(np.int64), (h >> U(64 - bits)).astype(np.int64)]
 
 
 def item_rows(batches):
@@ -75,26 +80,34 @@ def item_rows(batches):
             schema=pa.schema([("item_id", pa.int64()), ("m", pa.int32()), ("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
 
 
-def _filter_cells(batches):
-    for batch in batches:
-        cells = [np.concatenate(_cells(m, np.array(s, np.int64).view(U))) for m, s in
-                 zip(batch.column("m").to_pylist(), batch.column("shingles").to_pylist(), strict=True)]
-        cells = np.unique(np.concatenate(cells)) if cells else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cells >> 6), pa.array(as_long(U(1) << (cells & 63).astype(U)))], ["word", "bits"])
+def _filter_cells(bits: int):
+    def run(batches):
+        for batch in batches:
+            cells = [np.concatenate(_cells(m, np.array(s, np.int64).view(U), bits)) for m, s in
+                     zip(batch.column("m").to_pylist(), batch.column("shingles").to_pylist(), strict=True)]
+            cells = np.unique(np.concatenate(cells)) if cells else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells >> 6), pa.array(as_long(U(1) << (cells & 63).astype(U)))], ["word", "bits"])
+    return run
+
+
+def filter_bits(shingles: int) -> int:
+    """log2 of the filter's bits for so many shingles."""
+    return min(max((BITS_EACH * max(shingles, 1) - 1).bit_length(), MIN_BITS), MAX_BITS)
 
 
 def benchmark_filter(items: DataFrame) -> np.ndarray:
-    """Bit table of 2**BLOOM_BITS bits, as bytes of 0 or 1; built by Spark, at most 2**16 rows to the driver."""
-    rows = (arrow_job(items.select("m", "shingles"), _filter_cells, "word long, bits long")
-            .groupBy("word").agg(F.bit_or("bits").alias("bits")).collect())
-    table = np.zeros(1 << (BLOOM_BITS - 6), U)
+    """Bit table of the items' shingles in words of 64 bits; built by Spark, a row a word to the driver."""
+    bits = filter_bits(items.agg(F.sum(F.size("shingles"))).first()[0] or 0)
+    rows = (arrow_job(items.select("m", "shingles"), _filter_cells(bits), "word long, bits long")
+            .groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator())
+    table = np.zeros(1 << (bits - 6), U)
     for r in rows:
         table[r["word"]] = np.int64(r["bits"]).view(U)
     return table
 
 
 def _in(table: np.ndarray, m: int, shingles: np.ndarray) -> np.ndarray:
-    a, b = _cells(m, shingles)
+    a, b = _cells(m, shingles, len(table).bit_length() + 5)
     hit = (table[a >> 6] >> (a & 63).astype(U)) & U(1) > 0
     hit[hit] = (table[b[hit] >> 6] >> (b[hit] & 63).astype(U)) & U(1) > 0
     return hit
@@ -174,11 +187,18 @@ def similarity_udf(spark):
 
 
 def blocks(fp: str) -> F.Column:
-    """The fingerprint's RADIUS + 1 blocks of bits, each with its number."""
-    edges = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+    """The fingerprint's blocks of bits, each with its number."""
     return F.array(*[F.struct(F.lit(k).alias("block"),
-                              (F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit((1 << (b - a)) - 1))).cast("int").alias("part"))
-                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+                              F.shiftrightunsigned(F.col(fp), BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("part"))
+                     for k in range(BLOCKS)])
+
+
+def probes(fp: str) -> F.Column:
+    """The blocks, and all that differ from one in up to NEAR bits."""
+    masks = [sum(1 << b for b in c) for n in range(NEAR + 1) for c in combinations(range(BLOCK_BITS), n)]
+    near = F.array(*[F.lit(m) for m in masks])
+    return F.flatten(F.transform(blocks(fp), lambda x: F.transform(near, lambda m: F.struct(
+        x["block"].alias("block"), x["part"].bitwiseXOR(m).alias("part")))))
 
 
 def firsts(least_cells) -> F.Column:
@@ -206,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     .withColumn("w", F.xxhash64("doc_id", "th", "m", "start")), "windows")
 
     left = found.select("w", "m", "fp", F.inline(blocks("fp")))
-    right = items.select("item_id", "m", F.col("fp").alias("item_fp"), F.inline(blocks("fp")))
+    right = items.select("item_id", "m", F.col("fp").alias("item_fp"), F.inline(probes("fp")))
     near = (left.join(right, ["m", "block", "part"])
             .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
             .where(F.col("distance") <= RADIUS)

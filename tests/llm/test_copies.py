@@ -196,3 +196,25 @@ def test_empty_tables(spark, frame):
     assert ngram_join.keep_one(empty).count() == 0
     assert decontam.leaks(empty, bench).count() == 0
     assert decontam.leaks(frame(["a b c d e f g"]), bench.limit(0)).count() == 0
+
+
+def test_probes_meet_all_within_the_radius_and_few_others(spark):
+    r = random.Random(9)
+    pairs = []
+    for distance in list(range(decontam.RADIUS + 1)) * 20:
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), distance):
+            b ^= 1 << bit
+        pairs.append((a, b))
+    far = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(3000)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(k, signed(a), signed(b)) for k, (a, b) in enumerate(pairs + far)], "k long, a long, b long")
+    x = df.select("k", decontam.blocks("a").alias("x"), decontam.probes("b").alias("y"))
+    met = {row.k for row in x.where("arrays_overlap(x, y)").collect()}
+    assert set(range(len(pairs))) <= met
+    assert len(met) - len(pairs) < 3000 * 0.02
+
+
+def test_filter_follows_the_benchmark():
+    assert [decontam.filter_bits(n) for n in (0, 4096, 4097, 10**6, 10**9)] == [16, 16, 17, 24, 26]
