@@ -1,12 +1,17 @@
 """Edit-aware token counts: a segment tree over runs of pre-tokens for each document.
 
 A text is cut into leaves of at least ``LEAF`` characters, at places that are always borders of the
-tokenizer's pre-tokens: before a single space between two characters that are no white space.  A
-leaf's tokens are the tokens of its text alone, so their sum is the count of the whole text.  The
-sums of the leaves form a binary tree.  An edit replaces the characters start:end; only the leaves
+tokenizer's pre-tokens: before a single space between two characters that are no white space, and
+between letters, digits and signs that meet (but not behind an apostrophe), so texts without spaces are
+cut too.  A leaf's tokens are the tokens of its text alone, so their sum is the count of the whole text.
+The sums of the leaves form a binary tree.  An edit replaces the characters start:end; only the leaves
 that it touches and one neighbour on either side (whose border could have moved) are encoded again,
-and the sums above them updated.  ``Tree.state`` and ``Tree(text, counts)`` keep a tree between jobs as
-the lengths and counts of its leaves, so a stored tree is opened without encoding.
+and the sums above them updated.
+
+Trees are kept beside the documents as the lengths and counts of their leaves: ``with_trees`` encodes a
+text once and writes them, ``edited`` opens a kept tree without encoding, applies edits and returns the
+edited text with its tree, ready for the next edit.  ``edited_counts`` builds the trees, keeps them in a
+table, and edits twice.
 
 Edits are given in the text's own positions, ``array<struct<start,end,text>>``.  They are applied
 from the last to the first, so earlier positions stay valid.
@@ -25,9 +30,12 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from postlens.llm.jobs import written
 from postlens.session import ship
 
 LEAF = 512
@@ -36,6 +44,10 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# where one of the pattern's alternatives always ends
+BORDER = regex.compile(r"(?<=\S) (?=\S)|(?<=\p{L})(?=[\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])|(?<=[\p{P}\p{S}])(?<!['])(?=[\p{L}\p{N}])")
+
+
 @lru_cache(maxsize=2)
 def encoder(ranks: bytes):
     import tiktoken
@@ -50,12 +62,9 @@ def count(enc, text: str) -> int:
 def leaves(text: str, size: int = LEAF) -> list[str]:
     """The text cut at borders of pre-tokens."""
     out, begin, at = [], 0, size
-    while (at := text.find(" ", at)) >= 0 and at + 1 < len(text):
-        if not text[at - 1].isspace() and not text[at + 1].isspace():
-            out.append(text[begin:at])
-            begin, at = at, at + size
-        else:
-            at += 1
+    while m := BORDER.search(text, at):
+        out.append(text[begin:m.start()])
+        begin, at = m.start(), m.start() + size
     out.append(text[begin:])
     return out if text else []
 
@@ -182,53 +191,95 @@ def _ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-RESULT = "struct<n_tokens:long,n_edits:int,n_tokens_edited:long,n_encoded:long,lengths:array<int>,counts:array<int>>"
+_TREE = "lengths:array<int>,counts:array<int>"
+BUILT = f"struct<n_tokens:long,{_TREE}>"
+EDITED = f"struct<text:string,n_edits:int,n_tokens:long,n_encoded:long,{_TREE}>"
+_TYPES = {"text": pa.string(), "n_edits": pa.int32(), "n_tokens": pa.int64(), "n_encoded": pa.int64(),
+          "lengths": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())}
+
+
+def _structs(rows: list[tuple], names: list[str]) -> pa.StructArray:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.StructArray.from_arrays([pa.array(list(c), _TYPES[n]) for c, n in zip(cols, names, strict=True)], names)
+
+
+def _state(tree: Tree) -> tuple[list[int], list[int]]:
+    lengths, counts = tree.state()
+    kept = [(a, b) for a, b in zip(lengths, counts, strict=True) if a]
+    return [a for a, _ in kept], [b for _, b in kept]
+
+
+def with_trees(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """``docs`` with ``tree``: struct(n_tokens, lengths, counts) of column ``text``, all of it encoded once."""
+    ship(docs.sparkSession)
+    ranks = _ranks(docs.sparkSession, path)
+
+    @arrow_udf(BUILT)
+    def build(text: pa.Array) -> pa.Array:
+        enc = encoder(ranks.value)
+        trees = (Tree(t.as_py() or "", enc) for t in text)
+        return _structs([(t.total, *_state(t)) for t in trees], ["n_tokens", "lengths", "counts"])
+    return docs.withColumn("tree", build("text"))
 
 
-def count_udf(spark: SparkSession, path: str = RANKS, derive=None):
-    """(text, edits) -> RESULT; with ``derive`` (text -> edits) it takes the text alone.
+def edit_udf(spark: SparkSession, path: str = RANKS, derive=None):
+    """(text, lengths, counts, edits) -> EDITED; with ``derive`` (text -> edits) it takes no edits.
 
-    ``n_encoded`` is the number of characters encoded again because of the edits; lengths and counts
-    are the edited tree's leaves.
+    ``n_encoded`` is the number of characters encoded because of the edits.
     """
     ship(spark)
     ranks = _ranks(spark, path)
 
-    def one(enc, text, edits):
-        tree = Tree(text, enc)
-        before, tree.encoded = tree.total, 0
+    def one(enc, text, lengths, counts, edits):
+        # without a kept tree the text is encoded first, which doesn't count as edited
+        tree = Tree(text, enc, None if lengths is None or counts is None else (lengths, counts))
+        tree.encoded = 0
         n = tree.apply(edits)
-        lengths, counts = tree.state()
-        kept = [(a, b) for a, b in zip(lengths, counts, strict=True) if a]
-        return before, n, tree.total, tree.encoded, [a for a, _ in kept], [b for _, b in kept]
+        return tree.text(), n, tree.total, tree.encoded, *_state(tree)
 
-    def result(rows):
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)],
-                                          ["n_tokens", "n_edits", "n_tokens_edited", "n_encoded", "lengths", "counts"])
+    def run(text, lengths, counts, edits):
+        enc = encoder(ranks.value)
+        rows = zip((x.as_py() or "" for x in text), (x.as_py() for x in lengths), (x.as_py() for x in counts), edits, strict=True)
+        return _structs([one(enc, t, a, b, derive(t) if derive else e) for t, a, b, e in rows],
+                        ["text", "n_edits", "n_tokens", "n_encoded", "lengths", "counts"])
 
     if derive is not None:
-        @arrow_udf(RESULT)
-        def derived(text: pa.Array) -> pa.Array:
-            enc = encoder(ranks.value)
-            return result([one(enc, t or "", derive(t or "")) for t in (x.as_py() for x in text)])
+        @arrow_udf(EDITED)
+        def derived(text: pa.Array, lengths: pa.Array, counts: pa.Array) -> pa.Array:
+            return run(text, lengths, counts, [None] * len(text))
         return derived
 
-    @arrow_udf(RESULT)
-    def given(text: pa.Array, edits: pa.Array) -> pa.Array:
-        enc = encoder(ranks.value)
-        return result([one(enc, t or "", [(e["start"], e["end"], e["text"]) for e in es or () if e is not None])
-                       for t, es in zip((x.as_py() for x in text), (x.as_py() for x in edits), strict=True)])
+    @arrow_udf(EDITED)
+    def given(text: pa.Array, lengths: pa.Array, counts: pa.Array, edits: pa.Array) -> pa.Array:
+        return run(text, lengths, counts, [[(e["start"], e["end"], e["text"]) for e in x.as_py() or () if e is not None] for x in edits])
     return given
 
 
+def edited(docs: DataFrame, out: str = "edited", path: str = RANKS, derive=None, tree: str = "tree", text: str = "text") -> DataFrame:
+    """``docs`` with struct(text, n_edits, n_tokens, n_encoded, lengths, counts) after the edits of column
+    ``edits`` (or those that ``derive`` makes), from the kept tree in ``tree``."""
+    args = [text, f"{tree}.lengths", f"{tree}.counts", *([] if derive else ["edits"])]
+    return docs.withColumn(out, edit_udf(docs.sparkSession, path, derive)(*args))
+
+
+def blank_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits of a later step: blanks at the ends of lines go, and more than one empty line becomes one."""
+    return [(m.start(), m.end(), "\n\n" if m.group().count("\n") > 1 else "\n") for m in _BLANKS.finditer(text)]
+
+
+_BLANKS = re.compile(r"(?<![ \t\n])[ \t]+\n[ \t\n]*|(?<![ \t\n])\n[ \t]*\n[ \t]*\n[ \t\n]*")
+
+
 def edited_counts(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id, n_tokens, n_edits, n_tokens_edited, n_encoded for each row of ``docs``: with the
-    column ``edits`` if there is one, else with ``cleaning_edits``."""
-    spark = docs.sparkSession
-    if "edits" in docs.columns:
-        r = count_udf(spark, path)("text", "edits")
-    else:
-        r = count_udf(spark, path, cleaning_edits)("text")
-    return docs.select("doc_id", r.alias("r")).select("doc_id", "r.n_tokens", "r.n_edits", "r.n_tokens_edited", "r.n_encoded")
+    """doc_id, n_tokens, n_edits, n_tokens_edited, n_encoded, n_edits_later, n_tokens_later, n_encoded_later
+    for each row of ``docs``: trees are built and kept in a table; the edits of column ``edits`` (if there is
+    one, else ``cleaning_edits``) are applied to the kept trees, and ``blank_edits`` to what these leave."""
+    given = "edits" in docs.columns
+    own = docs.select("doc_id", "text", *(["edits"] if given else []))
+    kept = written(with_trees(own, path), "trees")
+    first = edited(kept, "first", path, None if given else cleaning_edits)
+    second = edited(first, "second", path, blank_edits, tree="first", text="first.text")
+    return second.select("doc_id", F.col("tree.n_tokens").alias("n_tokens"), F.col("first.n_edits").alias("n_edits"),
+                         F.col("first.n_tokens").alias("n_tokens_edited"), F.col("first.n_encoded").alias("n_encoded"),
+                         F.col("second.n_edits").alias("n_edits_later"), F.col("second.n_tokens").alias("n_tokens_later"),
+                         F.col("second.n_encoded").alias("n_encoded_later"))

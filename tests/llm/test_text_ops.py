@@ -386,3 +386,39 @@ def test_pages_without_article_or_main(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     for r in html_lstm.extract(df).collect():
         assert r.text == f"{words} {r.page_id}. {words} again, {r.page_id}."
+
+
+def test_kept_trees_are_edited_again(spark, frame):
+    """The second edit starts from the tree that the first left; only touched leaves are encoded."""
+    enc = token_counts.encoder(open(token_counts.RANKS, "rb").read())
+    line = prose(8, 4000)
+    t = [f"{line}\n{prose(9, 50)} \n\n\n\n{prose(9, 50)}\nend", None, "x \n\n \n\ny"]
+    for r in token_counts.edited_counts(frame(t)).collect():
+        once = edited(t[r.doc_id] or "", token_counts.cleaning_edits(t[r.doc_id] or ""))
+        twice = edited(once, token_counts.blank_edits(once))
+        assert (r.n_tokens_edited, r.n_tokens_later) == (len(enc.encode_ordinary(once)), len(enc.encode_ordinary(twice)))
+        assert r.n_encoded_later < 8 * token_counts.LEAF
+    trees = token_counts.with_trees(spark.createDataFrame([(1, "a b " * 500, [(3, 4, "new")])], "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>"))
+    e = token_counts.edited(trees).select("edited.*").first()
+    want = "a bnew" + ("a b " * 500)[4:]
+    assert e.text == want and e.n_tokens == len(enc.encode_ordinary(want)) == sum(e.counts) and sum(e.lengths) == len(want)
+    assert 0 < e.n_encoded < 4 * token_counts.LEAF
+
+
+def test_texts_without_spaces_are_cut():
+    enc = token_counts.encoder(open(token_counts.RANKS, "rb").read())
+    t = "你好，世界。x1" * 4000
+    tree = token_counts.Tree(t, enc)
+    assert max(map(len, tree.leaves)) < 2 * token_counts.LEAF and tree.total == len(enc.encode_ordinary(t))
+    tree.encoded = 0
+    tree.apply([(9000, 9004, "'s ok")])
+    assert tree.total == len(enc.encode_ordinary(tree.text())) and tree.encoded < 6 * token_counts.LEAF
+
+
+def test_leaves_are_cut_where_tokens_end():
+    enc = token_counts.encoder(open(token_counts.RANKS, "rb").read())
+    r = random.Random(3)
+    for _ in range(2000):
+        t = "".join(r.choice("ab2Z 1.,!'’\"-_ \n\t你，。ñ$# 's 'll") for _ in range(r.randrange(50)))
+        cut = token_counts.leaves(t, r.choice([1, 2, 5]))
+        assert "".join(cut) == t and sum(token_counts.count(enc, x) for x in cut) == token_counts.count(enc, t)
