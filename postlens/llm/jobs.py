@@ -66,12 +66,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+SAMPLE_BYTES = 1 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """((label, text) of at most ``per_class`` rows of each label, counts of each label).
 
     The rows are those with the smallest hash of doc_id; held-out rows and rows without a label or
     a doc_id are left out, several labels of a document count as their largest.  At most
-    2 * per_class ids are broadcast.
+    2 * per_class ids are broadcast, and as many texts come back: the smallest of a repeated id, and
+    only texts of at most SAMPLE_BYTES teach.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out("doc_id"))
              .groupBy("doc_id").agg(F.max(column).cast("int").alias("label")))
@@ -80,5 +84,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     for label in (0, 1):
         some = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.union(some)
-    texts = docs.select("doc_id", "text").where("text is not null")
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text"), counts
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    one = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return one.select("doc_id", "label", "text"), counts
