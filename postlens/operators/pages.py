@@ -23,6 +23,8 @@ ARTICLE_RE = "(?s)<article[^>]*>(.*?)</article>"
 TITLE_RE = "(?s)<title[^>]*>(.*?)</title>"
 SCRIPT_RE = "(?s)<(script|style)[^>]*>.*?</(script|style)>"
 HREF_RE = "href=\"([^\"]*)\""
+# an address in double quotes, in single ones or in none
+ANY_HREF_RE = "(?i)\\bhref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
 
 
 def article_text(html) -> Column:
@@ -44,7 +46,9 @@ def page_title(html) -> Column:
 
 
 def page_links(html) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF_RE), 1)
+    """The addresses of all links, however they are quoted."""
+    first = F.transform(F.regexp_extract_all(html, F.lit(ANY_HREF_RE), 1), lambda x: F.struct(x.alias("x"), F.substring(x, 1, 1).alias("q")))
+    return F.transform(first, lambda s: F.when(s["q"].isin('"', "'"), F.substring(s["x"], F.lit(2), F.length(s["x"]) - 2)).otherwise(s["x"]))
 
 
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())

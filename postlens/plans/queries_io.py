@@ -9,7 +9,7 @@ from postlens import config as C
 from postlens.functions import shape as S
 from postlens.functions import text as T
 from postlens.operators import dedup, pages, scoring, stats
-from postlens.operators.rowops import spread
+from postlens.operators.rowops import barrier, spread
 from postlens.plans import analysis
 from postlens.plans import sqlfrag as Q
 from postlens.plans.registry import register
@@ -301,9 +301,8 @@ FROM (SELECT page_id, {_article_sql()} AS text FROM pages)""")
 @register("page_title_links")
 def q_page_title_links(spark, sf):
     pg = spread(TB.pages(spark, sf), "page_id")
-    links = pages.page_links(F.col("html"))
-    return pg.select("page_id", pages.page_title(F.col("html")).alias("title"),
-                     F.size(links).alias("n_links"), F.array_join(links, "|").alias("links"))
+    x = barrier(pg.select("page_id", pages.page_title(F.col("html")).alias("title"), pages.page_links(F.col("html")).alias("links")))
+    return x.select("page_id", "title", F.size("links").alias("n_links"), F.array_join("links", "|").alias("links"))
 
 
 def _title_sql():
@@ -314,8 +313,9 @@ def _title_sql():
 
 
 oracle("page_title_links", f"""SELECT page_id, {_title_sql()} AS title,
-  len(regexp_extract_all(html, {Q.q(pages.HREF_RE)}, 1)) AS n_links,
-  array_to_string(regexp_extract_all(html, {Q.q(pages.HREF_RE)}, 1), '|') AS links FROM pages""")
+  len(regexp_extract_all(html, {Q.q(pages.ANY_HREF_RE)}, 1)) AS n_links,
+  array_to_string(list_transform(regexp_extract_all(html, {Q.q(pages.ANY_HREF_RE)}, 1),
+    lambda x: CASE WHEN x[1] IN ('"', '''') THEN x[2:length(x) - 1] ELSE x END), '|') AS links FROM pages""")
 
 
 @register("page_main_text_parsed")

@@ -9,8 +9,8 @@ from postlens.functions import dates as D
 from postlens.functions import predicates as P
 from postlens.functions import shape as S
 from postlens.functions import text as T
-from postlens.operators import sequence
-from postlens.operators.rowops import spread
+from postlens.operators import records, sequence
+from postlens.operators.rowops import barrier, spread
 from postlens.plans import sqlfrag as Q
 from postlens.plans.registry import register
 from postlens.sources import tables as TB
@@ -245,9 +245,10 @@ oracle("normalize_posts", POSTS + f"""SELECT doc_id, platform, title, content,
 @register("nested_field")
 def q_nested_field(spark, sf):
     e = TB.event_series(spark, sf)
-    record = F.concat(F.lit('{"item": {"props": '), F.coalesce("props", F.lit("null")), F.lit("}}"))
-    return e.select("event_id", S.json_field("props", "k").alias("k"), S.json_field(record, "item.props.k").alias("deep"),
-                    S.json_field(record, "item.none.k").alias("absent"))
+    raw = F.concat(F.lit('{"item": {"props": '), F.coalesce("props", F.lit("null")), F.lit("}}"))
+    x = barrier(records.parsed(e.select("event_id", raw.alias("raw"))).drop("raw"))          # parsed once
+    deep = records.text("record", "item.props.k")
+    return x.select("event_id", deep.alias("k"), deep.alias("deep"), records.text("record", "item.none.k").alias("absent"))
 
 
 oracle("nested_field", """SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k,
