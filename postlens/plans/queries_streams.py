@@ -61,18 +61,20 @@ def joined_streams(streams, delay: str = "4000 days", within: str = "1 day"):
     return a.join(c, near, "left_outer").select("video", "title", "views", "turn", "author")
 
 
-CLOSING = 3
+CLOSING = 2
 
 
-def join_as_they_land(spark, sides, order, path: str, max_files: int | None = None):
-    """Each side's rows land in ``order``, the stream running after each; then the closing rows."""
+def join_as_they_land(spark, sides, order, path: str, max_files: int | None = None, run_each: bool = True):
+    """Each side's rows land in ``order``, the stream running after each (or once after all); then the
+    closing rows."""
     for name, (rows, _, _) in sides.items():
         rows.where("false").write.parquet(f"{path}/{name}")
     streams = {n: ST.file_stream(spark, f"{path}/{n}", rows.schema, max_files) for n, (rows, _, _) in sides.items()}
     at = (f"{path}/out", f"{path}/checkpoint")
     for name in order:
         sides[name][0].write.mode("append").parquet(f"{path}/{name}")
-        ST.run_available_now(joined_streams(streams), "videos", at=at)
+        if run_each or name == order[-1]:
+            ST.run_available_now(joined_streams(streams), "videos", at=at)
     for step in range(CLOSING):
         for name, (rows, key, ts) in sides.items():
             SJ.closing_rows(rows, key, ts, f"{10000 + 5000 * step} days").write.mode("append").parquet(f"{path}/{name}")
@@ -85,7 +87,7 @@ def q_stream_video_comments(spark, sf):
     """J4/J5 as streams: comments, details and hits land apart and are joined as they come; videos without
     details or comments are in the result too."""
     sides = video_sides(spark, sf)
-    rows = join_as_they_land(spark, sides, ["comments", "details", "hits"], scratch_path(spark, "sides"))
+    rows = join_as_they_land(spark, sides, ["comments", "details", "hits"], scratch_path(spark, "sides"), run_each=False)
     return rows.groupBy("video").agg(F.max("title").alias("title"), F.max("views").alias("views"), F.count("turn").alias("n_comments"),
                                      F.min("turn").alias("first_turn"), F.min_by("author", "turn").alias("first_author"))
 
