@@ -203,6 +203,11 @@ def _structs(rows: list[tuple], names: list[str]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(list(c), _TYPES[n]) for c, n in zip(cols, names, strict=True)], names)
 
 
+def _in_parts(make, n: int, size: int = 256) -> pa.Array:
+    """A batch's result from parts, so that few documents are Python objects at a time."""
+    return pa.concat_arrays([make(a, min(a + size, n)) for a in range(0, max(n, 1), size)])
+
+
 def _state(tree: Tree) -> tuple[list[int], list[int]]:
     lengths, counts = tree.state()
     kept = [(a, b) for a, b in zip(lengths, counts, strict=True) if a]
@@ -217,8 +222,11 @@ def with_trees(docs: DataFrame, path: str = RANKS) -> DataFrame:
     @arrow_udf(BUILT)
     def build(text: pa.Array) -> pa.Array:
         enc = encoder(ranks.value)
-        trees = (Tree(t.as_py() or "", enc) for t in text)
-        return _structs([(t.total, *_state(t)) for t in trees], ["n_tokens", "lengths", "counts"])
+
+        def part(a, b):
+            trees = (Tree(t.as_py() or "", enc) for t in text[a:b])
+            return _structs([(t.total, *_state(t)) for t in trees], ["n_tokens", "lengths", "counts"])
+        return _in_parts(part, len(text))
     return docs.withColumn("tree", build("text"))
 
 
@@ -239,9 +247,12 @@ def edit_udf(spark: SparkSession, path: str = RANKS, derive=None):
 
     def run(text, lengths, counts, edits):
         enc = encoder(ranks.value)
-        rows = zip((x.as_py() or "" for x in text), (x.as_py() for x in lengths), (x.as_py() for x in counts), edits, strict=True)
-        return _structs([one(enc, t, a, b, derive(t) if derive else e) for t, a, b, e in rows],
-                        ["text", "n_edits", "n_tokens", "n_encoded", "lengths", "counts"])
+
+        def part(a, b):
+            rows = zip((x.as_py() or "" for x in text[a:b]), (x.as_py() for x in lengths[a:b]), (x.as_py() for x in counts[a:b]), edits[a:b], strict=True)
+            return _structs([one(enc, t, n, c, derive(t) if derive else e) for t, n, c, e in rows],
+                            ["text", "n_edits", "n_tokens", "n_encoded", "lengths", "counts"])
+        return _in_parts(part, len(text))
 
     if derive is not None:
         @arrow_udf(EDITED)
