@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+import zlib
 import re
 from collections import Counter, defaultdict
 
@@ -103,6 +104,36 @@ def test_quality(corpus, frame, labels):
     assert [r["score"] for r in quality_bt.quality(frame(["a b"]), labels([])).collect()] == [pytest.approx(0.7)]
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    ids = list(range(16000))
+    keep = [k for k in ids if zlib.crc32(str(k).encode()) % 4 != 2]
+    feature = F.when(F.col("id") % 5 == 0, F.rand(3) - 0.5).otherwise(F.rand(4))
+    rows = spark.range(len(ids)).select(F.col("id").alias("doc_id"), F.lit(False).alias("blank"), F.array(
+        F.col("id").cast("double"), feature, *[F.lit(0.0)] * (quality_bt.FEATURES - 2)).alias("x"))
+    lab = spark.range(len(ids)).select(F.col("id").alias("doc_id"), (F.col("id") % 5 > 0).cast("int").alias("quality"))
+    m = quality_bt.train(rows, lab)
+    assert m.mean[0] == pytest.approx(sum(keep) / len(keep), rel=1e-12)
+    monkeypatch.setattr(quality_bt, "GROUP", 300)
+    sizes = {0: sum(k % 5 == 0 for k in keep), 1: sum(k % 5 > 0 for k in keep)}
+    dealt = quality_bt.parts(rows.where(F.col("doc_id").isin(keep)).join(lab, "doc_id").withColumnRenamed("quality", "label"), sizes).collect()
+    seen = [(r["x"][k * quality_bt.FEATURES], y) for r in dealt for k, y in enumerate(r["label"])]
+    assert {int(k) for k, _ in seen} == set(keep) and sum(y for _, y in seen) == sizes[1]
+    assert all(0 < sum(r["label"]) < len(r["label"]) <= 1000 for r in dealt)
+
+
+def test_quantiles_are_exact(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(2), r.choice([r.gauss(0, 1), 0.25, 1e9])) for _ in range(3000)]
+    weight, at = {0: 0.3, 1: 1.7}, [0.0, 0.2, 0.5, 0.77, 1.0]
+    order = sorted(rows, key=lambda x: x[1])
+    mass, total = 0.0, sum(weight[y] for y, _ in rows)
+    want = [None] * len(at)
+    for y, u in order:
+        mass += weight[y]
+        want = [u if v is None and mass >= q * total * (1 - 1e-12) else v for v, q in zip(want, at, strict=True)]
+    assert quality_bt.quantiles(spark.createDataFrame(rows, "label int, u double"), weight, at) == want
+
+
 def test_toxicity(corpus, frame, labels):
     df, lab, texts, marks = corpus
     rows = toxicity_crf.toxicity(df, lab).collect()
