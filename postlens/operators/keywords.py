@@ -3,9 +3,9 @@
 A literal keyword list costs one search per keyword and text.  Here the keywords become an
 Aho-Corasick automaton that reports all of them in one pass, so time follows the texts and their
 hits, not the number of keywords.  The table is broadcast in parts of at most ``PART_BYTES`` (checked
-by an aggregate before anything is collected); a larger table makes more parts and one row-local pass
-for each, without a shuffle.  Texts move in Arrow batches; each Python worker builds the automaton of
-a part once.
+by an aggregate before anything is collected); a larger table makes more parts, which a worker takes
+one after the other over ``HOLD`` bytes of texts, without a shuffle.  A Python worker holds one automaton
+at a time, so its memory follows the bounds and not the table (which it keeps as packed strings).
 
 Matching is by substring of the lower-cased text, as in the literal rules; ``ignore_case=False``
 matches as written.  Occurrences of one keyword are counted from the left without overlap.  Positions
@@ -27,26 +27,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens import config as C
-from postlens.session import ship
+from postlens.session import scratch_path, ship
 
 PART_BYTES = 2 << 20               # of keywords in an automaton: some 100 MB of nodes a worker
+HOLD = 32 << 20                    # of texts in a worker that meet one automaton after the other
+SLICE = 256                        # texts whose matches are Python objects at a time
 MATCHES = "array<struct<keyword:string,n:int,first:int>>"
 
-_automata: dict[str, object] = {}
+_automaton: dict[str, tuple] = {}
 
 
-def automaton(token: str, words: list[str]):
-    """The automaton of a part; a worker keeps the last few it has built."""
-    if token not in _automata:
+def automaton(token: str, names: pa.Array) -> tuple:
+    """(automaton, keywords) of a part; a worker keeps the last one it has built."""
+    if token not in _automaton:
         import ahocorasick
-        a = ahocorasick.Automaton()
+        _automaton.clear()
+        a, words = ahocorasick.Automaton(), names.to_pylist()
         for k, w in enumerate(words):
             a.add_word(w, k)
         a.make_automaton()
-        while len(_automata) > 3:
-            _automata.pop(next(iter(_automata)))
-        _automata[token] = a
-    return _automata[token]
+        _automaton[token] = a, words
+    return _automaton[token]
 
 
 def matches_of(a, words: list[str], text: str | None) -> list[tuple[int, int, int]]:
@@ -65,18 +66,56 @@ def matches_of(a, words: list[str], text: str | None) -> list[tuple[int, int, in
     return [(k, n, s + 1) for k, (n, s, _) in seen.items()]
 
 
-def _arrow_matches(a, words: list[str], names: pa.Array, texts: pa.Array) -> pa.Array:
-    found = [matches_of(a, words, t) for t in texts.to_pylist()]
-    flat = np.array([m for f in found for m in f], np.int32).reshape(-1, 3)
-    ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-    parts = [names.take(pa.array(flat[:, 0])), pa.array(flat[:, 1]), pa.array(flat[:, 2])]
+def _hits(a, words: list[str], texts: pa.Array) -> np.ndarray:
+    """Rows (row, keyword's number, n, first) of a column of texts."""
+    out = [np.zeros((0, 4), np.int32)]
+    for at in range(0, len(texts), SLICE):
+        found = [(at + k, *m) for k, t in enumerate(texts.slice(at, SLICE).to_pylist()) for m in matches_of(a, words, t)]
+        out.append(np.array(found, np.int32).reshape(-1, 4))
+    return np.concatenate(out)
+
+
+def _as_lists(rows: int, names: list[pa.Array], hits: list[np.ndarray]) -> pa.Array:
+    """The matches of a batch from the hits of each part."""
+    words = pa.concat_arrays([w.take(pa.array(h[:, 1])) for w, h in zip(names, hits, strict=True)])
+    flat = np.concatenate(hits)
+    by = np.argsort(flat[:, 0], kind="stable")
+    ends = np.searchsorted(flat[by, 0], np.arange(rows + 1)).astype(np.int32)
+    parts = [words.take(pa.array(by)), pa.array(flat[by, 2]), pa.array(flat[by, 3])]
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["keyword", "n", "first"]))
 
 
+def match_batches(parts: list[tuple[str, pa.Array]], batches: Iterator[pa.RecordBatch], hold: int = HOLD) -> Iterator[pa.RecordBatch]:
+    """``batches`` with ``_found``, the matches of ``_text`` with the keywords of all parts (token, keywords)."""
+    order, names = list(range(len(parts))), [w for _, w in parts]
+    held, size = [], 0
+
+    def matched():
+        hits = [[None] * len(parts) for _ in held]
+        for k in order:
+            a, words = automaton(*parts[k])
+            for mine, batch in zip(hits, held, strict=True):
+                mine[k] = _hits(a, words, batch.column("_text"))
+        order.reverse()                            # the next texts begin with the automaton at hand
+        for mine, batch in zip(hits, held, strict=True):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _as_lists(batch.num_rows, names, mine)], names=[*batch.schema.names, "_found"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= hold or len(parts) == 1:
+            yield from matched()
+            held, size = [], 0
+    if held:
+        yield from matched()
+
+
 def keyword_parts(keywords: DataFrame, ignore_case: bool = True, part_bytes: int = PART_BYTES) -> Iterator[list[str]]:
     """The distinct keywords in parts of bounded size; one part at a time is collected."""
-    word = F.col(keywords.columns[0])
-    words = keywords.select((F.lower(word) if ignore_case else word).alias("w")).where("w is not null and w <> ''").distinct()
+    word, spark = F.col(keywords.columns[0]), keywords.sparkSession
+    path = scratch_path(spark, "keywords")
+    keywords.select((F.lower(word) if ignore_case else word).alias("w")).where("w is not null and w <> ''").distinct().write.parquet(path)
+    words = spark.read.schema("w string").parquet(path)
     total = words.agg(F.sum(F.octet_length("w"))).first()[0] or 0
     n = -(-total // part_bytes)
     for k in range(n):
@@ -90,21 +129,19 @@ def with_matches(df: DataFrame, text_col: str, keywords: DataFrame, out: str = "
     spark = df.sparkSession
     text = F.coalesce(F.lower(text_col) if ignore_case else F.col(text_col), F.lit(""))
     own = df.columns
-    x = df.withColumns({"_text": text, out: F.array().cast(MATCHES)})
+    x = df.withColumn("_text", text)
     ship(spark)
-    for words in keyword_parts(keywords, ignore_case, part_bytes):
-        table, token = spark.sparkContext.broadcast(words), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], table=table, token=token) -> Iterator[pa.RecordBatch]:
-            words = table.value
-            a, names = automaton(token, words), pa.array(words, pa.string())
-            for batch in batches:
-                found = _arrow_matches(a, words, names, batch.column("_text"))
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_found"])
+    tables = [(uuid.uuid4().hex, spark.sparkContext.broadcast(pa.array(words, pa.string())))
+              for words in keyword_parts(keywords, ignore_case, part_bytes)]
+    if tables:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return match_batches([(token, table.value) for token, table in tables], batches)
 
         schema = T.StructType([*x.schema.fields, T.StructField("_found", T._parse_datatype_string(MATCHES))])
-        x = x.mapInArrow(run, schema).withColumn(out, F.concat(out, "_found")).drop("_found")
-    order = F.array_sort(F.transform(out, lambda m: F.struct(m["first"].alias("first"), m["keyword"].alias("keyword"), m["n"].alias("n"))))
+        x = x.mapInArrow(run, schema)
+    else:
+        x = x.withColumn("_found", F.array().cast(MATCHES))
+    order = F.array_sort(F.transform("_found", lambda m: F.struct(m["first"].alias("first"), m["keyword"].alias("keyword"), m["n"].alias("n"))))
     done = F.transform(order, lambda m: F.struct(m["keyword"].alias("keyword"), m["n"].alias("n"), m["first"].alias("first")))
     return x.select(*own, done.alias(out))
 

@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,23 @@ def test_matches_equal_search(spark, part_bytes):
         assert [(m["first"], m["keyword"], m["n"]) for m in r.matches] == plain_matches(TEXTS[r.doc_id], WORDS)
 
 
+def test_one_automaton_at_a_time(spark):
+    """However many parts a table has, a task has one Python worker and that one automaton."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, content string")
+    words = spark.createDataFrame([(w,) for w in WORDS], "keyword string")
+    assert len(list(K.keyword_parts(words, part_bytes=6))) > 2
+    plan = K.with_matches(df, "content", words, part_bytes=6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    texts = [(t or "").lower() for t in TEXTS]
+    parts = [(f"t{k}", pa.array(w)) for k, w in enumerate((["ab", "a"], ["aba"], ["bridge", "the"]))]
+    batches = [pa.RecordBatch.from_pydict({"_text": texts[k:k + 2]}) for k in range(0, len(texts), 2)]
+    for hold in (1, 40, 1 << 20):
+        found = [f for b in K.match_batches(parts, iter(batches), hold) for f in b.column("_found").to_pylist()]
+        assert [sorted((m["first"], m["keyword"], m["n"]) for m in f) for f in found] == \
+            [plain_matches(t, ["ab", "a", "aba", "bridge", "the"]) for t in texts]
+        assert len(K._automaton) == 1
+
+
 def test_matches_as_written_and_empty_table(spark):
     df = spark.createDataFrame([(1, "The the")], "doc_id long, content string")
     words = spark.createDataFrame([("The",), ("THE",)], "keyword string")
