@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from postlens import config as C
 from postlens.functions import predicates as P
 from postlens.functions import text as T
-from postlens.session import ship
+from postlens.session import scratch_path, ship
 
 
 def _c(c) -> Column:
@@ -282,7 +282,7 @@ def vote_array(votes) -> Column:
 
 # ---------------------------------------------------------------- M1 naive Bayes
 
-HOT_WORDS = 4096
+HOT_WORDS = 1 << 17
 
 
 def naive_bayes(train: DataFrame, apply: DataFrame, text_col: str = "text",
@@ -291,26 +291,31 @@ def naive_bayes(train: DataFrame, apply: DataFrame, text_col: str = "text",
 
     Returns (weights, predictions of ``apply``).  The model is a table of one row per word with the
     difference of its log likelihoods, so the vocabulary is as large as it is and never leaves the
-    executors.  Words are counted per document before they meet the table, and frequent words are
-    combined before the shuffle.  Words that training has not seen say nothing.
+    executors; the counts are written once.  The most frequent words meet a broadcast and are summed per
+    document before anything moves.  Each other occurrence moves once to its word and its weight once
+    to its document; such a word has less than 1 / ``HOT_WORDS`` of the training words.  Words that
+    training has not seen say nothing.
     """
+    spark = train.sparkSession
     t = train.select(key, F.col(label_col).cast("int").alias("label"), F.explode(T.tokens(text_col)).alias("word"))
-    counts = t.groupBy("word").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    path = scratch_path(spark, "word-counts")
+    (t.groupBy("word").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+     .write.parquet(path))
+    counts = spark.read.schema("word string, n0 long, n1 long").parquet(path)
     total = counts.agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), F.count(F.lit(1)).alias("v")).first()
     docs = train.agg(F.count_if(F.col(label_col) == 0).alias("d0"), F.count_if(F.col(label_col) == 1).alias("d1")).first()
     s0, s1, v = (float(total[k] or 0) for k in ("s0", "s1", "v"))
+    hot = (F.col("n0") + F.col("n1")) >= max(s0 + s1, 1.0) / HOT_WORDS
     weights = counts.select("word", (F.log(F.col("n1") + 1.0) - F.log(F.col("n0") + 1.0)
-                                     - F.lit(math.log(s1 + v) - math.log(s0 + v) if v else 0.0)).alias("weight"))
+                                     - F.lit(math.log(s1 + v) - math.log(s0 + v) if v else 0.0)).alias("weight"), hot.alias("hot"))
     prior = math.log(max(docs["d1"], 0.5)) - math.log(max(docs["d0"], 0.5))
-    # the most frequent words are in nearly every document: they are looked up by a broadcast of at most
-    # HOT_WORDS rows and summed per document before anything moves; the others spread over their words
-    hot = (F.col("n0") + F.col("n1")) >= max(s0 + s1, 1.0) / HOT_WORDS
-    marked = counts.select("word", hot.alias("hot")).where("hot").select("word")
-    often = F.broadcast(weights.join(F.broadcast(marked), "word", "left_semi"))
-    words = apply.select(key, F.explode(T.tokens(text_col)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    rare = words.join(F.broadcast(marked), "word", "left_anti").join(weights, "word")
-    parts = words.join(often, "word").select(key, "n", "weight").unionByName(rare.select(key, "n", "weight"))
-    odds = parts.groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias("odds"))
+    often = F.broadcast(weights.where("hot").select("word", F.col("weight").alias("known")))
+    words = apply.select(key, F.explode(T.tokens(text_col)).alias("word")).join(often, "word", "left")
+    # one pass over the texts: a row's own sum of frequent words, and its other words as they are
+    rare = words.where("known is null").select(key, "word").join(weights.where("not hot").select("word", "weight"), "word")
+    parts = (words.where("known is not null").groupBy(key).agg(F.sum("known").alias("weight"))
+             .unionByName(rare.groupBy(key).agg(F.sum("weight").alias("weight"))))
+    odds = parts.groupBy(key).agg(F.sum("weight").alias("odds"))
     pred = (apply.select(key).join(odds, key, "left")
             .select(key, (F.coalesce("odds", F.lit(0.0)) + F.lit(prior) > 0).cast("int").alias("prediction")))
-    return weights, pred
+    return weights.drop("hot"), pred

@@ -1,6 +1,9 @@
 """Trained members: held-out accuracy, calibration, and the logistic member against a plain optimum."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,3 +99,24 @@ def test_logistic_member_is_near_the_optimum(spark):
     m = M._estimator("words-logistic").fit(df)
     got, _ = loss(m.coefficientMatrix.toArray().T[words], m.interceptVector.toArray())
     assert got < loss(w, b)[0] + 0.01
+
+
+def test_naive_bayes_moves_a_word_once(spark, monkeypatch):
+    """Equal to counting in Python, with and without frequent words; no shuffle by document and word."""
+    r = random.Random(7)
+    texts = [(k, " ".join(r.choice(["the", "a", f"w{r.randrange(60)}", f"x{k % 2}"]) for _ in range(30)), k % 2) for k in range(60)]
+    texts += [(60, "the unseen word", None), (61, "", 1), (62, None, 0), (5, "x0 the again", 1)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, label int")
+    seen = {y: Counter(w for _, t, label in texts if label == y for w in (t or "").split()) for y in (0, 1, None)}
+    size, v = {y: sum(seen[y].values()) for y in (0, 1)}, len(seen[0] | seen[1] | seen[None])
+    prior = math.log(sum(t[2] == 1 for t in texts)) - math.log(sum(t[2] == 0 for t in texts))
+    odds = Counter({k: prior for k, _, _ in texts})
+    for k, t, _ in texts:
+        odds[k] += sum(math.log(seen[1][w] + 1) - math.log(seen[0][w] + 1) - math.log(size[1] + v) + math.log(size[0] + v) for w in (t or "").split())
+    for hot in (2, 40, 1 << 17):
+        monkeypatch.setattr(scoring, "HOT_WORDS", hot)
+        weights, pred = scoring.naive_bayes(df, df.select("doc_id", "text"))
+        assert weights.columns == ["word", "weight"] and weights.count() == v
+        assert all(abs(o) > 1e-9 for o in odds.values())
+        assert sorted(map(tuple, pred.collect())) == sorted((k, int(odds[k] > 0)) for k, _, _ in texts)
+        assert not re.search(r"hashpartitioning\(doc_id#\d+L?, word", pred._jdf.queryExecution().executedPlan().toString())
