@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import HashingTF
@@ -50,30 +51,33 @@ def fold(key) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
 
 
-def _shape(text: str, tokens: str) -> Column:
-    """Measures of a text that don't depend on which words it holds."""
+def _shape(text: str, tokens: str, distinct: str) -> Column:
+    """Measures of a text that don't depend on which words it holds; ``distinct``: its different tokens."""
     t, w = F.col(text), F.col(tokens)
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
     words = F.greatest(F.size(w), F.lit(1)).cast("double")
 
     def share(chars: str) -> Column:
-        return F.length(F.regexp_replace(t, f"[^{chars}]", "")) / n
+        # runs of the class are few beside the characters outside it
+        return (F.length(t) - F.length(F.regexp_replace(t, f"[{chars}]+", ""))) / n
 
     lines = F.split(t, "\n")
     return F.array(F.log1p(n), F.log1p(words), share("A-Z"), share("0-9"), share("\\p{P}\\p{S}"), share("\\s"),
-                   F.size(F.array_distinct(w)) / words, F.aggregate(w, F.lit(0.0), lambda a, x: a + F.length(x)) / words,
+                   F.size(distinct) / words, F.length(F.array_join(w, "")) / words,
                    F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)), F.log1p(F.size(lines).cast("double")))
 
 
 def with_features(df: DataFrame, text_col: str) -> DataFrame:
     """Adds the vectors ``_words``, ``_pairs`` and ``_shape``."""
     x = barrier(df.withColumn("_text", F.coalesce(text_col, F.lit(""))).withColumn("_tok", T.tokens("_text")))
-    pairs = F.concat("_tok", F.zip_with("_tok", F.slice("_tok", F.lit(2), F.greatest(F.size("_tok") - 1, F.lit(0))),
-                                        lambda a, b: F.concat_ws(" ", a, b)))
-    x = x.withColumns({"_two": pairs, "_shape": array_to_vector(_shape("_text", "_tok"))})
-    x = HashingTF(inputCol="_tok", outputCol="_words", numFeatures=FEATURES, binary=True).transform(x)
+    x = x.withColumn("_set", F.array_distinct("_tok"))
+    # the words, each with its follower, and the last word once more
+    later = F.slice("_tok", F.lit(2), F.greatest(F.size("_tok") - 1, F.lit(0)))
+    pairs = F.concat("_tok", F.transform(later, lambda w, k: F.concat(F.get("_tok", k), F.lit(" "), w)), F.slice("_tok", -1, 1))
+    x = x.withColumns({"_two": pairs, "_shape": array_to_vector(_shape("_text", "_tok", "_set"))})
+    x = HashingTF(inputCol="_set", outputCol="_words", numFeatures=FEATURES, binary=True).transform(x)
     x = HashingTF(inputCol="_two", outputCol="_pairs", numFeatures=FEATURES).transform(x)
-    return x.drop("_text", "_tok", "_two")
+    return x.drop("_text", "_tok", "_set", "_two")
 
 
 def _estimator(member: str):
@@ -98,11 +102,17 @@ def _calibrated(p: Column, steps: list[tuple[float, float]]) -> Column:
     """Piecewise linear between the calibration's steps, constant beyond them."""
     if len(steps) < 2:
         return F.lit(steps[0][1] if steps else None).cast("double")
-    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])
-    at = F.aggregate(table, F.lit(0), lambda n, s: n + F.when(s["x"] <= p, 1).otherwise(0))     # steps at or below p
-    lo, hi = F.get(table, at - 1), F.get(table, at)
-    between = lo["y"] + (hi["y"] - lo["y"]) * (p - lo["x"]) / (hi["x"] - lo["x"])
-    return F.when(at == 0, F.lit(steps[0][1])).when(at == len(steps), F.lit(steps[-1][1])).otherwise(between)
+    places, values = (F.lit(np.array(v, "float64")) for v in zip(*steps, strict=True))
+    # steps at or below p, by halving: a row meets log2 of the steps
+    halves = F.lit(np.array([1 << k for k in reversed(range(len(steps).bit_length()))], "int32"))
+    at = F.aggregate(halves, F.lit(0), lambda n, h: F.when(F.get(places, n + h - 1) <= p, n + h).otherwise(n))
+
+    def line(at):
+        x, y = F.get(places, at - 1), F.get(values, at - 1)
+        between = y + (F.get(values, at) - y) * (p - x) / (F.get(places, at) - x)
+        return F.when(at == 0, F.lit(steps[0][1])).when(at == len(steps), F.lit(steps[-1][1])).otherwise(between)
+
+    return T.let(at, line)
 
 
 def _steps(model: IsotonicRegressionModel) -> list[tuple[float, float]]:

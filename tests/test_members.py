@@ -73,6 +73,38 @@ def test_calibration_is_the_fitted_line(spark):
     assert spark.range(1).select(M._calibrated(F.lit(0.3), [(0.5, 0.7)]).alias("y")).first().y == 0.7
 
 
+def test_calibration_meets_few_steps_a_row(spark):
+    """Places found by halving, once a row: equal to numpy's line for any number of steps."""
+    r = random.Random(5)
+    for n in (2, 3, 7, 8, 9, 667):
+        steps = [(k / n, y) for k, y in enumerate(sorted(r.random() for _ in range(n)))]
+        xs = [x for x, _ in steps] + [r.random() * 1.2 - 0.1 for _ in range(50)]
+        df = spark.createDataFrame([(x,) for x in xs], "p double").select("p", M._calibrated(F.col("p"), steps).alias("y"))
+        assert [x.y for x in df.collect()] == pytest.approx(list(np.interp(xs, *zip(*steps, strict=True))))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aggregate(") == 1
+    assert len(re.findall(r"aggregate\(\[([\d,]+)\]", plan)[0].split(",")) == 10     # 667 steps
+
+
+def test_features_are_plain_counts(spark):
+    """Equal to counting in Python, and no measure replaces or folds a text piece by piece."""
+    texts = ["", "one", "A b A b, b", "x1 2\ny\ny ..!?", "\u03a9 \uac00\ub098 \U0001f600 _a \uac00\ub098", "\t\t"]
+    df = M.with_features(spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "doc_id long, content string"), "content")
+    hashed = M.HashingTF(inputCol="t", outputCol="h", numFeatures=M.FEATURES)
+    for x, t in zip(df.orderBy("doc_id").collect(), [*texts, ""], strict=True):
+        w = re.findall(r"\w+", t.lower())
+        words = Counter(hashed.indexOf(a) for a in set(w))
+        pairs = Counter(hashed.indexOf(a) for a in w + [f"{a} {b}" for a, b in zip(w, w[1:])] + w[-1:])
+        assert dict(zip(x._words.indices, x._words.values)) == dict.fromkeys(words, 1.0)
+        assert dict(zip(x._pairs.indices, x._pairs.values)) == pairs
+        n, k, lines = max(len(t), 1), max(len(w), 1), t.split("\n")
+        share = [sum(bool(re.match(c, a)) for a in t) / n for c in ("[A-Z]", "[0-9]", r"[.,!?_\U0001f600]", r"\s")]
+        assert list(x._shape) == pytest.approx([math.log1p(n), math.log1p(k), *share, len(set(w)) / k, sum(map(len, w)) / k,
+                                                len(set(lines)) / len(lines), math.log1p(len(lines))])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "[^A-Z]" not in plan and "concat_ws" not in plan and plan.count("array_distinct(_tok") == 1
+
+
 def test_logistic_member_is_near_the_optimum(spark):
     """Its loss is within a hundredth of a plain gradient descent's on the same vectors."""
     p = posts(spark, 200).where("known is not null and doc_id is not null")
