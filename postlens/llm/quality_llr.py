@@ -11,10 +11,16 @@ above the cut it is kept.  Every third trusted document is left out of the targe
 The base rules are exact per-document counts.  Repeated three-word windows are found by their
 64-bit hashes within one document; sorting is needed only where a document has a repeated one.
 
-Counts are summed per task before their shuffle.  N-grams that make at least 1 / ``HOT`` of all, at
-most HOT of them, are looked up by a broadcast and summed per document before a shuffle; the others
-move with their document's 64-bit key to the table.  N-grams counted once aren't looked up: their
-weight follows from whether the document is in the target.
+*Frequent n-grams.*  At most ``HOT`` n-grams, the most frequent of every ``SOME``-th document, are counted
+by themselves over all documents (summed per task), looked up by a broadcast and summed per document
+before a shuffle.  Which ones they are changes only how they travel, never a count.
+
+*All others* move once, packed: a row for each document and share holds the document's 64-bit key and the
+hashes that fall into the share.  A share's task counts its n-grams over all rows, weighs each and sends
+back a sum for each document.  There are SHARES shares for up to EACH n-grams, twice as many for each
+four times that.
+
+Target documents are marked as their words are read: up to ``MARKS`` ids are broadcast, more are joined.
 
 Defined cases: a text without words (null, empty) has zero counts, fails the base rules and isn't
 kept; without trusted documents every ratio is 0 and the base rules decide; rows that repeat count
@@ -23,16 +29,22 @@ each and get a row each; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.llm.jobs import held_out, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 1 << 64                  # values of an n-gram's hash
 HOT = 1 << 17
+SOME = 32
+LONGEST = 64                       # characters of a frequent n-gram; longer ones travel with the others
+SHARES, EACH = 16, 1 << 28
+MARKS = 1 << 22
 SMOOTH = 2.0
 CUT = 0.001
 MIN_WORDS = 50
@@ -54,11 +66,9 @@ def _words(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _grams() -> F.Column:
-    """Hashes of the words and of the pairs of neighbours (columns ws, n)."""
-    one = F.transform("ws", lambda w: F.xxhash64(w))
-    two = F.zip_with("ws", F.slice("ws", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))),
-                     lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return F.concat(one, F.filter(two, lambda x: x.isNotNull()))
+    """The words and the pairs of neighbours, joined by a space (columns ws, n)."""
+    most = F.greatest(F.col("n") - 1, F.lit(0))
+    return F.concat("ws", F.zip_with(F.slice("ws", F.lit(1), most), F.slice("ws", F.lit(2), most), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def base_counts(words: DataFrame) -> DataFrame:
@@ -66,8 +76,8 @@ def base_counts(words: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     last = F.col("n") - 3
     out = (words
-           .withColumn("word_chars", F.length(F.translate("text", SPACES, "")).cast("long"))
-           .withColumn("n_symbols", (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long"))
+           .withColumn("word_chars", F.length(F.array_join("ws", "")).cast("long"))
+           .withColumn("n_symbols", F.regexp_count("text", F.lit(SYMBOLS)).cast("long"))
            .withColumn("_lines", lines)
            .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
            .withColumn("_h", F.transform("ws", lambda w: F.xxhash64(w)))
@@ -89,39 +99,78 @@ def _marked(rows: DataFrame, trusted: DataFrame) -> DataFrame:
             .withColumn("trusted", F.coalesce("trusted", F.lit(0))))
 
 
-def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(gram, raw, target) of every n-gram; the gram is null where raw is 1, as it is never looked up."""
-    words = _words(_marked(docs.select("doc_id", "text"), trusted), "trusted")
-    return (words.select((F.col("trusted") == 1).cast("long").alias("t"), F.explode(_grams()).alias("gram"))
-            .groupBy("gram").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
+def _targets(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, text, t: 1 for a document of the target, else 0."""
+    ids = trusted.where("trusted = 1").select("_id", F.lit(1).alias("t"))
+    if ids.count() <= MARKS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("t", F.lit(0)).alias("t"))
+
+
+def counts(docs: DataFrame, trusted: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(gram, raw, target) of every n-gram, or those of ``only`` (gram, at most HOT); the gram is null where raw is 1."""
+    grams = _words(_targets(docs, trusted), "t").select("t", F.explode(_grams()).alias("gram")).select("t", F.xxhash64("gram").alias("gram"))
+    if only is not None:
+        grams = grams.join(F.broadcast(only), "gram")
+    return (grams.groupBy("gram").agg(F.count("*").alias("raw"), F.sum("t").cast("long").alias("target"))
             .select(F.when(F.col("raw") > 1, F.col("gram")).alias("gram"), "raw", "target"))
 
 
+def frequent(docs: DataFrame) -> DataFrame:
+    """gram: at most HOT n-grams that come twice or more in every SOME-th document, its most frequent."""
+    some = _words(docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("some")), F.lit(SOME)) == 0))
+    seen = written(some.select(F.explode(_grams()).alias("gram")).where(F.length("gram") <= LONGEST)
+                   .groupBy("gram").count().where("count > 1"), "some")
+    least, n = 1 << 62, 0
+    for r in seen.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():
+        n += r["n"]
+        if n > HOT:
+            break
+        least = r["count"]
+    return seen.where(F.col("count") >= least).select("gram")
+
+
+def postings(words: DataFrame, hot: list[str], shares: int = SHARES) -> DataFrame:
+    """(share, d, t, grams) for the n-grams of ``words`` (d, t, ws, n) that aren't in ``hot``; shares are ranges of hashes."""
+    bounds = F.array(*(F.lit(k * BUCKETS // shares - BUCKETS // 2) for k in range(shares)))
+    rest = words.select("d", "t", _grams().alias("grams"))
+    rest = StopWordsRemover(inputCol="grams", outputCol="rest", stopWords=hot, caseSensitive=True).transform(rest)
+    # the bounds are sorted in among the hashes, each before the equal ones
+    return (rest.select("d", "t", F.sort_array(F.concat(F.transform("rest", lambda g: F.xxhash64(g)), bounds)).alias("keys"))
+            .select("d", "t", "keys", F.concat(F.transform(bounds, lambda b: F.array_position("keys", b).cast("int")),
+                                               F.array(F.size("keys") + 1)).alias("at"))
+            .select("d", "t", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(shares)), lambda k: F.slice(
+                "keys", F.element_at("at", k) + 1, F.element_at("at", k + 1) - F.element_at("at", k) - 1))).alias("share", "grams"))
+            .where(F.size("grams") > 0).select("share", "d", "t", "grams"))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     ratio for each row of ``docs``."""
+    docs = docs.select("doc_id", "text")
     trusted = written(trusted_ids(labels), "trusted")
-    table = written(counts(docs, trusted), "grams")
-    total = table.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
-    raw, target = float(total["r"] or 0), float(total["t"] or 0)
-    scale = target / max(raw, 1.0)
+    own = ["doc_id", "n", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base = written(_marked(base_counts(_words(docs)).select("d", *own), trusted), "base")
+    grams = F.greatest(2 * F.col("n").cast("long") - 1, F.lit(0))
+    total = base.agg(F.sum(grams).alias("r"), F.sum(F.when(F.col("trusted") == 1, grams)).alias("t")).first()
+    raw, target = int(total["r"] or 0), int(total["t"] or 0)
+    scale = target / max(raw, 1)
+    shares = SHARES << max(0, math.ceil(math.log(max(raw, 1) / EACH, 4)))
 
     def weight(hits, seen):
         return F.log(hits + SMOOTH) - F.log(seen * F.lit(scale) + SMOOTH)
 
-    known = table.where("gram is not null").select("gram", "raw", weight(F.col("target"), F.col("raw")).alias("weight"))
-    hot = F.col("raw") >= raw / HOT
-    words = _words(docs)
-    grams = words.select("d", F.explode(_grams()).alias("gram"))
-    often = F.broadcast(known.where(hot).select("gram", "weight"))
-    parts = (grams.join(often, "gram").select("d", "weight")
-             .union(grams.join(often, "gram", "left_anti").join(known.where(~hot), "gram", "left").select("d", "weight")))
-    sums = parts.groupBy("d").agg(F.sum("weight").alias("sum"), F.count("*").alias("all"),
-                                  F.sum(F.col("weight").isNull().cast("long")).alias("single"))
-    once = weight(F.when(F.col("trusted") == 1, 1.0).otherwise(0.0), F.lit(1.0))
-    own = ["doc_id", "n", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    scored = (_marked(base_counts(words).select("d", *own).join(sums, "d", "left"), trusted)
-              .withColumn("ratio", F.coalesce((F.coalesce("sum", F.lit(0.0)) + F.col("single") * once) / F.col("all"), F.lit(0.0)))
+    hot = frequent(docs)
+    often = F.broadcast(written(counts(docs, trusted, hot.select(F.xxhash64("gram").alias("gram"))), "often").select("gram", weight(F.col("target"), F.col("raw")).alias("weight")))
+    words = _words(_targets(docs, trusted), "t")
+    sums = (words.select("d", F.explode(_grams()).alias("gram")).select("d", F.xxhash64("gram").alias("gram")).join(often, "gram").select("d", "weight"))
+    each = Window.partitionBy("gram", "share")
+    rest = (postings(words, [r["gram"] for r in hot.collect()], shares).repartitionById(shares, "share")
+            .select("share", "d", "t", F.explode("grams").alias("gram"))
+            .select("d", weight(F.sum("t").over(each), F.count("*").over(each)).alias("weight")))
+    sums = sums.union(rest).groupBy("d").agg(F.sum("weight").alias("sum"), F.count("*").alias("all"))
+    scored = (base.join(sums, "d", "left")
+              .withColumn("ratio", F.coalesce(F.col("sum") / F.col("all"), F.lit(0.0)))
               .withColumn("base_failed", (F.col("n") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n"))))
     scored = written(scored.select(*own, "trusted", "ratio", "base_failed"), "scored")
     cut = scored.where("trusted = 2 and not base_failed").agg(F.percentile("ratio", CUT).alias("cut")).first()["cut"]

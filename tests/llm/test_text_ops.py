@@ -236,6 +236,33 @@ def test_ngrams_are_counted_one_by_one(spark, frame, labels):
     assert [(r["raw"], r["target"]) for r in rows if r["gram"] is not None] == [(n, sum(t == 1 for t in ids.values()))]
 
 
+def test_ngrams_move_once_and_whole(spark, frame, labels, monkeypatch):
+    texts = [" ".join(f"v{(k * j) % 97}" for j in range(60)) + " the same end" for k in range(40)] + ["", None, "one", "the same end"] * 2
+    docs, lab = frame(texts, ids=[*range(40), *range(40, 44), *range(40, 44)]), labels([(k, int(k % 3 > 0), 0) for k in range(44)])
+    words = quality_llr._words(docs.withColumn("t", F.lit(1)), "t")
+    want = Counter()
+    for t in texts:
+        w = WORD.findall(t or "")
+        want.update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    hashes = {r["g"]: r["h"] for r in spark.createDataFrame([(g,) for g in want], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+    for hot, shares in (([], 16), (["the", "same end"], 64)):
+        rows = quality_llr.postings(words, hot, shares).collect()
+        assert Counter(g for r in rows for g in r["grams"]) == Counter({hashes[g]: n for g, n in want.items() if g not in hot})
+        assert len({(r["share"], tuple(r["grams"])) for r in rows}) <= shares * len(set(texts))
+        assert all(r["share"] == (g + (1 << 63)) * shares >> 64 for r in rows for g in r["grams"])
+    # the same ratios however many n-grams are looked up by a broadcast, and in however many shares
+    ratios = []
+    for some, most, each in ((1 << 30, 1 << 17, 1 << 28), (1, 1 << 17, 1 << 28), (1, 9, 64)):
+        monkeypatch.setattr(quality_llr, "SOME", some)
+        monkeypatch.setattr(quality_llr, "HOT", most)
+        monkeypatch.setattr(quality_llr, "EACH", each)
+        ratios.append(sorted((r["doc_id"], r["ratio"]) for r in quality_llr.judge(docs, lab).collect()))
+    assert len(ratios[0]) == len(texts) and any(r for _, r in ratios[0])
+    for other in ratios[1:]:
+        assert [k for k, _ in other] == [k for k, _ in ratios[0]]
+        assert [r for _, r in other] == pytest.approx([r for _, r in ratios[0]], abs=1e-9)
+
+
 # --- 5 -------------------------------------------------------------------------------------------
 
 def luhn(s):
