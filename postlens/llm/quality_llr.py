@@ -83,7 +83,7 @@ def base_counts(words: DataFrame) -> DataFrame:
            .withColumn("_h", F.transform("ws", lambda w: F.xxhash64(w)))
            .withColumn("_w", F.when(F.col("n") >= 3, F.transform(
                F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2)))))
-           .withColumn("_s", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), F.array_sort(
+           .withColumn("_s", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), F.sort_array(
                F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
            .withColumn("_p", F.filter(F.transform("_s", lambda s, k: F.when(
                (s["h"] == F.get("_s", k - 1)["h"]) | (s["h"] == F.get("_s", k + 1)["h"]), s["i"])), lambda i: i.isNotNull()))
